@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import language_id, mixing, simhash, toxicity
 
-QUERIES = {"op8_mixing": mixing.query}
+QUERIES = {
+    "op3_toxicity": toxicity.query,
+    "op4_language_id": language_id.query,
+    "op6_simhash": simhash.query,
+    "op8_mixing": mixing.query,
+}
 ORACLES = {"op8_mixing": mixing.ORACLE_SQL}
