@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, simhash, toxicity
+from . import language_id, mixing, nearest, simhash, toxicity
 
 QUERIES = {
+    "op1_nearest": nearest.query,
     "op3_toxicity": toxicity.query,
     "op4_language_id": language_id.query,
     "op6_simhash": simhash.query,
