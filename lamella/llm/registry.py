@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, nearest, simhash, toxicity
+from . import language_id, mixing, nearest, simhash, toxicity, webp
 
 QUERIES = {
     "op1_nearest": nearest.query,
     "op3_toxicity": toxicity.query,
     "op4_language_id": language_id.query,
+    "op5_webp": webp.query,
     "op6_simhash": simhash.query,
     "op8_mixing": mixing.query,
 }
