@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, nearest, simhash, toxicity, webp
+from . import language_id, line_dedup, mixing, nearest, piece_lattice, simhash, toxicity, webp
 
 QUERIES = {
     "op1_nearest": nearest.query,
+    "op2_line_dedup": line_dedup.query,
     "op3_toxicity": toxicity.query,
     "op4_language_id": language_id.query,
     "op5_webp": webp.query,
     "op6_simhash": simhash.query,
     "op8_mixing": mixing.query,
+    "op9_piece_lattice": piece_lattice.query,
 }
-ORACLES = {"op8_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
