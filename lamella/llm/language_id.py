@@ -178,26 +178,39 @@ def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_nodes: int = MAX_NO
     return build(languages, {x: (gram[langs == x], n[langs == x]) for x in languages}, max_nodes)
 
 
-def predict(docs: DataFrame, model: PpmModel | None) -> DataFrame:
-    """(doc_id, text) rows to doc_id, lang_pred, score, bits_per_byte."""
-    schema = "doc_id long, lang_pred string, score double, bits_per_byte double"
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches):
-        m = shared.value
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            pred, posterior, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [None] * len(texts)
-            at = [i for i, t in enumerate(texts) if t and has_letter(t)] if m else []
-            raw = [texts[i].encode() for i in at]
-            for i, t, bits in zip(at, raw, m.code_lengths(raw) if at else (), strict=True):
-                best = int(bits.argmin())
-                pred[i] = m.languages[best]
-                posterior[i] = 1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()
-                rate[i] = bits[best] / len(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(pred), pa.array(posterior), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "bits_per_byte"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, schema)
+def judge(texts: list[str | None], model: PpmModel | None) -> tuple[list, np.ndarray, list]:
+    """Predicted language, its posterior and bits a byte of each text."""
+    pred, posterior, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [None] * len(texts)
+    at = [i for i, t in enumerate(texts) if t and has_letter(t)] if model else []
+    raw = [texts[i].encode() for i in at]
+    for i, t, bits in zip(at, raw, model.code_lengths(raw) if at else (), strict=True):
+        best = int(bits.argmin())
+        pred[i] = model.languages[best]
+        posterior[i] = 1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()
+        rate[i] = float(bits[best]) / len(t)
+    return pred, posterior, rate
+
+
+def predict(rows: DataFrame, model: PpmModel | None) -> DataFrame:
+    """(any column, text) rows to that column, lang_pred, score, bits_per_byte."""
+    kept = rows.columns[0]
+    kind = rows.schema[kept].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            pred, posterior, rate = judge(b.column(1).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(posterior), pa.array(rate, pa.float64())], [kept, "lang_pred", "score", "bits_per_byte"])
+
+    return rows.mapInArrow(run, f"`{kept}` {kind}, lang_pred string, score double, bits_per_byte double")
+
+
+def keep_known(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """The documents whose language is told, all columns; a null lang gets the prediction."""
+    small_batches(docs.sparkSession)
+    model = fit(docs.filter(id_mod("doc_id", 4) != 2))
+    found = predict(docs.select(F.struct("*").alias("row"), "text"), model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return found.select(*[(F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,4 +218,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = id_mod("doc_id", 4) == 2
     model = fit(docs.filter(~held))
-    return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -84,12 +84,12 @@ def _rebuild(text: str | None, hits: list[dict] | None) -> tuple[str | None, int
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All rows and columns of docs with a struct column ``dedup``: text, n_lines, n_removed, n_runs, depth."""
+    """Two struct columns: ``row``, all columns of docs, and ``dedup``: text, n_lines, n_removed, n_runs, depth."""
     small_batches(docs.sparkSession)
     hits = repeated(line_table(docs)).groupBy("key").agg(F.collect_list(F.struct("pos", "depth")).alias("hits"))
     whole = docs.select(F.struct("*").alias("row"), F.col("text").alias("__text"), _key().alias("key"))
     joined = whole.join(hits, "key", "left").select("row", "__text", "hits")
-    schema = "text string, n_lines long, n_removed long, n_runs long, depth long"
+    schema = "text:string,n_lines:bigint,n_removed:bigint,n_runs:bigint,depth:bigint"
 
     def run(batches):
         for b in batches:
@@ -99,13 +99,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), made], ["row", "dedup"])
 
     row = joined.schema["row"].dataType.simpleString()
-    done = joined.mapInArrow(run, f"row {row}, dedup struct<{','.join(x.replace(' ', ':', 1) for x in schema.split(', '))}>")
-    return done.select("row.*", "dedup")
+    return joined.mapInArrow(run, f"row {row}, dedup struct<{schema}>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return d.select("doc_id", "dedup.n_lines", "dedup.n_removed", "dedup.n_runs", F.md5(F.coalesce("dedup.text", F.lit(""))).alias("kept_md5"))
+    return d.select("row.doc_id", "dedup.n_lines", "dedup.n_removed", "dedup.n_runs", F.md5(F.coalesce("dedup.text", F.lit(""))).alias("kept_md5"))
 
 
 def stage_docs(docs: DataFrame) -> DataFrame:
@@ -114,8 +113,8 @@ def stage_docs(docs: DataFrame) -> DataFrame:
     kept = d.filter((F.col("dedup.n_lines") == 0) | (F.col("dedup.n_lines") > F.col("dedup.n_removed")))
     changed = {"text": F.col("dedup.text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("dedup.n_removed") > 0, F.char_length("dedup.text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("dedup.n_removed") > 0, F.char_length("dedup.text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 _SQL_LINES = r"""

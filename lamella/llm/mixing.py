@@ -51,9 +51,9 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     return per.withColumn("target", F.least((F.col("source_size") * max_epochs).cast("double"), F.col("w") * level)).select("no_source", "source_key", "docs", "source_size", "target")
 
 
-def mix(sizes: DataFrame, weights: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """(doc_id, source, size) and (doc_id, weight) to doc_id, size, source_size, target, taken."""
-    x = sizes.select("doc_id", "size", F.isnull("source").cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"))
+def mix(sizes: DataFrame, weights: DataFrame, max_epochs: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size) and (doc_id, weight) to doc_id, size, source_size, target, taken, and the columns in also."""
+    x = sizes.select("doc_id", "size", *also, F.isnull("source").cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"))
     per = source_targets(x, max_epochs)
     x = x.join(weights.select(F.col("doc_id").alias("wid"), "weight"), F.col("doc_id") == F.col("wid"), "left").drop("wid")
     digits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
@@ -69,7 +69,7 @@ def mix(sizes: DataFrame, weights: DataFrame, max_epochs: int = 3) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     x = x.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     taken = F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("base") - F.col("within")))
-    return x.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return x.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *also)
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
@@ -81,6 +81,25 @@ def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return mix(materialise(word_sizes(docs), "mix-sizes"), quality_weights(labels))
 
 
+def mixed_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The mix as documents, all columns: a row for each complete pass over a document, and one with its
+    first words where it is taken in part. Rows equal in id and text are one document here."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
+    own = [F.col("doc_id"), F.xxhash64("text").alias("tie")]
+    sizes = materialise(docs.select(*own, "source", size.alias("size")).dropDuplicates(["doc_id", "tie"]), "mix-sizes")
+    per = mix(sizes, quality_weights(labels), also=("tie",)).filter("taken > 0")
+    per = per.select(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_tie"), F.expr("taken div size").alias("passes"), F.expr("taken % size").alias("part"))
+    whole = docs.select(F.struct("*").alias("row"), *own)
+    x = whole.join(per, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("tie") == F.col("mix_tie"))).dropDuplicates(["doc_id", "tie"])
+    x = x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0))))
+    cut = F.col("copy") > F.col("passes")
+    text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all(F.col("row").getField("text"), F.lit(WORD_RE), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("row").getField("text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(cut, F.char_length(text)).otherwise(F.col("row").getField("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return x.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
