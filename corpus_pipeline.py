@@ -1,15 +1,56 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and makes its decisions
+take effect; all but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from lamella.llm import language_id, line_dedup, mixing, near_groups, piece_lattice
+from lamella.llm.common import materialise, small_batches
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is undetermined, or told with less than even odds, go."""
+    return language_id.keep_known(docs)
+
+
+def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs go from the texts; documents left without a line go."""
+    return line_dedup.stage_docs(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, at five-word shingles and a similarity of 0.8."""
+    return near_groups.one_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each pass that the mix takes over a document."""
+    return mixing.mixed_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, and the bytes that they decode to."""
+    small_batches(spark, 500)
+    return piece_lattice.encode(docs)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("line dedup", line_runs),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing to target weights", source_mix),
+    ("SentencePiece encoding", pieces),
+]
+#: SimHash groups and the piece lattice cannot be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
