@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, nearest, piece_lattice, simhash, toxicity, webp
+from . import language_id, line_dedup, mixing, nearest, passage_dedup, piece_lattice, simhash, toxicity, webp
 
 QUERIES = {
     "op1_nearest": nearest.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.query,
     "op5_webp": webp.query,
     "op6_simhash": simhash.query,
+    "op7_passage_dedup": passage_dedup.query,
     "op8_mixing": mixing.query,
     "op9_piece_lattice": piece_lattice.query,
 }
