@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, nearest, passage_dedup, piece_lattice, simhash, toxicity, webp
+from . import backoff_lm, language_id, line_dedup, mixing, nearest, passage_dedup, piece_lattice, simhash, toxicity, webp
 
 QUERIES = {
     "op1_nearest": nearest.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_passage_dedup": passage_dedup.query,
     "op8_mixing": mixing.query,
     "op9_piece_lattice": piece_lattice.query,
+    "op10_backoff_lm": backoff_lm.query,
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
