@@ -124,7 +124,7 @@ def principal_axis(points: DataFrame, by: list[str]) -> DataFrame:
     """
     m = points.groupBy(*by).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"))
     m = m.withColumn("angle", 0.5 * F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy")))
-    x = points.join(m, by).withColumn("cx", F.col("x") - F.col("mx")).withColumn("cy", F.col("y") - F.col("my"))
+    x = points.select(*by, "id", "x", "y").join(m, by).withColumn("cx", F.col("x") - F.col("mx")).withColumn("cy", F.col("y") - F.col("my"))
     x = x.withColumn("along", F.col("cx") * F.cos("angle") + F.col("cy") * F.sin("angle")).withColumn("across", -F.col("cx") * F.sin("angle") + F.col("cy") * F.cos("angle"))
     w = x.groupBy(*by).agg(F.min("across").alias("lo"), F.max("across").alias("hi"))
     return x.join(w, by).select(*by, "id", "along", "across", ((F.col("across") - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS)).alias("position"))
