@@ -1,11 +1,10 @@
 """Scaling, feature selection, clustering, supervision and metrics."""
 
-from __future__ import annotations
-
 import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler
@@ -147,7 +146,7 @@ class DiagonalMixture:
     def __init__(self, components: int, kind: str = "diag", starts: int = 3, iterations: int = 500, floor: float = 1e-5, tolerance: float = 1e-3, seed: int = 42):
         self.components, self.kind, self.starts, self.iterations, self.floor, self.tolerance, self.seed = components, kind, starts, iterations, floor, tolerance, seed
 
-    def fit(self, df: DataFrame, columns: list[str]) -> DiagonalMixture:
+    def fit(self, df: DataFrame, columns: list[str]) -> "DiagonalMixture":
         x = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).persist()
         n = x.count()
         if n < self.components:
@@ -205,9 +204,7 @@ class DiagonalMixture:
         weights, means, cov = self.weights, self.means, self.covariances
 
         @F.pandas_udf("array<double>")
-        def probabilities(v: "pd.Series") -> "pd.Series":  # noqa: F821
-            import pandas as pd
-
+        def probabilities(v: pd.Series) -> pd.Series:
             logs = _log_density(np.stack(v.to_numpy()), weights, means, cov, True)
             p = np.exp(logs - logs.max(1, keepdims=True))
             return pd.Series(list(p / p.sum(1, keepdims=True)))
