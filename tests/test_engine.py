@@ -183,3 +183,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q = counts.pivoted_counts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["region"], "type", ["a", "b", "c"]).writeStream.outputMode("complete").format("memory").queryName("pivoted").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("pivoted").collect()} == {("r1", 1, 1, 0), ("r2", 1, 0, 0)}
+
+
+def test_runs_compose(spark):
+    from lamella.plans import runs
+
+    rng = np.random.default_rng(0)
+    rows = [(f"s{s}", f"r{r}", i + 1, float(x), float(y), float(a), "A" if s else "B") for s in range(2) for r in range(2) for i, (x, y, a) in enumerate(rng.random((20, 3)) * 300)]
+    c = spark.createDataFrame(rows, "slide string, region string, cell_label long, cx_roi double, cy_roi double, orientation double, roi_class string")
+    f = runs.spatial_features(c, 0.5)
+    assert f.count() == 80 and {"nn_distance_mean_um", "local_density_r20um", "voronoi_area_um2", "epithelial_layer_thickness_um"} <= set(f.columns)
+    cleaned, chosen = runs.clean(f, {"cell_label"}, 6, 4, 2)
+    assert 1 <= len(chosen) <= 6 and cleaned.count() == 80
