@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Type colours in order, unknown colour, diagnosis classes, mask file name pattern.
-TYPE_COLOURS = ("#ff0000", "#00ff00", "#0000ff", "#ffff00", "#ff00ff")
+#: Type colours in order, the colour of no type, diagnosis classes, mask file name pattern.
+TYPE_COLOURS = ("#00ff00", "#0000ff", "#808080", "#ff0000", "#ffff00")
 NO_COLOUR = "#808080"
-MASK_NAME = r"^(.+?)_(.+?)_L(\d+)_x(-?\d+)_y(-?\d+)_mask\.npy$"
+DIAGNOSES = ("STIC", "HGSC", "NFT")
+MASK_NAME = r"^polyepi_(.+?)_(.+?)_L(\d+)_(\d+)_(\d+)_(\d+)x(\d+)\.npy$"
 
 
 def safe_double(c: Column) -> Column:
@@ -49,17 +50,18 @@ def base_mpp(x: Column, y: Column, tolerance: float = 0.02) -> tuple[Column, Col
 
 def region_name(raw: Column, accepted_before: Column) -> Column:
     """Printable word characters, spaces and hyphens, spaces as underscores; Region_<n> if nothing is left."""
-    clean = F.regexp_replace(F.regexp_replace(F.trim(raw), r"[^\w\s-]", ""), r"\s", "_")
+    clean = F.replace(F.trim(F.regexp_replace(F.trim(raw), r"[^\w\s-]", "")), F.lit(" "), F.lit("_"))
     return F.when(F.coalesce(F.length(clean), F.lit(0)) > 0, clean).otherwise(F.concat(F.lit("Region_"), (accepted_before + 1).cast("string")))
 
 
 def mask_name_parts(name: Column) -> Column:
-    """Slide, region, level and origin from a mask's file name; the split after the slide is the first possible."""
+    """Slide, region, level, origin and size from a mask's file name; the split after the slide is the first possible."""
     part = lambda i: F.regexp_extract(name, MASK_NAME, i)
-    return F.struct(part(1).alias("slide"), part(2).alias("region"), part(3).try_cast("int").alias("level"), part(4).try_cast("int").alias("min_x"), part(5).try_cast("int").alias("min_y"))
+    numbers = [part(i).try_cast("int").alias(n) for i, n in enumerate(("level", "min_x", "min_y", "width", "height"), 3)]
+    return F.struct(part(1).alias("slide"), part(2).alias("region"), *numbers)
 
 
-def diagnosis(text: Column, classes: tuple[str, ...]) -> Column:
+def diagnosis(text: Column, classes: tuple[str, ...] = DIAGNOSES) -> Column:
     """The single class named in the text as a word of its own; null for none, an error value for several."""
     pattern = r"(?<![A-Z0-9])(" + "|".join(classes) + r")(?![A-Z0-9])"
     found = F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(pattern), F.lit(1)))

@@ -146,19 +146,19 @@ def region_name_cleaning(spark, sf):
     return c.select("c_custkey", X.region_name(raw, before).alias("region"))
 
 
-_NAME = "'S' || o_custkey::VARCHAR || '_R' || o_orderkey::VARCHAR || '_b_L' || (o_orderkey % 4)::VARCHAR || '_x' || (o_custkey - 50)::VARCHAR || '_y7_mask.npy'"
+_NAME = "'polyepi_S' || o_custkey::VARCHAR || '_R' || o_orderkey::VARCHAR || '_b_L' || (o_orderkey % 4)::VARCHAR || '_' || o_custkey::VARCHAR || '_7_640x480.npy'"
 
 
-@query(f"""SELECT o_orderkey, regexp_extract(n, p, 1) AS slide, regexp_extract(n, p, 2) AS region, regexp_extract(n, p, 3)::INT AS level, regexp_extract(n, p, 4)::INT AS min_x, regexp_extract(n, p, 5)::INT AS min_y
-FROM (SELECT o_orderkey, {_NAME} AS n, '^(.+?)_(.+?)_L([0-9]+)_x(-?[0-9]+)_y(-?[0-9]+)_mask\\.npy$' AS p FROM orders)""")
+@query(f"""SELECT o_orderkey, regexp_extract(n, p, 1) AS slide, regexp_extract(n, p, 2) AS region, regexp_extract(n, p, 3)::INT AS level, regexp_extract(n, p, 4)::INT AS min_x, regexp_extract(n, p, 5)::INT AS min_y, regexp_extract(n, p, 6)::INT AS width, regexp_extract(n, p, 7)::INT AS height
+FROM (SELECT o_orderkey, {_NAME} AS n, '^polyepi_(.+?)_(.+?)_L([0-9]+)_([0-9]+)_([0-9]+)_([0-9]+)x([0-9]+)\\.npy$' AS p FROM orders)""")
 def mask_name_parse(spark, sf):
     o = table(spark, sf, "orders")
-    name = F.concat(F.lit("S"), "o_custkey", F.lit("_R"), "o_orderkey", F.lit("_b_L"), (F.col("o_orderkey") % 4).cast("string"), F.lit("_x"), (F.col("o_custkey") - 50).cast("string"), F.lit("_y7_mask.npy"))
+    name = F.concat(F.lit("polyepi_S"), "o_custkey", F.lit("_R"), "o_orderkey", F.lit("_b_L"), (F.col("o_orderkey") % 4).cast("string"), F.lit("_"), F.col("o_custkey").cast("string"), F.lit("_7_640x480.npy"))
     return o.select("o_orderkey", X.mask_name_parts(name).alias("p")).select("o_orderkey", "p.*")
 
 
 @query("""SELECT p_partkey, t AS type, CASE WHEN t = 3 THEN 'three' WHEN t = 0 THEN 'background' ELSE 'type_' || t::VARCHAR END AS label,
-CASE WHEN t <= 0 THEN '#808080' ELSE (['#ff0000', '#00ff00', '#0000ff', '#ffff00', '#ff00ff'])[(t - 1) % 5 + 1] END AS colour
+CASE WHEN t <= 0 THEN '#808080' ELSE (['#00ff00', '#0000ff', '#808080', '#ff0000', '#ffff00'])[(t - 1) % 5 + 1] END AS colour
 FROM (SELECT p_partkey, coalesce(try_cast(CASE WHEN p_size % 6 = 5 THEN 'x' ELSE p_size::VARCHAR END AS INT), 0) AS t FROM part)""")
 def type_label_and_colour(spark, sf):
     t = X.type_id(F.when(F.col("p_size") % 6 == 5, F.lit("x")).otherwise(F.col("p_size").cast("string")))

@@ -78,7 +78,7 @@ def preferred_files(names: list[str], aggregate: str = "all_cell_features.csv")
 
 def masks(spark: SparkSession, folder: str, level: int = 2) -> DataFrame:
     """Mask files of a level, keys from the sidecar-free legacy file name."""
-    x = spark.read.format("binaryFile").option("pathGlobFilter", "*_mask.npy").load(folder)
+    x = spark.read.format("binaryFile").option("pathGlobFilter", "polyepi_*.npy").load(folder)
     x = x.select("path", X.mask_name_parts(F.element_at(F.split("path", "/"), -1)).alias("p")).select("path", "p.*")
     return x.filter(F.col("level") == level)
 

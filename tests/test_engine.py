@@ -31,8 +31,8 @@ def test_rounding_is_half_to_even(spark):
 
 
 def test_mask_name_splits_at_first_underscore(spark):
-    r = spark.range(1).select(X.mask_name_parts(F.lit("A_1_R_L2_x-3_y4_mask.npy")).alias("p")).first().p
-    assert (r.slide, r.region, r.level, r.min_x, r.min_y) == ("A", "1_R", 2, -3, 4)
+    r = spark.range(1).select(X.mask_name_parts(F.lit("polyepi_A_1_R_L2_3_4_64x32.npy")).alias("p")).first().p
+    assert tuple(r) == ("A", "1_R", 2, 3, 4, 64, 32)
 
 
 def test_key_contract(spark):
