@@ -24,7 +24,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     cols = sorted(df.columns)
 
     def value(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
             return "null"
         if isinstance(x, bool):
             return str(x)
