@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import ASCII_LOWER, documents, id_mod, materialise, small_batches
+from .common import ASCII_LOWER, documents, free_shuffles, id_mod, materialise, small_batches
 
 TOP = 5
 HIGH_DISCOUNT = 0.01
@@ -208,6 +208,7 @@ def score(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     table = materialise(blocks(docs), "token-blocks")
     counts, info = word_table(table)
+    free_shuffles(spark)
     trained = docs.filter(~F.col("held_out")).count()
     known = table.join(counts, "block")
     buckets = max(1, -(-int(info["tokens"] * 0.6) // BUCKET_KEYS))
@@ -272,6 +273,8 @@ def score(docs: DataFrame) -> DataFrame:
     kinds = "block string, bucket long, back binary, asks binary, sums binary, stats array<long>, hot array<struct<key: long, sums: array<double>>>"
     sent = known.select(*cols).mapInArrow(send, "bucket long, block string, ctx binary, run binary, low binary, high binary, seen binary, c2 binary, c1 binary")
     back = materialise(sent.groupBy("bucket").applyInPandas(meet, kinds), "bigram-counts")
+    del sent
+    free_shuffles(spark)
     s = back.filter("stats IS NOT NULL").agg(*[F.sum(F.col("stats")[i]).alias(str(i)) for i in range(TOP + 1)]).first()
     d2 = discounts([x or 0 for x in s])
     hot_rows = back.filter("hot IS NOT NULL").select(F.explode("hot").alias("h")).groupBy("h.key").agg(*[F.sum(F.col("h.sums")[i]).alias(str(i)) for i in range(TOP + 2)]).collect()
