@@ -38,6 +38,7 @@ def spatial_features(cells: DataFrame, mpp: float, k: int = 6, radii_um: tuple[f
 
 def clean(features: DataFrame, metadata: set[str], most: int = 40, groups: int = 20, per_group: int = 2) -> tuple[DataFrame, list[dict]]:
     """Features that vary, robustly scaled, thinned to a diverse selection; scaled values stay unimputed."""
+    features = features.toDF(*[c.replace(".", "_") for c in features.columns])  # radii in names hold points
     columns = [f.name for f in features.schema if f.dataType.typeName() in ("double", "float", "integer", "long") and X.is_feature(f.name, metadata)]
     x = learning.clean_numbers(features, columns)
     kept = learning.varying(x, columns)
