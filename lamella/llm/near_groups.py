@@ -8,9 +8,13 @@ there are enough of them that a pair at the similarity shares one with probabili
 Candidates are verified by the Hamming distance of all bits, which at this length gives the angle to
 within one percent. Linked documents form groups (connected components).
 
-Documents with equal shingle sets are one class, and a class is one member. In a bucket every member is
-compared with ``PIVOTS`` members picked by differently seeded hashes, not with all, so that the work is
-linear in a bucket of any size; a pair meets in several blocks, each with its own pivots.
+Documents with equal shingle sets are one class, and a class is one member. Members that share a block's
+value are a run, and all pairs of a run are settled. Runs of at most ``SMALL_RUN`` members give all their
+pairs. In a larger run every member is first compared with ``PIVOTS`` members picked by differently seeded
+hashes, which joins the bulk of a family of near copies in linear work; then all pairs that are still in
+different groups are compared, in tiles of about ``TILE`` by ``TILE`` members that spread over tasks. The
+members of a run's largest group meet only those outside it, so that only runs of many groups, such as
+large families below the similarity, take work by the square of their size.
 
 Defined results: null text counts as empty; documents without words are one class; fewer words than
 ``width`` form one shingle; repeated rows are one class; other columns pass by.
@@ -32,6 +36,9 @@ from .common import ASCII_LOWER, connected_components, materialise, small_batche
 BITS = 2304
 RECALL = 0.95
 PIVOTS = 4
+SMALL_RUN = 16
+TILE = 1024
+TILE_ROWS = 20_000
 SIMILARITY = 0.8
 WIDTH = 5
 BUCKET_ROWS = 200_000
@@ -133,22 +140,34 @@ def groups(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         run = np.cumsum(np.bincount(edge, minlength=len(rows))) - 1
         size = np.diff(np.append(edge, len(rows)))
         rows, run = rows[size[run] > 1], run[size[run] > 1]
-        found = []
+        found, runs = [], rows[:0]
         if len(rows):
             starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
             own = np.cumsum(np.bincount(starts, minlength=len(rows))) - 1
+            size = np.diff(np.append(starts, len(rows)))[own]
+            small, runs = np.flatnonzero(size <= SMALL_RUN), rows[size > SMALL_RUN]
+
+            def compare(i, j):
+                ok = (np.bitwise_count(rows["sketch"][i] ^ rows["sketch"][j]) <= SKETCH) & (rows["cls"][i] != rows["cls"][j])
+                a, b = rows["cls"][i][ok], rows["cls"][j][ok]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+
+            for step in range(1, SMALL_RUN):
+                i = small[small + step < len(rows)]
+                i = i[own[i] == own[i + step]]
+                compare(i, i + step)
+            large = np.flatnonzero(size > SMALL_RUN)
             for p in range(PIVOTS):
                 mixed = (rows["cls"].view(np.uint64) ^ np.uint64(int(key[0]) * 4 + p)) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
                 order = np.lexsort((mixed, own))
-                pivot = order[starts][own]
-                ok = (np.bitwise_count(rows["sketch"] ^ rows["sketch"][pivot]) <= SKETCH) & (rows["cls"] != rows["cls"][pivot])
-                a, b = rows["cls"][ok], rows["cls"][pivot][ok]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                compare(large, order[starts][own][large])
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        run_ids = int(key[0]) << 32 | runs["value"].astype(np.int64)
+        return pd.DataFrame({"a": np.append(pairs[:, 0], runs["cls"]), "b": np.append(pairs[:, 1], run_ids), "in_run": np.arange(len(pairs) + len(runs)) >= len(pairs)})
 
-    pairs = prints.mapInArrow(keys, "bucket long, rows binary").groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
+    met = materialise(prints.mapInArrow(keys, "bucket long, rows binary").groupBy("bucket").applyInPandas(meet, "a long, b long, in_run boolean"), "met")
+    pairs = met.filter("NOT in_run").select("a", "b").distinct()
     most = most_bits(similarity)
 
     def verify(batches):
@@ -161,7 +180,75 @@ def groups(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     both = pairs.join(prints.select(F.col("cls").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("cls").alias("b"), F.col("fp").alias("fb")), "b")
     edges = both.select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long")
     roots = connected_components(edges).withColumnRenamed("node", "cls")
-    return prints.select("cls").join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
+    rooted = materialise(prints.join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "fp"), "rooted")
+    later = materialise(unsettled(met.filter("in_run").select(F.col("b").alias("run"), F.col("a").alias("cls")), rooted, most), "run-edges")
+    whole = rooted.select("cls", "root")
+    if later.isEmpty():
+        return whole
+    joined = connected_components(later).select(F.col("node").alias("root"), F.col("root").alias("low"))
+    return whole.join(joined, "root", "left").select("cls", F.coalesce("low", "root").alias("root"))
+
+
+def unsettled(runs: DataFrame, rooted: DataFrame, most: int) -> DataFrame:
+    """(run, cls) rows and classes' (cls, root, fp) to (a, b) roots, of which members in a common run differ in at most so many bits."""
+    placed = runs.join(rooted.select("cls", "root"), "cls")
+    sizes = placed.groupBy("run", "root").agg(F.count("*").alias("n")).groupBy("run").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+    # the largest group's members meet the rest, the rest meets all: tiles are pairs of a chunk of the rest and any chunk
+    sizes = sizes.filter("n > top.n").select("run", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / TILE).alias("chunks"), F.ceil(F.col("top.n") / TILE).alias("top_chunks"))
+    placed = placed.join(sizes, "run").withColumn("in_top", F.col("root") == F.col("top"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "cls"), F.when(F.col("in_top"), F.col("top_chunks")).otherwise(F.col("chunks"))))
+
+    def tiles(low, high, tile):
+        return F.when(low <= high, F.transform(F.sequence(low, high), tile)).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,top:boolean,left:boolean>>"))
+
+    def tile(i, j, top, left):
+        return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(top).alias("top"), F.lit(left).alias("left"))
+
+    zero, own, end = F.lit(0).cast("long"), F.col("chunk"), F.col("chunks") - 1
+    rest = F.concat(tiles(own, end, lambda j: tile(own, j, False, True)), tiles(zero, own - 1, lambda i: tile(i, own, False, False)), tiles(zero, F.col("top_chunks") - 1, lambda j: tile(own, j, True, True)))
+    dealt = placed.select("run", "cls", F.explode(F.when(F.col("in_top"), tiles(zero, end, lambda i: tile(i, own, True, False))).otherwise(rest)).alias("t")).select("run", "cls", "t.*")
+    dealt = materialise(dealt, "tiles")
+    parts = max(1, -(-dealt.count() // TILE_ROWS))
+    dealt = dealt.withColumn("tile", F.xxhash64("run", "i", "j", "top")).withColumn("part", F.pmod("tile", F.lit(parts)))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["run", "i", "j", "top"], kind="stable")
+        edge = np.flatnonzero((pdf[["run", "i", "j", "top"]] != pdf[["run", "i", "j", "top"]].shift()).any(axis=1).to_numpy())
+        fp = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(len(pdf), -1)
+        root, left, same = pdf["root"].to_numpy(), pdf["left"].to_numpy(), ((pdf["i"] == pdf["j"]) & ~pdf["top"]).to_numpy()
+        out = []
+        for a, b in zip(edge, np.append(edge[1:], len(pdf)), strict=True):
+            x = a + np.flatnonzero(left[a:b])
+            y = x if same[a] else a + np.flatnonzero(~left[a:b])
+            bits_y = np.unpackbits(fp[y], axis=1).astype(np.float32)
+            for at in range(0, len(x), TILE):
+                bits_x = np.unpackbits(fp[x[at : at + TILE]], axis=1).astype(np.float32)
+                differ = bits_x.sum(1)[:, None] + bits_y.sum(1) - 2 * bits_x @ bits_y.T
+                i, j = np.nonzero((differ <= most) & (root[x[at : at + TILE], None] != root[y]))
+                p, q = root[x[at + i]], root[y[j]]
+                out.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0))
+        found = spanning(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64))
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return dealt.join(rooted, "cls").groupBy("part").applyInPandas(compare, "a long, b long").distinct()
+
+
+def spanning(edges: np.ndarray) -> np.ndarray:
+    """Fewest of the edges with the same components."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    kept = []
+    for a, b in edges.tolist():
+        a_top, b_top = top(a), top(b)
+        if a_top != b_top:
+            up[max(a_top, b_top)] = min(a_top, b_top)
+            kept.append((a, b))
+    return np.array(kept, np.int64).reshape(-1, 2)
 
 
 def class_of(shingles: np.ndarray) -> int:

@@ -428,6 +428,24 @@ def test_near_groups_find_similar_texts(spark):
     assert near_groups.one_of_each(odd(spark)).columns == odd(spark).columns and near_groups.one_of_each(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [1024, 200])
+def test_near_groups_find_pairs_inside_a_large_family(spark, monkeypatch, tile):
+    """Members of the family share blocks and are alike below the similarity, so that no pivot links a planted pair's two."""
+    monkeypatch.setattr(near_groups, "TILE", tile, raising=False)
+    rng = np.random.default_rng(8)
+    n, planted, close = 1500, 60, 40
+    in_block = np.arange(near_groups.BITS) < 640  # blocks come from these
+    flip = lambda x, block, rest: x ^ (rng.random(x.shape) < np.where(in_block, block, rest))
+    family = flip(np.tile(rng.random(near_groups.BITS) < 0.5, (n, 1)), 0.03, 0.18)
+    rows = np.concatenate([family, flip(family[:planted], 0.05, 0.12), flip(np.tile(family[n - 1], (close, 1)), 0.01, 0.03)])
+    found = spark.createDataFrame([(i, np.packbits(x).tobytes()) for i, x in enumerate(rows)], "cls long, fp binary")
+    root = {r.cls: r.root for r in near_groups.groups(found).collect()}
+    assert len(root) == len(rows)
+    assert sum(root[n + i] == i for i in range(planted)) == planted
+    assert sum(root[n + planted + i] == n - 1 for i in range(close)) == close
+    assert all(root[i] == i for i in range(n))
+
+
 # --- 7 passage dedup -----------------------------------------------------------------------------------------------------
 
 
