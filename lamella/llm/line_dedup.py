@@ -8,8 +8,9 @@ interval leave, and doubling goes on until none is left. Matches never cross doc
 
 In an interval the first suffix (smallest doc_id, null last, then position) is the original; the others
 repeat it. A line is deleted if it lies in a repeated run of at least ``MIN_LINES`` lines of which an
-earlier copy exists, or is a repeated line of at least ``MIN_WORDS`` words. Runs are maximal deleted
-stretches; blank lines are never symbols and stay.
+earlier copy exists, or is a repeated line of at least ``min_words`` words: ``MIN_WORDS`` in the query, as
+its SQL has it, and one in the pipeline's stage, where every later copy of a line goes. Runs are maximal
+deleted stretches; blank lines are never symbols and stay.
 
 Defined results: null text has no lines and stays null; rows equal in id and text are one document and
 share its result; a null id sorts last; empty tables give empty results; other columns pass by.
@@ -33,11 +34,11 @@ def _key():
     return F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text"))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text) rows to one row a non-blank line: key, no_id, doc_id, pos, name, long_line."""
     lines = docs.select(_key().alias("key"), "doc_id", F.posexplode(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_INK))).alias("pos", "line"))
     words = F.regexp_count("line", F.lit(WORD_RE))
-    return lines.select("key", F.isnull("doc_id").cast("int").alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "pos", F.xxhash64("line").alias("name"), (words >= MIN_WORDS).alias("long_line")).dropDuplicates(["key", "pos"])
+    return lines.select("key", F.isnull("doc_id").cast("int").alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "pos", F.xxhash64("line").alias("name"), (words >= min_words).alias("long_line")).dropDuplicates(["key", "pos"])
 
 
 def repeated(lines: DataFrame) -> DataFrame:
@@ -83,10 +84,10 @@ def _rebuild(text: str | None, hits: list[dict] | None) -> tuple[str | None, int
     return "\n".join(kept), n, len(gone), runs, deepest
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Two struct columns: ``row``, all columns of docs, and ``dedup``: text, n_lines, n_removed, n_runs, depth."""
     small_batches(docs.sparkSession)
-    hits = repeated(line_table(docs)).groupBy("key").agg(F.collect_list(F.struct("pos", "depth")).alias("hits"))
+    hits = repeated(line_table(docs, min_words)).groupBy("key").agg(F.collect_list(F.struct("pos", "depth")).alias("hits"))
     whole = docs.select(F.struct("*").alias("row"), F.col("text").alias("__text"), _key().alias("key"))
     joined = whole.join(hits, "key", "left").select("row", "__text", "hits")
     schema = "text:string,n_lines:bigint,n_removed:bigint,n_runs:bigint,depth:bigint"
@@ -109,7 +110,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_docs(docs: DataFrame) -> DataFrame:
     """Documents with deleted lines gone; a document of which all lines went leaves, one that had none stays."""
-    d = dedup_lines(docs)
+    d = dedup_lines(docs, min_words=1)
     kept = d.filter((F.col("dedup.n_lines") == 0) | (F.col("dedup.n_lines") > F.col("dedup.n_removed")))
     changed = {"text": F.col("dedup.text")}
     if "n_chars" in docs.columns:

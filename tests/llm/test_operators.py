@@ -116,6 +116,22 @@ def test_line_dedup_equals_brute_force(spark):
         assert (d.text, d.n_lines, d.n_removed, d.n_runs) == want, i
 
 
+def test_line_dedup_stage_deletes_short_copies(spark):
+    rnd = random.Random(4)
+    pool = [f"line {i}" for i in range(12)] + ["x", "a footer of six words here"]
+    texts = ["\n".join(rnd.choice([*pool, ""]) for _ in range(rnd.randint(0, 6))) + f"\nown {i}" for i in range(40)] + ["x", "own 3\nown 4", None, ""]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        kept = []
+        for line in (t or "").split("\n"):
+            if not line.strip() or line not in seen:
+                kept.append(line)
+            seen.add(line)
+        if any(x.strip() for x in kept) or not (t or "").strip():
+            want[i] = None if t is None else "\n".join(kept)
+    assert {r.doc_id: r.text for r in line_dedup.stage_docs(frame(spark, texts)).collect()} == want and 40 not in want
+
+
 def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(odd(spark)).count() == odd(spark).count()
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
