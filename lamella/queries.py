@@ -627,7 +627,7 @@ def feature_groups_and_selection(spark, sf):
 def gmm_diag(spark, sf):
     e, cols = embedding_columns(spark, sf)
     x = learning.standardise(e, cols).select("vec_id", *cols)
-    m = learning.DiagonalMixture(10, starts=1, iterations=8).fit(x, cols)
+    m = learning.DiagonalMixture(10).fit(x, cols)
     return ranking.argmax_with_confidence(m.transform(x, cols), "probabilities").select("vec_id", "cluster_id", "cluster_confidence")
 
 
@@ -660,7 +660,7 @@ def macro_group_metrics(spark, sf):
 @query()
 def forest_cross_validation(spark, sf):
     t = table(spark, sf, "documents").select("doc_id", "source", F.length("text").cast("double").alias("f1"), F.regexp_count("text", F.lit("[A-Z]")).cast("double").alias("f2")).join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    out, _ = learning.cross_validate(t, ["f1", "f2"], "source", "label", folds=2, trees=5, depth=4)
+    out, _ = learning.cross_validate(t, ["f1", "f2"], "source", "label")
     return out.select("doc_id", "label", "probability", "predicted", "fold")
 
 

@@ -46,3 +46,22 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES) - SLOW))
 def test_query_has_rows(spark, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
+
+
+def test_learning_queries_run_at_the_reference_parameters(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def see(*args, **kw):
+        raise Seen(*args, kw)
+
+    monkeypatch.setattr(Q.learning.DiagonalMixture, "fit", see)
+    with pytest.raises(Seen) as e:
+        Q.QUERIES["gmm_diag"](spark, SF)
+    mixture = e.value.args[0]
+    assert (mixture.kind, mixture.starts, mixture.iterations, mixture.floor) == ("diag", 3, 500, 1e-5)
+    monkeypatch.setattr(Q.learning, "forest", see)
+    with pytest.raises(Seen) as e:
+        Q.QUERIES["forest_cross_validation"](spark, SF)
+    assert e.value.args[-1] == {}  # the defaults: 300 trees, depth 16, leaf 5
+    assert Q.learning.cross_validate.__defaults__ == (5,)
