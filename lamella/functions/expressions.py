@@ -154,10 +154,6 @@ def is_tissue(r: Column, g: Column, b: Column) -> Column:
     return (((low < 230) & (top - low > 10)) | (mean < 180)) & (mean > 15)
 
 
-def is_red_ink(hue: Column, saturation: Column, value: Column, least_saturation: int = 100, least_value: int = 50) -> Column:
-    return ((hue <= 10) | (hue >= 170)) & (saturation >= least_saturation) & (value >= least_value)
-
-
 def optical_density(c: Column) -> Column:
     return -F.log((c.cast("double") + 1) / 256)
 
@@ -173,3 +169,67 @@ def stain_amounts(r: Column, g: Column, b: Column) -> tuple[Column, ...]:
     inverse = np.linalg.inv(np.array(STAINS))
     od = [-F.log(F.greatest(x.cast("double") / 255, F.lit(1e-6))) / math.log(1e6) for x in (r, g, b)]
     return tuple(F.greatest(F.lit(0.0), sum((od[i] * float(inverse[i, j]) for i in range(3)), F.lit(0.0))) for j in range(3))
+
+
+def slide_mpp(properties: Column) -> Column:
+    """Scale along x and y from a slide's property map; null where absent, no number, or not positive."""
+    def axis(a: str) -> Column:
+        v = safe_double(properties[f"openslide.mpp-{a}"])
+        return F.when(v > 0, v)
+
+    return F.struct(axis("x").alias("x"), axis("y").alias("y"))
+
+
+def override_mpp(own: Column, override: Column) -> Column:
+    """An override of one or two numbers before the slide's own scale; null unless both are positive and finite."""
+    pick = lambda i: safe_double(F.when(F.size(override) >= 1, F.coalesce(F.get(override, F.lit(i)), F.when(F.size(override) == 1, F.get(override, F.lit(0))))))
+    given = F.coalesce(F.size(override), F.lit(-1)) >= 0
+    x, y = F.when(given, pick(0)).otherwise(own["x"]), F.when(given, pick(1)).otherwise(own["y"])
+    good = (x > 0) & (y > 0) & ~F.coalesce(F.size(override) > 2, F.lit(False))
+    return F.when(good, F.struct(x.alias("x"), y.alias("y")))
+
+
+def region_tag(slide: Column, region: Column) -> Column:
+    """Slide and region as file names have them; null if either could leave the folder."""
+    tag = F.concat(slide, F.lit("_"), region)
+    return F.when(~tag.rlike(r"[/\\]"), tag)
+
+
+def region_files(root: str, slide: Column, region: Column) -> Column:
+    """Paths of a region's label mask and image, first choice and fallback."""
+    tag = region_tag(slide, region)
+    path = lambda folder, kind: F.concat(F.lit(f"{root}/{folder}/{kind}_"), tag, F.lit(".tif"))
+    return F.struct(path("region_mask", "mask").alias("mask"), path("region_rgb", "rgb").alias("rgb"), path("mask", "mask").alias("mask_2"), path("rgb", "rgb").alias("rgb_2"))
+
+
+def mask_file(slide: Column, region: Column, level: Column, min_x: Column, min_y: Column, width: Column, height: Column, suffix: str) -> Column:
+    """A region mask's file name."""
+    return F.concat(F.lit("polyepi_"), slide, F.lit("_"), region, F.lit("_L"), level.cast("string"), F.lit("_"), min_x.cast("string"), F.lit("_"), min_y.cast("string"), F.lit("_"), width.cast("string"), F.lit("x"), height.cast("string"), F.lit("." + suffix))
+
+
+def missing_defaults(columns: list[str], present: list[str]) -> list[Column]:
+    """The columns in order, those that are not present as null doubles."""
+    return [F.col(c) if c in present else F.lit(None).cast("double").alias(c) for c in columns]
+
+
+def centre_text(x: Column, y: Column) -> Column:
+    """(x, y) with two digits."""
+    return F.format_string("(%.2f, %.2f)", x.cast("double"), y.cast("double"))
+
+
+#: Cluster colours in order.
+CLUSTER_COLOURS = (
+    "#0066FF", "#00CC44", "#FF7A00", "#00D9E6", "#FFD600", "#D500F9", "#FF1744", "#004D40", "#7C4DFF", "#76FF03",
+    "#8C2F00", "#008C99", "#B89B00", "#000080", "#A00060", "#4A6600", "#00FF99", "#FF4081", "#6500A8", "#263238",
+)
+
+
+def cluster_colour(cluster: Column, clusters: int) -> Column:
+    """Colour of a 1-based cluster: the list while it lasts, else hues spread evenly."""
+    import colorsys
+
+    if clusters <= len(CLUSTER_COLOURS):
+        names = CLUSTER_COLOURS[:clusters]
+    else:
+        names = ["#" + "".join(f"{round(255 * v):02x}" for v in colorsys.hsv_to_rgb(i / clusters, 1, 1)) for i in range(clusters)]
+    return F.get(F.array(*[F.lit(c) for c in names]), cluster - 1)

@@ -315,6 +315,14 @@ def gabor(values: np.ndarray, frequency: float, theta: float) -> np.ndarray:
     return np.abs(full[2 * r : 2 * r + values.shape[0], 2 * r : 2 * r + values.shape[1]])
 
 
+def clumping(values: np.ndarray, mask: np.ndarray) -> float:
+    """Mean over a nucleus of the variance in 5 x 5, values outside it counting as 0; NaN for fewer than 16 pixels."""
+    if mask.sum() < 16:
+        return math.nan
+    own = np.where(mask, values, 0.0)
+    return float(np.maximum(box_mean(own**2, 5) - box_mean(own, 5) ** 2, 0)[mask].mean())
+
+
 def texture(values: np.ndarray, mask: np.ndarray) -> dict[str, float]:
     """Gabor and peak measurements of one nucleus; the pixel-row operators hold the rest."""
     out: dict[str, float] = {}

@@ -49,3 +49,51 @@ def training_table(features: DataFrame, labels: DataFrame, keys: list[str], pati
         raise ContractError("a slide with more than one patient")
     usable = labels.filter(F.col(label) >= 0)
     return usable.join(features, keys), usable.join(features, keys, "left_anti").count()
+
+
+def pair_measurements(coords: DataFrame, measured: DataFrame, pair: DataFrame, review: DataFrame, regions: DataFrame, allow_serial: bool = False, most_error: float = 2.0) -> DataFrame:
+    """All cells of the pairs' slides with their measurements, weak label and the pair's identity; unmeasured cells stay.
+
+    pair: one row a slide (slide, patient_id, pair_id, registration_id, section_relationship).
+    """
+    keys = ["slide", "region", "cell_label"]
+    if not coords.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ContractError("coordinates with a repeated cell")
+    if not coords.filter(F.col("region").rlike(r"[/\\]")).isEmpty():
+        raise ContractError("a region name with a path separator")
+    x = coords.select(*keys, "cx_wsi", "cy_wsi").join(measured, keys, "left")
+    section = review.drop("section_relationship").join(pair.select("slide", "section_relationship"), "slide")
+    return weak_labels(x, section, regions, allow_serial, most_error).join(pair, "slide")
+
+
+def review_regions(coords: DataFrame, residuals: DataFrame | None = None, at_least: int = 3) -> DataFrame:
+    """A table to review: every region, not approved, with its largest landmark error where it has enough landmarks."""
+    x = coords.select("slide", "region").distinct().withColumns({"approved": F.lit(False), "notes": F.lit("")})
+    if residuals is None:
+        return x.withColumn("max_registration_error_um", F.lit(None).cast("double"))
+    worst = residuals.groupBy("slide", "region").agg(F.count("*").alias("n"), F.max("registration_error_um").alias("max_registration_error_um")).filter(F.col("n") >= at_least)
+    return x.join(worst.drop("n"), ["slide", "region"], "left")
+
+
+def current_weak_labels(measured: DataFrame, pairs: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Labels of all extracted pairs; raises if one was extracted for another registration, review or identity.
+
+    measured: cells with pair_id, registration_id, patient_id, p53_label; pairs: (pair_id, patient_id, he_slide,
+    pair_signature, registered_signature, registration_id, review, region_review_sha256), as they are now; extractions:
+    (pair_id, registration_id, review, region_review_sha256), as they were. Pairs without extraction are left out.
+    """
+    e = extractions.select("pair_id", *[F.col(c).alias(f"__{c}") for c in ("registration_id", "review", "region_review_sha256")])
+    now = pairs.join(e, "pair_id")
+    if not now.filter(~F.col("pair_signature").eqNullSafe(F.col("registered_signature"))).isEmpty():
+        raise ContractError("a source pair changed after its registration")
+    stale = F.lit(False)
+    for c in ("registration_id", "review", "region_review_sha256"):
+        stale = stale | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+    if not now.filter(stale).isEmpty():
+        raise ContractError("a registration or review changed after the extraction")
+    x = measured.join(now.select("pair_id", F.col("registration_id").alias("__now"), F.col("patient_id").alias("__patient"), F.col("he_slide").alias("__slide")), "pair_id")
+    if not x.filter(~F.col("registration_id").eqNullSafe(F.col("__now"))).isEmpty():
+        raise ContractError("measurements of an earlier registration")
+    if not x.filter(~(F.col("patient_id").eqNullSafe(F.col("__patient")) & F.col("slide").eqNullSafe(F.col("__slide")))).isEmpty():
+        raise ContractError("measurements of another patient or slide")
+    return x.select("slide", "region", "cell_label", "patient_id", F.col("p53_label").alias("label"), F.lit("p53_staining_weak_label").alias("label_source"))

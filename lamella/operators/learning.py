@@ -342,3 +342,8 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float) -> D
 
 def metrics_by_group(df: DataFrame, group: str, label: str, score: str, threshold: float) -> DataFrame:
     return rates(df.groupBy(group).agg(*[v.alias(k) for k, v in confusion(F.col(label), (F.col(score) >= threshold).cast("int")).items()]))
+
+
+def macro_mean(per_group: DataFrame, column: str) -> DataFrame:
+    """Mean over the groups that have a value, and how many have."""
+    return per_group.agg(F.avg(column).alias(f"macro_{column}"), F.count(column).alias("groups"))

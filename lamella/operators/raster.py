@@ -24,11 +24,6 @@ def region_properties(pixels: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumns({"equivalent_diameter_px": F.sqrt(4 * F.col("area_px") / math.pi), "eccentricity": F.sqrt(1 - F.pow(F.col("minor_axis_length_px") / F.col("major_axis_length_px"), 2)), "aspect_ratio": F.col("major_axis_length_px") / (F.col("minor_axis_length_px") + EPS), "roundness": 4 * F.col("area_px") / (math.pi * F.pow("major_axis_length_px", 2) + EPS)}).drop("vy", "vx", "vxy")
 
 
-def with_perimeter(shapes: DataFrame, area: str = "area_px", perimeter: str = "perimeter_px") -> DataFrame:
-    a, p = F.col(area), F.col(perimeter)
-    return shapes.withColumns({"circularity": 4 * math.pi * a / (p * p + EPS), "perimeter_area_ratio": p / (a + EPS), "nuclear_membrane_irregularity_index": p * p / (4 * math.pi * a + EPS)})
-
-
 def paint(cells: DataFrame, by: list[str], label: str = "label") -> DataFrame:
     """The visible label of each pixel: the later cell, so the larger label, lies on top."""
     return cells.groupBy(*by, "row", "col").agg(F.max(label).alias(label))
@@ -67,17 +62,6 @@ def histogram_threshold(pixels: DataFrame, by: list[str], value: str) -> DataFra
     return pixels.select(*by).distinct().join(best, by, "left").select(*by, F.coalesce("threshold", F.lit(0)).alias("threshold"))
 
 
-def stretch(pixels: DataFrame, by: list[str], value: str, name: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Values clipped between two exact percentiles of their region and scaled to 0 .. 1."""
-    q = pixels.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("__lo"), F.percentile(value, F.lit(high)).alias("__hi"))
-    q = q.withColumn("__hi", F.when(F.col("__hi") <= F.col("__lo"), F.col("__lo") + EPS).otherwise(F.col("__hi")))
-    return pixels.join(q, by).withColumn(name, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))))).drop("__lo", "__hi")
-
-
-def quantise(pixels: DataFrame, by: list[str], value: str, levels: int = 32) -> DataFrame:
-    return stretch(pixels, by, value, "q").withColumn("q", F.floor(F.col("q") * (levels - 1)).cast("int"))
-
-
 def co_occurrence(pixels: DataFrame, by: list[str], distances: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(by, row, col, q) to by, distance, angle, q1, q2, p: symmetric, normalised, at 0, 45, 90 and 135 degrees."""
     offsets = [(d, a, round(-d * math.sin(a * math.pi / 4)), round(d * math.cos(a * math.pi / 4))) for d in distances for a in range(4)]
@@ -115,16 +99,17 @@ def box_dimension(boundary: DataFrame, by: list[str], sizes: tuple[int, ...]) ->
     return n.groupBy(*by).agg(F.regr_slope(F.log(F.col("n").cast("double")), F.log(1.0 / F.col("size"))).alias("fractal_dimension_boundary"))
 
 
-def local_patterns(pixels: DataFrame, by: list[str], value: str) -> DataFrame:
+def local_patterns(pixels: DataFrame, by: list[str], value: str, counted: str | None = None) -> DataFrame:
     """Uniform binary patterns of the eight neighbours, as ten shares a region; bin 9 holds patterns of over two changes.
 
-    Pixels without all neighbours are compared with 0 there.
+    Pixels without all neighbours are compared with 0 there; only counted ones enter the shares.
     """
     ring = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
     o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc")) for i, (dr, dc) in enumerate(ring)]))
     seen = pixels.select(*by, "row", "col", F.col(value).alias("w"), o.alias("o")).select(*by, (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "o.i", "w")
     around = seen.groupBy(*by, "row", "col").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
-    x = pixels.join(around, [*by, "row", "col"], "left")
+    x = pixels.filter(counted) if counted else pixels
+    x = x.join(around, [*by, "row", "col"], "left")
     bits = [(F.coalesce(F.col("m")[F.lit(i)], F.lit(0.0)) >= F.col(value)).cast("int") for i in range(8)]
     x = x.select(*by, F.array(*bits).alias("b"))
     changes = sum((F.abs(F.col("b")[i] - F.col("b")[(i + 1) % 8]) for i in range(8)), F.lit(0))

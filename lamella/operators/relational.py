@@ -184,3 +184,33 @@ def tiles(boxes: DataFrame, keys: list[str], width: str, height: str, size: int
     t = boxes.select(*keys, width, height, F.explode(starts(width)).alias("x0")).select("*", F.explode(starts(height)).alias("y0"))
     t = t.withColumn("x1", F.least(F.col("x0") + size, F.col(width))).withColumn("y1", F.least(F.col("y0") + size, F.col(height)))
     return t.select(*keys, "x0", "y0", "x1", "y1", F.greatest(F.lit(0), F.col("x0") - pad).alias("cx0"), F.greatest(F.lit(0), F.col("y0") - pad).alias("cy0"), F.least(F.col("x1") + pad, F.col(width)).alias("cx1"), F.least(F.col("y1") + pad, F.col(height)).alias("cy1"))
+
+
+def legend(counts: DataFrame, types: DataFrame, by: list[str]) -> DataFrame:
+    """Types above 0 that occur, ascending, with their names; counts: (by, type, n), types: (type, name)."""
+    w = W.partitionBy(*by).orderBy("type")
+    x = counts.filter((F.col("type") > 0) & (F.col("n") > 0)).join(types, "type", "left")
+    return x.withColumn("place", F.row_number().over(w))
+
+
+def ordered_names(features: DataFrame, by: list[str], score: str, position: str, name: str) -> DataFrame:
+    """Each group's names by falling score; equal scores keep their position, missing scores come last."""
+    order = [F.col(score).desc_nulls_last(), F.col(position)]
+    return features.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).select(*by, "place", name)
+
+
+def largest_of(parts: DataFrame, by: list[str], size: Column, tie: str) -> DataFrame:
+    """The row of largest size in each group, the first by tie."""
+    best = parts.groupBy(*by).agg(F.max_by(F.struct(*[c for c in parts.columns if c not in by]), F.struct(size, -F.col(tie))).alias("__best"))
+    return best.select(*by, "__best.*")
+
+
+def vocabulary(tables: list[DataFrame], wanted: list[str]) -> tuple[list[str], list[str]]:
+    """Names that any table has, and those of wanted that every table has, in order."""
+    found = [set(t.columns) for t in tables]
+    return sorted(set().union(*found)), [c for c in wanted if all(c in f for f in found)]
+
+
+def distinct_rows(df: DataFrame, columns: list[str], digits: int = 12) -> DataFrame:
+    """Number of distinct rows of a matrix, which bounds how many groups it can give."""
+    return df.select(*[F.round(c, digits).alias(c) for c in columns]).distinct().agg(F.count("*").alias("n_distinct"))

@@ -149,3 +149,27 @@ def affine_points(points: DataFrame, m: tuple[float, float, float, float, float,
     """Pixel positions of one slide in another's pixels, through micrometres."""
     x, y = F.col("x") * mpp_from, F.col("y") * mpp_from
     return points.withColumns({"x": (m[0] * x + m[1] * y + m[2]) / mpp_to, "y": (m[3] * x + m[4] * y + m[5]) / mpp_to})
+
+
+def landmark_errors(pairs: DataFrame, m: tuple[float, float, float, float, float, float]) -> DataFrame:
+    """Pairs (he_x, he_y, p53_x, p53_y, in micrometres) with the distance between the mapped and the marked point."""
+    x = m[0] * F.col("he_x") + m[1] * F.col("he_y") + m[2]
+    y = m[3] * F.col("he_x") + m[4] * F.col("he_y") + m[5]
+    return pairs.withColumn("registration_error_um", F.hypot(x - F.col("p53_x"), y - F.col("p53_y")))
+
+
+def folded_share(field: DataFrame, by: list[str], inside: str) -> DataFrame:
+    """Share of inside positions at which a displacement field (by, row, col, dx, dy, in pixels) folds: its Jacobian is not positive.
+
+    Differences are central, one-sided at the edge; without inside positions the share is 1.
+    """
+    def slope(c: str, across: str, along: str) -> Column:
+        w = W.partitionBy(*by, across).orderBy(along)
+        ahead, behind = F.coalesce(F.lead(c).over(w), F.col(c)), F.coalesce(F.lag(c).over(w), F.col(c))
+        step = F.coalesce(F.lead(along).over(w), F.col(along)) - F.coalesce(F.lag(along).over(w), F.col(along))
+        return F.when(step > 0, (ahead - behind) / step).otherwise(0.0)
+
+    x = field.withColumns({"__xx": slope("dx", "row", "col"), "__yx": slope("dy", "row", "col"), "__xy": slope("dx", "col", "row"), "__yy": slope("dy", "col", "row")})
+    jacobian = (1 + F.col("__xx")) * (1 + F.col("__yy")) - F.col("__xy") * F.col("__yx")
+    share = F.avg(F.when(F.col(inside), (jacobian <= 0).cast("double")))
+    return x.groupBy(*by).agg(F.coalesce(share, F.lit(1.0)).alias("nonpositive_jacobian_fraction"))

@@ -47,6 +47,27 @@ def segmenter(spark: SparkSession, path: str) -> DataFrame:
     return x.select("source", "pos", X.rounded_point(F.col("cell.centroid")).alias("centroid"), X.contour_points(F.col("cell.contour")).alias("contour"), id_.alias("type"), F.col("cell.type_prob").alias("type_prob"), X.type_label(id_, F.col("type_map")).alias("type_name"))
 
 
+def detections(cells: DataFrame, files: DataFrame) -> DataFrame:
+    """Each segmenter file with the detection file beside it, null where there is none. cells: (source); files: (path)."""
+    folder = lambda c: F.regexp_replace(c, r"[^/]*$", "")
+    beside = files.filter(F.col("path").endswith("/cell_detection.json")).select(folder(F.col("path")).alias("__folder"), F.col("path").alias("detection"))
+    return cells.withColumn("__folder", folder(F.col("source"))).join(beside, "__folder", "left").drop("__folder")
+
+
+def region_images(regions: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """Each region's mask and image file, both from the first folder that has both. files: (path); raises where neither has."""
+    here = files.select(F.col("path").alias("__p"))
+    x = regions.withColumn("__f", X.region_files(root, F.col("slide"), F.col("region")))
+    for n in ("mask", "rgb", "mask_2", "rgb_2"):
+        x = x.join(here.withColumnRenamed("__p", f"__{n}"), F.col(f"__f.{n}") == F.col(f"__{n}"), "left")
+    first = F.col("__mask").isNotNull() & F.col("__rgb").isNotNull()
+    second = F.col("__mask_2").isNotNull() & F.col("__rgb_2").isNotNull()
+    out = x.select(*regions.columns, F.when(first, F.col("__mask")).when(second, F.col("__mask_2")).alias("mask"), F.when(first, F.col("__rgb")).when(second, F.col("__rgb_2")).alias("rgb"))
+    if not out.filter("mask IS NULL").isEmpty():
+        raise ContractError("a region without an image and a mask")
+    return out
+
+
 def cell_tables(spark: SparkSession, paths: str | list[str], slide: str | None = None) -> DataFrame:
     """Cell CSVs with points parsed; a slide filter reaches the scan."""
     x = spark.read.option("header", "true").schema(CELL_SCHEMA).csv(paths)
@@ -135,6 +156,6 @@ def landmarks(spark: SparkSession, path: str, he_mpp: float, p53_mpp: float) ->
     """Landmark pairs in micrometres, all finite."""
     x = spark.read.option("header", "true").schema("he_x double, he_y double, p53_x double, p53_y double, region string").csv(path)
     cols = ["he_x", "he_y", "p53_x", "p53_y"]
-    if not x.filter(" OR ".join(f"{c} IS NULL OR isnan({c})" for c in cols)).isEmpty():
+    if not x.filter(" OR ".join(f"{c} IS NULL OR isnan({c}) OR abs({c}) = double('infinity')" for c in cols)).isEmpty():
         raise ContractError("a landmark without a number")
     return x.withColumns({c: F.col(c) * (he_mpp if c.startswith("he") else p53_mpp) for c in cols})

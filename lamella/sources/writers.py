@@ -6,6 +6,7 @@ import json
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamella.operators.relational import ContractError
@@ -64,3 +65,15 @@ def model_bundle(model: PipelineModel, metadata: dict, path: str) -> None:
     from pyspark.sql import SparkSession as S
 
     json_value(S.active(), metadata, f"{path}/metadata")
+
+
+def region_masks(pixels: DataFrame, frames: DataFrame, by: list[str], path: str) -> None:
+    """Region masks as runs of pixels with their frame and file name, one row a run, partitioned by slide."""
+    from lamella.functions.expressions import mask_file
+
+    w = W.partitionBy(*by, "row").orderBy("col")
+    start = F.when(F.coalesce(F.lag("col").over(w) != F.col("col") - 1, F.lit(True)), F.col("col"))
+    runs = pixels.select(*by, "row", "col").distinct().withColumn("__start", F.last(start, ignorenulls=True).over(w))
+    runs = runs.groupBy(*by, "row", F.col("__start").alias("first_col")).agg(F.max("col").alias("last_col"))
+    name = mask_file(F.col("slide"), F.col("region"), F.col("level"), F.col("min_x"), F.col("min_y"), F.col("width"), F.col("height"), "npy")
+    runs.join(frames, by).withColumn("file", name).write.mode("overwrite").partitionBy("slide").parquet(path)
