@@ -19,8 +19,12 @@ corpus would have them, phrases (the dictionary) first and what follows (the par
 Only whether another suffix shares ``length`` bytes matters, so that classes of equal prefixes take the
 place of sorted ranks; they are the suffix array's intervals with a common prefix of that length.
 Equality is by 64-bit polynomial hashes. Hashes travel packed, a block of texts at a time, to buckets by
-value, and come back as flags; equal hashes of one block travel, and a bucket holds, 8 bytes each, so no
-text meets another in a task.
+value, and come back as flags; equal hashes of one block are merged before they travel, so that a phrase
+that fills the corpus costs its bucket 8 bytes a block, and no text meets another in a task.
+
+Beside the removal, a text's shared stretches are given: maximal runs of phrases of which all neighbouring
+pairs occur elsewhere, where they hold ``PASSAGE`` bytes or more. They show passages that are repeated but
+shorter than ``length``, of which nothing is removed; they are exact to a phrase (about ``PHRASE`` bytes).
 
 Defined results: null text counts as empty; texts shorter than ``length`` lose nothing; repeated rows
 repeat each other; null ids stay; an empty table gives an empty result; other columns pass by.
@@ -43,11 +47,13 @@ from .common import documents, materialise, small_batches
 LENGTH = 400
 TRIGGER = 16
 PHRASE = 48  # the mean distance of triggers
+PASSAGE = 256
 BLOCK_BYTES = 3 << 20
 BUCKET_HASHES = 1_500_000
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) | np.uint64(1)
 REPEATED, FIRST, WANTED = 1, 2, 4
+UNASKED, TWICE = 1, 2  # what a sender says of a hash: nobody in the block asks for it; the block has it twice
 
 
 @lru_cache(maxsize=4)
@@ -136,6 +142,16 @@ class Parse:
             ok &= few | wanted[np.minimum(own + 1, len(self.last) - 1)]
         return at[ok], own[ok]
 
+    def shared(self, pairs: np.ndarray) -> np.ndarray:
+        """Per text: bytes in shared stretches."""
+        m, out = len(self.last), np.zeros(len(self.ends), np.int64)
+        ok = pairs & self.pair_ok
+        head = np.flatnonzero(ok & ~np.append(False, ok[:-1])) if m else np.zeros(0, np.int64)
+        tail = np.flatnonzero(ok & ~np.append(ok[1:], False)) if m else head
+        size = self.last[np.minimum(tail + 1, m - 1)] + 1 - self.begin[head]
+        np.add.at(out, np.searchsorted(self.ends, self.last[head], "right"), np.where(size >= PASSAGE, size, 0))
+        return out
+
     def pieces(self, starts: np.ndarray):
         """Per text: bytes, kept bytes, removed bytes, maximal removed runs, from the starts of repeated strings."""
         change = np.zeros(self.n + 1, np.int32)
@@ -185,22 +201,22 @@ def blocks(docs: DataFrame) -> DataFrame:
 def exchange(sent: DataFrame) -> DataFrame:
     """(bucket, block, hashes, kinds) to one row a block: block, flags: a list of (bucket, flags).
 
-    REPEATED: the hash was sent twice at least; FIRST: this is its first sender; WANTED: some sender's kind is 0.
+    REPEATED: the hash was sent twice at least; FIRST: this is its first sender; WANTED: some sender asks for it.
     """
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block", kind="stable")
         parts = [_unpack(x, "<u8") for x in pdf["hashes"]]
         h = np.concatenate(parts)
-        kind = np.concatenate([np.frombuffer(x, np.uint8) if len(x) == len(p) else np.full(len(p), x[0] if len(x) else 1, np.uint8) for x, p in zip(pdf["kinds"], parts, strict=True)])
+        kind = np.concatenate([np.full(len(p), x[0], np.uint8) if len(x) == 1 else _unpack(x, np.uint8) for x, p in zip(pdf["kinds"], parts, strict=True)])
         order = np.argsort(h, kind="stable")
-        s = h[order]
-        starts = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+        s, k = h[order], kind[order]
+        starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         size = np.diff(np.append(starts, len(s)))
-        flags = np.zeros(len(h), np.uint8)
-        own = np.repeat(np.arange(len(starts)), size)
-        low = np.minimum.reduceat(kind[order], starts) if len(s) else np.zeros(0, np.uint8)
-        flags[order] = (size > 1)[own] * REPEATED + (low == 0)[own] * WANTED
+        repeated = (size > 1) | (np.bitwise_or.reduceat(k, starts) & TWICE > 0)
+        wanted = np.bitwise_and.reduceat(k, starts) & UNASKED == 0
+        flags = np.empty(len(h), np.uint8)
+        flags[order] = np.repeat(repeated * REPEATED + wanted * WANTED, size)
         flags[order[starts]] |= FIRST
         cuts = np.cumsum([len(p) for p in parts])
         pdf = pdf[["block", "bucket"]].copy()
@@ -210,23 +226,36 @@ def exchange(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(meet, "block string, bucket long, flags binary").groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
 
 
-def _send(block: str, h: np.ndarray, kinds: np.ndarray | None, buckets: int):
+def _distinct(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes by bucket and value: the order, the first of each run of equal ones, the distinct ones, their buckets' ends, and each one's number."""
     part = (h >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(buckets + 1))
+    order = np.argsort(h, kind="stable")
+    order = order[np.argsort(part[order].astype(np.int32), kind="stable")]
+    s = h[order]
+    lead = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
+    starts = np.flatnonzero(lead)
+    return order, starts, s[starts], np.searchsorted(part[order[starts]], np.arange(buckets + 1)), np.cumsum(lead) - 1
+
+
+def _send(block: str, h: np.ndarray, kinds: np.ndarray | None, buckets: int):
+    order, starts, distinct, cuts, _ = _distinct(h, buckets)
+    said = np.diff(np.append(starts, len(h))) > 1
+    said = said * np.uint8(TWICE) | (np.full(len(starts), UNASKED, np.uint8) if kinds is None else np.bitwise_and.reduceat(kinds[order], starts) if len(starts) else np.zeros(0, np.uint8))
     used = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-    hashes = [_pack(h[order[cuts[k] : cuts[k + 1]]]) for k in used]
-    sent = [b"\1" if kinds is None else kinds[order[cuts[k] : cuts[k + 1]]].tobytes() for k in used]
+    hashes = [_pack(distinct[cuts[k] : cuts[k + 1]]) for k in used]
+    parts = [said[cuts[k] : cuts[k + 1]] for k in used]
+    sent = [p[:1].tobytes() if (p == p[0]).all() else _pack(p) for p in parts]
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([block] * len(used), pa.string()), pa.array(hashes, pa.binary()), pa.array(sent, pa.binary())], ["bucket", "block", "hashes", "kinds"])
 
 
 def _receive(h: np.ndarray, got: list[dict] | None, buckets: int) -> np.ndarray:
-    out = np.zeros(len(h), np.uint8)
-    part = (h >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(buckets + 1))
+    order, starts, distinct, cuts, own = _distinct(h, buckets)
+    flags = np.zeros(len(distinct), np.uint8)
     for x in got or ():
-        out[order[cuts[x["bucket"]] : cuts[x["bucket"] + 1]]] = _unpack(x["flags"], np.uint8)
+        flags[cuts[x["bucket"]] : cuts[x["bucket"] + 1]] = _unpack(x["flags"], np.uint8)
+    out = np.empty(len(h), np.uint8)
+    out[order] = flags[own] & np.uint8(255 - FIRST)
+    out[order[starts]] = flags  # of equal hashes in a block, one is the first
     return out
 
 
@@ -234,7 +263,7 @@ _SENT = "bucket long, block string, hashes binary, kinds binary"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text) rows to doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
+    """(doc_id, text) rows to doc_id, n_bytes, n_removed, n_spans, kept (binary), n_shared."""
     small_batches(docs.sparkSession)
     table = materialise(blocks(docs), "texts")
     buckets = max(1, -(-(table.agg(F.sum("n_hashes")).first()[0] or 0) // BUCKET_HASHES))
@@ -267,7 +296,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def two(batches):
         for r in rows(batches):
             p, _, _, _, _, asked, stand = level_two(r)
-            kinds = np.concatenate([np.zeros(len(asked), np.uint8), np.ones(len(stand), np.uint8)])
+            kinds = np.concatenate([np.zeros(len(asked), np.uint8), np.full(len(stand), UNASKED, np.uint8)])
             yield _send(r["block"], np.concatenate([p.pair_hash[asked], p.pair_hash[stand]]), kinds, buckets)
 
     known = table.join(first, "block", "left")
@@ -281,11 +310,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         wanted[stand[flags & WANTED > 0]] = True
         at, _ = p.strings(np.flatnonzero(stands), np.ones(len(p.last), bool), wanted)
         starts = np.concatenate([ask_at, at])
-        return p, all_repeat, starts, len(ask_at), p.hash(starts, starts + p.length)
+        return p, all_repeat, starts, len(ask_at), p.hash(starts, starts + p.length), pairs
 
     def three(batches):
         for r in rows(batches):
-            _, _, _, _, h = level_three(r)
+            _, _, _, _, h, _ = level_three(r)
             yield _send(r["block"], h, None, buckets)
 
     known = known.join(second, "block", "left")
@@ -293,20 +322,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def last(batches):
         for r in rows(batches):
-            p, all_repeat, starts, asked, h = level_three(r)
+            p, all_repeat, starts, asked, h, pairs = level_three(r)
             flags = _receive(h, r["three"], buckets)[:asked]
             sure = np.flatnonzero(all_repeat)
             n = p.high[sure] - p.low[sure] + 1
             whole = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(p.low[sure], n)
             out = list(p.pieces(np.concatenate([whole, starts[:asked][flags & REPEATED > 0]])))
+            shared = p.shared(pairs)
             for a in range(0, len(out), 500):
                 size, kept, removed, spans = zip(*out[a : a + 500], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r["ids"][a : a + 500], pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["ids"][a : a + 500], pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(shared[a : a + 500], pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared"])
 
     known = known.join(third, "block", "left")
-    return known.mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return known.mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = remove_repeats(documents(spark, sf_dir))
-    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "n_shared")
