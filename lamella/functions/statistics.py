@@ -34,11 +34,3 @@ def circular_variance(angle: Column) -> Column:
     """Of axes: one minus the mean resultant of doubled angles."""
     a = finite(angle)
     return 1 - F.sqrt(F.pow(F.avg(F.cos(2 * a)), 2) + F.pow(F.avg(F.sin(2 * a)), 2))
-
-
-def safe_ratio(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)
-
-
-def quartiles(column: str) -> Column:
-    return F.percentile(finite(F.col(column)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

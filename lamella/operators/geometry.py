@@ -340,17 +340,6 @@ def texture(values: np.ndarray, mask: np.ndarray) -> dict[str, float]:
     return out
 
 
-def bilinear(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values at fractional positions, and whether they lie inside."""
-    h, w = image.shape[:2]
-    ok = (x >= 0) & (y >= 0) & (x <= w - 1) & (y <= h - 1)
-    xc, yc = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
-    x0, y0 = np.minimum(np.floor(xc).astype(int), max(w - 2, 0)), np.minimum(np.floor(yc).astype(int), max(h - 2, 0))
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-    fx, fy = xc - x0, yc - y0
-    return image[y0, x0] * (1 - fx) * (1 - fy) + image[y0, x1] * fx * (1 - fy) + image[y1, x0] * (1 - fx) * fy + image[y1, x1] * fx * fy, ok
-
-
 def fit_affine(source: np.ndarray, target: np.ndarray, tolerance: float, rounds: int = 500, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """An affine transform by random samples of three points, refitted on all within tolerance: (2 x 3, inliers).
 

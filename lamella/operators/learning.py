@@ -8,15 +8,15 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamella.functions.expressions import finite
-from lamella.functions.statistics import quartiles
 from lamella.operators.relational import ContractError
+from lamella.storage import stored
 
 
 def clean_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,9 +34,38 @@ def varying(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c, v in variances(df, columns).items() if v]
 
 
+def counted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column's distinct finite values in order: c (the column's place), v, n, end (rows up to here), total.
+
+    Counts combine before the shuffle; sorted values are cut into ranges, each summed in one task from the offset of the
+    ranges before it, so that no column has to fit a task.
+    """
+    long = df.select(F.posexplode(F.array(*[finite(F.col(f"`{c}`").cast("double")) for c in columns])).alias("c", "v")).filter("v IS NOT NULL")
+    x = stored(long.groupBy("c", "v").agg(F.count("*").alias("n")).orderBy("c", "v").withColumn("part", F.spark_partition_id()), "counted")
+    parts = x.groupBy("c", "part").agg(F.sum("n").alias("m"))
+    w = W.partitionBy("c").orderBy("part")  # a row a range
+    parts = parts.select("c", "part", (F.sum("m").over(w) - F.col("m")).alias("before"), F.sum("m").over(W.partitionBy("c")).alias("total"))
+    within = F.sum("n").over(W.partitionBy("c", "part").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return x.join(parts, ["c", "part"]).select("c", "v", "n", (F.col("before") + within).alias("end"), "total")
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]) -> dict[str, list[float] | None]:
+    """Interpolated quantiles of each column's finite values, by rank; None for a column without values."""
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(shares)]))
+    x = counted(df, columns).withColumn("w", wanted).withColumn("at", (F.col("total") - 1) * F.col("w.p"))
+    inside = lambda i: (F.col("end") > i) & (F.col("end") - F.col("n") <= i)
+    x = x.filter(inside(F.floor("at")) | inside(F.ceil("at")))
+    rows = x.groupBy("c", "w.i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("at").alias("at")).collect()
+    out: dict[str, list[float] | None] = {c: None for c in columns}
+    for r in sorted(rows, key=lambda r: (r["c"], r["i"])):
+        share = r["at"] - math.floor(r["at"])
+        out[columns[r["c"]]] = [*(out[columns[r["c"]]] or []), r["lo"] + (r["hi"] - r["lo"]) * share if r["hi"] != r["lo"] else r["lo"]]
+    return out
+
+
 def robust_scale(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
     """(x - median) / interquartile range, exact; columns without range leave. One pass for all quartiles."""
-    q = df.agg(*[quartiles(c).alias(c) for c in columns]).first()
+    q = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
     kept = [c for c in columns if q[c] and q[c][2] - q[c][0] > 0]
     scaled = {c: (finite(F.col(c)) - F.lit(q[c][1])) / F.lit(q[c][2] - q[c][0]) for c in kept}
     return df.drop(*[c for c in columns if c not in kept]).withColumns(scaled), kept
@@ -44,8 +73,8 @@ def robust_scale(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact medians for missing values, zero where a column has none."""
-    m = df.agg(*[F.percentile(finite(F.col(c)), F.lit(0.5)).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(m[c] if m[c] is not None else 0.0)) for c in columns})
+    m = exact_quantiles(df, columns, (0.5,))
+    return df.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(m[c][0] if m[c] else 0.0)) for c in columns})
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,10 +84,19 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return x.withColumns({c: (F.col(c) - F.lit(s[f"{c}_m"])) / F.lit(s[f"{c}_s"] or 1.0) for c in columns})
 
 
+def rank_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One vector of average ranks a row; columns hold no missing values."""
+    x = stored(df.select(*columns).withColumn("row", F.monotonically_increasing_id()), "rows")
+    long = x.select("row", F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("c", "v"))
+    ranks = counted(x, columns).select("c", "v", (F.col("end") - (F.col("n") - 1) / 2).alias("rank"))
+    back = long.join(ranks, ["c", "v"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("c", "rank"))).alias("r"))
+    return back.select(array_to_vector(F.transform("r", lambda e: e["rank"])).alias("v"))
+
+
 def spearman_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Rank correlations, ties averaged, clipped; missing values imputed by the median first."""
-    v = VectorAssembler(inputCols=columns, outputCol="v").transform(impute_median(df, columns)).select("v")
-    m = np.clip(Correlation.corr(v, "v", "spearman").head()[0].toArray(), -1, 1)
+    v = rank_vectors(impute_median(df, columns), columns)
+    m = np.clip(Correlation.corr(v, "v", "pearson").head()[0].toArray(), -1, 1)
     if not np.isfinite(m).all():
         raise ContractError("rank correlation of a constant column")
     return m

@@ -109,10 +109,10 @@ def histogram_with_total(df: DataFrame, by: str, value: str, total: str = "TOTAL
     return sets.select(F.when(F.col("g") == 1, F.lit(total)).otherwise(F.col(by)).alias(by), value, "n")
 
 
-def pivot_counts(df: DataFrame, by: list[str], value: str, values: list, prefix: str = "") -> DataFrame:
-    """A row a group, a column for each value, zero where a value is absent."""
+def pivot_counts(df: DataFrame, by: list[str], value: str, values: list, name: str = "{}") -> DataFrame:
+    """A row a group, a column for each value, named by the format, zero where a value is absent."""
     wide = df.groupBy(*by).pivot(value, values).count()
-    return wide.select(*by, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"{prefix}{v}") for v in values])
+    return wide.select(*by, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(name.format(v)) for v in values])
 
 
 def counts_of_classes(cells: DataFrame, classes: DataFrame, key: str) -> DataFrame:
@@ -150,11 +150,6 @@ def region_sources(df: DataFrame, keys: list[str], source: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count_distinct(source).alias("files")).filter("files > 1")
 
 
-def undirected(edges: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """Each pair once, smaller end first, loops left out."""
-    return edges.filter(F.col(a) != F.col(b)).select(*(by or []), F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
-
-
 def joined_lists(df: DataFrame, by: list[str], value: str, order: str, name: str, separator: str = "; ") -> DataFrame:
     """Values of a group in order, as one text."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).alias("v")))), lambda s: s["v"])

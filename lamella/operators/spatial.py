@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamella.functions.statistics import EPS
+from lamella.storage import stored
 
 
 def _cells(side: Column | float, x: str = "x", y: str = "y") -> list[Column]:
@@ -52,32 +53,41 @@ def k_nearest(points: DataFrame, by: list[str], k: int, per_cell: int = 32) -> D
     """(by, id, x, y) to by, id, other, dist, rank: the k nearest others, ties to the smaller id.
 
     A region's grid has about per_cell points a cell. A point is settled once its k-th neighbour lies
-    within the rings searched so far, or they cover the region; the rest searches twice as many rings.
+    within the rings searched so far, or they cover the region; the rest searches twice as many rings. Each
+    round is written, so that none runs again for the next.
     """
     span = points.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"))
     span = span.withColumn("dim", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / per_cell))).cast("int")).withColumn("side", F.greatest(F.col("extent") / F.col("dim"), F.lit(1e-9)))
     grid = points.select(*by, "id", "x", "y").join(span, by).withColumn("gx", F.least(F.col("dim") - 1, F.floor((F.col("x") - F.col("x0")) / F.col("side")))).withColumn("gy", F.least(F.col("dim") - 1, F.floor((F.col("y") - F.col("y0")) / F.col("side"))))
     base = grid.select(*by, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "gx", "gy")
     largest = grid.agg(F.max("dim")).first()[0] or 1
-    open_, done, reach = grid, None, 1
+    open_, done, reach = grid, [], 1
     while True:
         lo = lambda c: F.greatest(F.lit(0).cast("long"), F.col(c) - reach)  # noqa: E731, B023
         hi = lambda c: F.least(F.col("dim").cast("long") - 1, F.col(c) + reach)  # noqa: E731, B023
         asks = open_.withColumn("nx", F.explode(F.sequence(lo("gx"), hi("gx")))).withColumn("ny", F.explode(F.sequence(lo("gy"), hi("gy"))))
-        asks = asks.drop("gx", "gy").withColumnRenamed("nx", "gx").withColumnRenamed("ny", "gy")
+        asks = asks.select(*by, "id", "x", "y", "dim", "side", F.col("gx").alias("ax"), F.col("gy").alias("ay"), F.col("nx").alias("gx"), F.col("ny").alias("gy"))
         dist = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
         near = asks.join(base, [*by, "gx", "gy"]).filter(F.col("id") != F.col("other")).withColumn("dist", dist)
-        near = near.withColumn("rank", F.row_number().over(W.partitionBy(*by, "id").orderBy("dist", "other"))).filter(F.col("rank") <= k).select(*by, "id", "other", "dist", "rank")
+        near = near.withColumn("rank", F.row_number().over(W.partitionBy(*by, "id").orderBy("dist", "other"))).filter(F.col("rank") <= k)
+        w = W.partitionBy(*by, "id")
+        ok = (F.lit(reach) >= F.col("dim")) | ((F.max("rank").over(w) >= k) & (F.max("dist").over(w) < F.col("side") * reach))
+        if reach >= largest and not done:
+            return near.select(*by, "id", "other", "dist", "rank")
+        near = stored(near.withColumn("ok", ok).select(*by, "id", "other", "dist", "rank", "ok"), "near")
+        fine = near if reach >= largest else near.filter("ok")
+        done.append(fine.select(*by, "id", "other", "dist", "rank"))
         if reach >= largest:
-            return near if done is None else done.unionByName(near)
-        last = near.groupBy(*by, "id").agg(F.max("rank").alias("got"), F.max("dist").alias("far"))
-        settled = open_.join(last, [*by, "id"], "left").withColumn("ok", (F.lit(reach) >= F.col("dim")) | ((F.coalesce("got", F.lit(0)) >= k) & (F.col("far") < F.col("side") * reach)))
-        fine = settled.filter("ok").select(*by, "id")
-        done = near.join(fine, [*by, "id"], "left_semi") if done is None else done.unionByName(near.join(fine, [*by, "id"], "left_semi"))
-        open_ = settled.filter("NOT ok").drop("got", "far", "ok")
+            break
+        # points without any neighbour so far stay open, too
+        open_ = stored(open_.join(near.filter("ok").select(*by, "id").distinct(), [*by, "id"], "left_anti").filter(F.lit(reach) < F.col("dim")), "open")
         if open_.isEmpty():
-            return done
+            break
         reach *= 2
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def neighbour_distances(neighbours: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:

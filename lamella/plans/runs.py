@@ -54,7 +54,7 @@ def cluster(cells: DataFrame, features: list[str], classes: list[str], per_class
     x = learning.standardise(learning.clean_numbers(x, features), features)
     m = learning.DiagonalMixture(components, seed=seed, **kw).fit(x, features)
     out = ranking.argmax_with_confidence(m.transform(x, features), "probabilities").drop("probabilities")
-    return out, relational.pivot_counts(out, REGION, "cluster_id", list(range(1, components + 1)), "C"), learning.cluster_profiles(out, features, "cluster_id")
+    return out, relational.pivot_counts(out, REGION, "cluster_id", list(range(1, components + 1)), "C{:02d}"), learning.cluster_profiles(out, features, "cluster_id")
 
 
 def train(features: DataFrame, annotated: DataFrame, columns: list[str], label: str, folds: int = 5, **kw) -> tuple[PipelineModel, DataFrame | None, dict]:

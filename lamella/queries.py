@@ -7,7 +7,6 @@ Doubles that come out of sums are rounded to six digits on both sides.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lamella import storage
 from lamella.functions import expressions as X
 from lamella.functions import statistics as S
 from lamella.operators import geometry, labels, learning, ranking, raster, relational, spatial
@@ -676,13 +676,37 @@ def weak_label_gate(spark, sf):
 # --- streaming -----------------------------------------------------------------------------------------------------------
 
 
+def _streamed(spark, sf, counted, mode: str) -> DataFrame:
+    """A stream of the events file run to its end through ``counted``, its batches written to the shared folder and read back.
+
+    In complete mode the last batch holds the whole result; in append mode each batch adds rows.
+    """
+    place = f"{storage.folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = counted(stream)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows" if mode == "complete" else f"{place}/rows/batch={number}")
+
+    out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/rows").select(*out.columns)
+
+
 @query("SELECT user_id AS region, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_type_counts(spark, sf):
-    """The counting operator over a stream of the events file, run to its end."""
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(F.col("user_id").alias("region"), F.col("event_type").alias("type"))
-    name = f"lamella_counts_{abs(hash(sf)) % 10**6}"
-    state = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    run = counts.type_counts(stream, ["region"], "type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{state}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return _streamed(spark, sf, lambda s: counts.type_counts(s.select(F.col("user_id").alias("region"), F.col("event_type").alias("type")), ["region"], "type"), "complete")
+
+
+@query("SELECT user_id AS region, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS \"{t}\"" for t in TYPES) + " FROM events GROUP BY 1")
+def streaming_pivot(spark, sf):
+    return _streamed(spark, sf, lambda s: counts.pivoted_counts(s.select(F.col("user_id").alias("region"), "event_type"), ["region"], "event_type", TYPES), "complete")
+
+
+@query("""SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS type, count(*) AS n FROM events GROUP BY ALL)
+WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def streaming_windows(spark, sf):
+    """Hours that the watermark has closed."""
+    def closed(s: DataFrame) -> DataFrame:
+        return counts.windowed_counts(s.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type")), "ts", ["type"]).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "type", "n")
+
+    return _streamed(spark, sf, closed, "append")
