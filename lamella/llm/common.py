@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the folder that all executors share; a local one only where none is configured, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.gettempdir() + "/lamella-checkpoints"
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
@@ -43,10 +46,34 @@ def remove(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, whose results are written: it does so once their plans are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+def bucketed(df: DataFrame, tag: str, key: str) -> tuple[DataFrame, str]:
+    """As ``materialise``, but a table of buckets by key, one a shuffle partition: later joins by key move only their
+    other side. Also the table's name, for ``drop``. A frame that comes from a join by key is not shuffled again."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).option("path", shared_path(spark, tag)).saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop(df: DataFrame, name: str) -> None:
+    """Removes a bucketed table and its files."""
+    remove(df)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+@contextmanager
+def session(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For actions inside: batches sent to Python hold at most so many rows, and shuffle files go as soon as the action
+    that wrote them has ended. Both settings are put back afterwards."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
