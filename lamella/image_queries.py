@@ -326,3 +326,27 @@ SELECT c.slide, c.region, false AS approved, '' AS notes, CASE WHEN n >= 3 THEN
 def regions_to_review(spark, sf):
     c = _coords(spark, sf)
     return labels.review_regions(c, c.filter("cell_label % 50 = 0").withColumn("registration_error_um", F.col("cy_wsi")))
+
+
+@query(f"""WITH {_GRID}, t AS (SELECT region, a.i AS row, b.i AS col, 0.5 * b.i + 0.25 * a.i + 1.5 AS x, 0.75 * a.i + 0.25 AS y FROM (SELECT DISTINCT region FROM img), range(30) a(i), range(30) b(i)),
+n AS (SELECT t.region, t.row, t.col, s.r, s.b, (1 - abs(x - s.col)) * (1 - abs(y - s.row)) AS w FROM t JOIN img s ON s.region = t.region AND s.row IN (floor(y), floor(y) + 1) AND s.col IN (floor(x), floor(x) + 1) WHERE x BETWEEN 0 AND {SIDE - 1} AND y BETWEEN 0 AND {SIDE - 1})
+SELECT region, row, col, round(sum(r * w) / sum(w), 6) AS r, round(sum(b * w) / sum(w), 6) AS b FROM n WHERE w > 0 GROUP BY ALL""")
+def resampled_image(spark, sf):
+    from lamella.operators import raster
+
+    return six(raster.resample(image(spark, sf), BY, (0.5, 0.25, 1.5, 0.0, 0.75, 0.25), 30, 30, ["r", "b"]), "r", "b")
+
+
+@query(f"WITH {_GRID}, n AS (SELECT region, label, count(*) AS n FROM img WHERE label > 0 AND (row + col) % 3 > 0 GROUP BY ALL) SELECT region, row, col, CASE WHEN n < 17 THEN 0 ELSE label END::BIGINT AS label FROM img LEFT JOIN n USING (region, label) WHERE (row + col) % 3 > 0")
+def small_cells_zeroed(spark, sf):
+    from lamella.operators import raster
+
+    return raster.large_cells(image(spark, sf).filter("(row + col) % 3 > 0"), BY, 17).select(*BY, "row", "col", "label")
+
+
+@query("""SELECT c_custkey AS pair_id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS registration_id, c_custkey % 3 > 0 AND c_acctbal > 0 AS registration_approved, c_name AS reviewer FROM customer""")
+def approvals_after_registration(spark, sf):
+    c = table(spark, sf, "customer")
+    reviews = c.select(F.col("c_custkey").alias("pair_id"), F.lit("old").alias("registration_id"), (F.col("c_acctbal") > 0).alias("registration_approved"), F.col("c_name").alias("reviewer"))
+    again = c.filter("c_custkey % 3 <> 1").select(F.col("c_custkey").alias("pair_id"), F.when(F.col("c_custkey") % 3 == 0, "new").otherwise("old").alias("registration_id"))
+    return labels.after_registration(reviews, again)

@@ -97,3 +97,15 @@ def current_weak_labels(measured: DataFrame, pairs: DataFrame, extractions: Data
     if not x.filter(~(F.col("patient_id").eqNullSafe(F.col("__patient")) & F.col("slide").eqNullSafe(F.col("__slide")))).isEmpty():
         raise ContractError("measurements of another patient or slide")
     return x.select("slide", "region", "cell_label", "patient_id", F.col("p53_label").alias("label"), F.lit("p53_staining_weak_label").alias("label_source"))
+
+
+def after_registration(reviews: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Reviews as they stand after pairs were registered anew: approvals of another registration fall, all else is kept.
+
+    reviews: (pair_id, registration_id, registration_approved, ...); registrations: (pair_id, registration_id).
+    """
+    now = registrations.select("pair_id", F.col("registration_id").alias("__now"))
+    x = reviews.join(now, "pair_id", "left")
+    same = F.col("__now").isNull() | F.col("registration_id").eqNullSafe(F.col("__now"))
+    changed = {"registration_id": F.coalesce("__now", "registration_id"), "registration_approved": F.col("registration_approved") & same}
+    return x.select(*[changed.get(c, F.col(c)).alias(c) for c in reviews.columns])

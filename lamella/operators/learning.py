@@ -24,6 +24,21 @@ def clean_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
 
 
+def checked_numbers(df: DataFrame, columns: list[str], strict: bool = True) -> DataFrame:
+    """As ``clean_numbers``; raises on text that is no number and, if strict, on a column or row without any value."""
+    text = [c for c in columns if df.schema[c].dataType.typeName() == "string"]
+    odd = reduce(lambda a, b: a | b, [F.col(c).isNotNull() & F.col(c).try_cast("double").isNull() for c in text], F.lit(False))
+    if text and not df.filter(odd).isEmpty():
+        raise ContractError("a feature that is no number")
+    x = clean_numbers(df.withColumns({c: F.col(c).try_cast("double") for c in text}), columns)
+    if strict:
+        empty = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in columns])
+        row = x.agg(F.count_if(empty).alias("__rows"), *[F.count(c).alias(c) for c in columns]).first()
+        if row["__rows"] or any(row[c] == 0 for c in columns):
+            raise ContractError("a row or a column without any value")
+    return x
+
+
 def variances(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     row = df.agg(*[F.var_samp(c).alias(c) for c in columns]).first()
     return {c: row[c] for c in columns}

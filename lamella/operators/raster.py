@@ -150,3 +150,26 @@ def od_stain(pixels: DataFrame, stains: DataFrame, by: str = "slide") -> DataFra
     det = g(0, 0) * g(1, 1) - g(0, 1) * g(0, 1)
     first = (g(1, 1) * dot(0) - g(0, 1) * dot(1)) / det
     return pixels.join(stains, by).withColumn("hematoxylin", F.greatest(F.lit(0.0), first) / F.greatest(F.col("max_c")[0], F.lit(1e-9))).drop("m", "max_c")
+
+
+def resample(pixels: DataFrame, by: list[str], m: tuple[float, float, float, float, float, float], width: int, height: int, channels: list[str]) -> DataFrame:
+    """Another grid's pixels (by, row, col) from these, each at m's image of its (col, row), bilinear; nothing beyond the source's edge."""
+    side = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    x = pixels.groupBy(*by).agg(F.min("row").alias("__r0"), F.max("row").alias("__r1"), F.min("col").alias("__c0"), F.max("col").alias("__c1"))
+    x = x.withColumn("row", side(height)).withColumn("col", side(width))
+    x = x.withColumns({"__x": m[0] * F.col("col") + m[1] * F.col("row") + m[2], "__y": m[3] * F.col("col") + m[4] * F.col("row") + m[5]})
+    x = x.filter(F.col("__x").between(F.col("__c0"), F.col("__c1")) & F.col("__y").between(F.col("__r0"), F.col("__r1")))
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+    x = x.withColumn("__o", near).withColumns({"__sr": F.floor("__y") + F.col("__o.a"), "__sc": F.floor("__x") + F.col("__o.b")})
+    weight = (1 - F.abs(F.col("__x") - F.col("__sc"))) * (1 - F.abs(F.col("__y") - F.col("__sr")))
+    x = x.withColumn("__w", weight).filter(F.col("__w") > 0)
+    source = pixels.select(*by, F.col("row").alias("__sr"), F.col("col").alias("__sc"), *channels)
+    y = x.join(source, [*by, "__sr", "__sc"])
+    return y.groupBy(*by, "row", "col").agg(*[(F.sum(F.col(c) * F.col("__w")) / F.sum("__w")).alias(c) for c in channels])
+
+
+def large_cells(pixels: DataFrame, by: list[str], least: int = 200, label: str = "label") -> DataFrame:
+    """Pixels with the labels of cells under the least size set to 0."""
+    size = pixels.filter(F.col(label) > 0).groupBy(*by, label).agg(F.count("*").alias("__n")).filter(F.col("__n") < least)
+    x = pixels.join(size, [*by, label], "left")
+    return x.select(*[F.when(F.col("__n").isNotNull(), 0).otherwise(F.col(c)).cast(pixels.schema[c].dataType).alias(c) if c == label else F.col(c) for c in pixels.columns])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions import expressions as X
-from lamella.operators import geometry, labels, learning, ranking, relational, spatial
+from lamella.operators import cellular, geometry, labels, learning, ranking, relational, spatial
 
 REGION = ["slide", "region"]
 RADII_UM = (20.0, 50.0, 100.0)
@@ -36,6 +36,13 @@ def spatial_features(cells: DataFrame, mpp: float, k: int = 6, radii_um: tuple[f
     return out.withColumns(scaled).withColumnRenamed("id", "cell_label")
 
 
+def extract(pixels: DataFrame, coords: DataFrame, mpp: float, **kw) -> DataFrame:
+    """All features of a cell in one row: morphology, intensity and texture from pixels (slide, region, row, col, label, r, g, b),
+    the neighbourhood from coordinates (slide, region, cell_label, cx_roi, cy_roi, orientation). Cells without pixels stay."""
+    own = cellular.cell_features(pixels, REGION, mpp).withColumnRenamed("label", "cell_label")
+    return spatial_features(coords, mpp, **kw).join(own, [*REGION, "cell_label"], "left")
+
+
 def clean(features: DataFrame, metadata: set[str], most: int = 40, groups: int = 20, per_group: int = 2) -> tuple[DataFrame, list[dict]]:
     """Features that vary, robustly scaled, thinned to a diverse selection; scaled values stay unimputed."""
     features = features.toDF(*[c.replace(".", "_") for c in features.columns])  # radii in names hold points

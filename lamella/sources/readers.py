@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamella.functions import expressions as X
@@ -13,6 +18,8 @@ SEGMENTER_SCHEMA = "cells array<struct<centroid: array<double>, contour: array<a
 ANNOTATION_SCHEMA = "_Text string, _Type string, Vertices struct<Vertex: array<struct<_X: double, _Y: double>>>"
 MANIFEST_SCHEMA = "pairs array<struct<pair_id: string, patient_id: string, he_slide: string, p53_slide: string, section_relationship: string, he_mpp: double, p53_mpp: double, landmarks: string, qc_landmarks: string>>"
 
+_ROWS = 200_000  # pixel rows of a batch
+
 
 def slides(spark: SparkSession, folder: str, suffix: str = "ndpi") -> DataFrame:
     """Slide files by any case of the suffix, in name order; contents are not read."""
@@ -25,8 +32,6 @@ def annotations(spark: SparkSession, path: str, level: int = 2) -> DataFrame:
     """Polygons of an annotation file: cleaned name and points over 2^level; fewer than three points are left out."""
     x = spark.read.format("xml").option("rowTag", "Region").schema(ANNOTATION_SCHEMA).load(path).withColumn("at", F.monotonically_increasing_id())
     x = x.filter("Vertices IS NOT NULL").withColumn("points", F.transform("Vertices.Vertex", lambda v: F.array(v["_X"] / 2**level, v["_Y"] / 2**level))).filter(F.size("points") >= 3)
-    from pyspark.sql import Window as W
-
     before = F.row_number().over(W.orderBy("at")) - 1  # one file's regions
     return x.select(X.region_name(F.col("_Text"), before).alias("region"), F.col("_Type").alias("kind"), "points")
 
@@ -159,3 +164,39 @@ def landmarks(spark: SparkSession, path: str, he_mpp: float, p53_mpp: float) ->
     if not x.filter(" OR ".join(f"{c} IS NULL OR isnan({c}) OR abs({c}) = double('infinity')" for c in cols)).isEmpty():
         raise ContractError("a landmark without a number")
     return x.withColumns({c: F.col(c) * (he_mpp if c.startswith("he") else p53_mpp) for c in cols})
+
+
+def array_pixels(spark: SparkSession, files: DataFrame, scale: int = 1) -> DataFrame:
+    """Pixels of array files (.npy): path, row, col, value and, for arrays of three channels, r, g, b.
+
+    files: (path, content). A file is read in one task and leaves it as rows. Of masks, only pixels other than 0 are given, each
+    as scale x scale pixels of the finer level; greyscale images have one value in all channels; further channels are left out.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                a = np.load(io.BytesIO(content), allow_pickle=False)
+                if a.ndim == 2:
+                    r, c = np.nonzero(a)
+                    v = a[r, c].astype(np.int64)
+                    r, c = ((x[:, None] * scale + np.tile(k, 1)).ravel() for x, k in ((r, np.repeat(np.arange(scale), scale)), (c, np.tile(np.arange(scale), scale))))
+                    v = np.repeat(v, scale * scale)
+                    colours = [v, v, v]
+                else:
+                    r, c = (x.ravel() for x in np.indices(a.shape[:2]))
+                    colours = [a[..., k].ravel().astype(np.int64) for k in range(3)]
+                    v = colours[0]
+                for at in range(0, len(r), _ROWS):
+                    s = slice(at, at + _ROWS)
+                    yield pd.DataFrame({"path": path, "row": r[s], "col": c[s], "value": v[s], "r": colours[0][s], "g": colours[1][s], "b": colours[2][s]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, row long, col long, value long, r long, g long, b long")
+
+
+def mask_pixels(spark: SparkSession, folder: str, level: int = 2) -> DataFrame:
+    """Pixels of a level's region masks at the finest level: slide, region, row, col, with the frame's min_x and min_y."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "polyepi_*.npy").load(folder)
+    named = files.select("path", X.mask_name_parts(F.element_at(F.split("path", "/"), -1)).alias("p")).select("path", "p.*").filter(F.col("level") == level)
+    pixels = array_pixels(spark, files.join(named.select("path"), "path", "left_semi"), 2**level)
+    return pixels.select("path", "row", "col").join(named, "path").select("slide", "region", "row", "col", (F.col("min_x") * 2**level).alias("min_x"), (F.col("min_y") * 2**level).alias("min_y"))

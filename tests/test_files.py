@@ -108,3 +108,43 @@ def test_clusters_of_sampled_regions(spark):
     rows = out.count()
     assert rows == out.filter("cluster_confidence BETWEEN 0.5 AND 1").count() and {r["count"] for r in out.groupBy("region").count().collect()} == {20}
     assert n.agg(F.sum("C01") + F.sum("C02")).first()[0] == rows >= 60
+
+
+def test_array_files_become_pixels(spark, tmp_path):
+    import numpy as np
+
+    mask = np.zeros((3, 4), np.uint8)
+    mask[1, 2] = mask[2, 0] = 1
+    np.save(tmp_path / "polyepi_s1_R1_L1_5_6_4x3.npy", mask)
+    got = readers.mask_pixels(spark, str(tmp_path), 1).collect()
+    assert {(r["row"], r["col"]) for r in got} == {(a, b) for y, x in ((1, 2), (2, 0)) for a in (2 * y, 2 * y + 1) for b in (2 * x, 2 * x + 1)}
+    assert {(r.slide, r.region, r.min_x, r.min_y) for r in got} == {("s1", "R1", 10, 12)}
+    np.save(tmp_path / "rgb.npy", np.arange(24, dtype=np.uint8).reshape(2, 3, 4))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "rgb.npy"))
+    px = {(r["row"], r["col"]): (r.r, r.g, r.b) for r in readers.array_pixels(spark, files).collect()}
+    assert len(px) == 6 and px[1, 2] == (20, 21, 22)
+
+
+def test_numbers_are_checked(spark):
+    from lamella.operators import learning
+
+    df = spark.createDataFrame([("1", 2.0), ("x", 3.0)], "a string, b double")
+    with pytest.raises(ContractError):
+        learning.checked_numbers(df, ["a", "b"])
+    assert [tuple(r) for r in learning.checked_numbers(df.filter("b = 2"), ["a", "b"]).collect()] == [(1.0, 2.0)]
+    with pytest.raises(ContractError):
+        learning.checked_numbers(df.filter("b = 2").withColumn("b", F.lit(float("nan"))), ["a", "b"])
+
+
+def test_command_line_runs_a_stage(spark, tmp_path, capsys):
+    from lamella.__main__ import main
+
+    main(["list"])
+    assert "roi_type_pivot" in capsys.readouterr().out
+    main(["query", "cells_per_slide", "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "q")])
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 5
+    rows = [(f"s{i % 2}", "R", i, float(i % 7), float(i * i % 11), float(i % 5)) for i in range(1, 60)]
+    spark.createDataFrame(rows, "slide string, region string, cell_label long, f1 double, f2 double, f3 double").write.parquet(str(tmp_path / "f"))
+    main(["clean", "--features", str(tmp_path / "f"), "--out", str(tmp_path / "c"), "--groups", "2", "--max-features", "2"])
+    assert spark.read.parquet(str(tmp_path / "c" / "cleaned")).count() == 59
+    assert 1 <= spark.read.parquet(str(tmp_path / "c" / "selection")).count() <= 2
