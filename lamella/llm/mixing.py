@@ -11,8 +11,8 @@ Defined results: null text has size 0 and takes 0; a null source is a source of
 without a usable label weigh ``UNKNOWN``; repeated rows with one id are mixed one by one (equal keys,
 so next to each other, smaller size first); empty tables give empty results; other columns pass by.
 
-Prefix sums are two-level: keys are cut into ranges of about ``RANGE_ROWS`` rows within the source,
-ranges are summed, and only rows of one range meet in a task, so a hot source is spread.
+Prefix sums are two-level: keys are cut into ranges of about ``RANGE_ROWS`` rows within the source, by
+the mixture of the exponential distributions of its documents' weights, ranges are summed, and only rows of one range meet in a task, so a hot source is spread.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .common import WORD_RE, documents, materialise
 RANGE_ROWS = 20_000
 #: Quality weight of a document labelled 1, labelled 0, and without label; averages of repeated labels lie between.
 GOOD, POOR, UNKNOWN = 1.0, 0.25, 0.625
+_EIGHTHS = range(2, 9)  # weights, in eighths, of which a source's key distribution is mixed
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -51,16 +52,24 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     return per.withColumn("target", F.least((F.col("source_size") * max_epochs).cast("double"), F.col("w") * level)).select("no_source", "source_key", "docs", "source_size", "target")
 
 
-def mix(sizes: DataFrame, weights: DataFrame, max_epochs: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size) and (doc_id, weight) to doc_id, size, source_size, target, taken, and the columns in also."""
+def ranged(sizes: DataFrame, weights: DataFrame, max_epochs: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """Documents with their key, its range within the source, and the source's numbers."""
     x = sizes.select("doc_id", "size", *also, F.isnull("source").cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"))
     per = source_targets(x, max_epochs)
     x = x.join(weights.select(F.col("doc_id").alias("wid"), "weight"), F.col("doc_id") == F.col("wid"), "left").drop("wid")
     digits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
-    x = x.withColumn("key", -F.log((digits + 0.5) / float(1 << 52)) / F.coalesce("weight", F.lit(UNKNOWN)))
-    x = x.join(per, ["no_source", "source_key"])
+    x = x.withColumn("weight", F.coalesce("weight", F.lit(UNKNOWN))).withColumn("key", -F.log((digits + 0.5) / float(1 << 52)) / F.col("weight"))
+    shares = x.groupBy("no_source", "source_key").agg(F.array(*[F.avg((F.rint(F.col("weight") * 8) == k).cast("double")) for k in _EIGHTHS]).alias("shares"))
+    x = x.join(per.join(shares, ["no_source", "source_key"]), ["no_source", "source_key"])
+    # a key's place among its source's keys, by the mixture of their distributions: it grows with the key whatever the weights
+    place = sum((F.col("shares")[i] * (1 - F.exp(-F.col("key") * (k / 8))) for i, k in enumerate(_EIGHTHS)), F.lit(0.0))
     ranges = F.ceil(F.col("docs") / RANGE_ROWS)
-    x = x.withColumn("range", F.least(ranges - 1, F.floor(ranges * (1 - F.exp(-F.col("key"))))).cast("long"))
+    return x.withColumn("range", F.least(ranges - 1, F.floor(ranges * place)).cast("long"))
+
+
+def mix(sizes: DataFrame, weights: DataFrame, max_epochs: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size) and (doc_id, weight) to doc_id, size, source_size, target, taken, and the columns in also."""
+    x = ranged(sizes, weights, max_epochs, also)
     cols = ["no_source", "source_key", "range"]
     step = x.groupBy(*cols).agg(F.sum("size").alias("range_size"))
     step = step.withColumn("base", F.coalesce(F.sum("range_size").over(W.partitionBy("no_source", "source_key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("range_size")
