@@ -9,7 +9,9 @@ languages share one suffix-closed node set, so that a text is scored by table lo
 step per context byte, then one row holding the bits in every language.
 
 Fitting uses a repeatable sample of about ``sample_docs`` labelled documents a language (whole texts);
-the table is bounded by ``max_nodes`` contexts, the most frequent first.
+the table is bounded by ``TABLE_BYTES``. Contexts are kept by their rank within the language that uses them
+most, so that each language has equal room, however short its texts; those beyond the room are coded in
+shorter contexts. Any number of languages is told apart, at shorter contexts the more there are.
 
 Defined results: null text, and text without a letter, gives ``und`` with score 0; ties go to the
 smaller language name; without any labelled document all texts are ``und``; null ids count as not held
@@ -31,8 +33,7 @@ from .common import ASCII_LOWER, documents, id_mod, small_batches
 
 ORDER = 3
 SAMPLE_DOCS = 1500
-MAX_NODES = 16_000
-MAX_LANGUAGES = 256
+TABLE_BYTES = 64 << 20  # of the broadcast code lengths; four languages leave room for some 50,000 contexts
 UNDETERMINED = "und"
 _LEAD = b"\n" * ORDER
 _SLICE = 1 << 19
@@ -98,24 +99,28 @@ def _gram_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
 
-def build(languages: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], max_nodes: int = MAX_NODES) -> PpmModel:
+def build(languages: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], max_nodes: int | None = None) -> PpmModel:
     """The frozen tables from each language's counts of (ORDER + 1)-byte windows."""
     seen = np.unique(np.concatenate([g & 255 for g, _ in grams.values()] + [np.array([10])]))
     classes = np.full(256, len(seen), np.int32)
     classes[seen] = np.arange(len(seen))
     n_cls = len(seen) + 1  # the last stands for each byte never seen
-    # how often each context of each length occurs, over all languages
+    max_nodes = max_nodes or max(1, TABLE_BYTES // (4 * n_cls * len(languages)))
+    # each context's best rank by frequency in any language
     levels: list[dict[int, int]] = []
     for k in range(ORDER + 1):
-        ctx = np.concatenate([(g >> 8) & ((1 << 8 * k) - 1) for g, _ in grams.values()])
-        keys, inv = np.unique(ctx, return_inverse=True)
-        total = np.bincount(inv, np.concatenate([n for _, n in grams.values()]))
-        levels.append(dict(zip(keys.tolist(), total.tolist(), strict=True)))
+        best: dict[int, int] = {}
+        for g, n in grams.values():
+            keys, inv = np.unique((g >> 8) & ((1 << 8 * k) - 1), return_inverse=True)
+            order = np.lexsort((keys, -np.bincount(inv, n, minlength=len(keys))))
+            for place, c in enumerate(keys[order].tolist()):
+                best[c] = min(place, best.get(c, place))
+        levels.append(best)
     kept: list[dict[int, int]] = [{0: 0}]
     count = 1
-    for k in range(1, ORDER + 1):  # a context's suffix is more frequent, so that keeping the most frequent is suffix-closed
+    for k in range(1, ORDER + 1):  # only contexts whose suffix is kept, so that the set is suffix-closed
         room = max_nodes - count
-        ranked = sorted((x for x in levels[k].items() if k == 1 or (x[0] & ((1 << 8 * (k - 1)) - 1)) in kept[k - 1]), key=lambda x: (-x[1], x[0]))[: max(0, room)]
+        ranked = sorted((x for x in levels[k].items() if k == 1 or (x[0] & ((1 << 8 * (k - 1)) - 1)) in kept[k - 1]), key=lambda x: (x[1], x[0]))[: max(0, room)]
         kept.append({c: count + i for i, (c, _) in enumerate(ranked)})
         count += len(ranked)
     bits = np.empty((count, n_cls, len(languages)), np.float32)
@@ -159,14 +164,12 @@ def build(languages: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]],
     return PpmModel(languages, classes, step, bits.reshape(count * n_cls, len(languages)))
 
 
-def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_nodes: int = MAX_NODES) -> PpmModel | None:
+def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_nodes: int | None = None) -> PpmModel | None:
     """(doc_id, text, lang) rows to a model; None without labelled texts."""
     rows = rows.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
         return None
-    if len(per) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # one scan, with a threshold on the id's hash for each language
     share = F.create_map(*[x for lang, n in per.items() for x in (F.lit(lang), F.lit(int(min(1.0, sample_docs / n) * (1 << 30))))])
     sample = rows.filter(F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1 << 30)) < share[F.col("lang")])
