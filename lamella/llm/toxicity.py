@@ -28,6 +28,7 @@ from .common import documents, hash_sample, id_mod, small_batches
 
 BITS = 20
 MAX_DOCS = 12_000
+MAX_TEXT = 64 << 20  # bytes of their texts, to some two bytes of features each
 EPOCHS = 5
 STEMS = (4, 5)
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
@@ -95,11 +96,12 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.
     return used.astype(np.int32), w[used], float(w[bias])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(doc_id, text) and (doc_id, toxic) rows to a model."""
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_text: int = MAX_TEXT) -> tuple[np.ndarray, np.ndarray, float]:
+    """(doc_id, text) and (doc_id, toxic) rows to a model, of at most about max_docs documents and max_text bytes."""
     labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    n = labels.count()
-    rows = hash_sample(labels, F.col("doc_id"), max_docs / max(n, 1)).join(docs.select("doc_id", "text"), "doc_id")
+    size = labels.join(docs.select("doc_id", F.octet_length("text").alias("size")), "doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("text")).first()
+    share = min(max_docs / max(size["n"], 1), max_text / max(size["text"] or 0, 1))
+    rows = hash_sample(labels, F.col("doc_id"), share).join(docs.select("doc_id", "text"), "doc_id")
 
     def features(batches):
         cache = WordHashes()
