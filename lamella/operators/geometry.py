@@ -14,37 +14,68 @@ from pyspark.sql import DataFrame
 EPS = 1e-8
 
 
+def _snake(points: np.ndarray) -> np.ndarray:
+    """An order in which neighbours follow each other: strips of rows, walked to and fro."""
+    low, span = points.min(0), np.maximum(np.ptp(points, axis=0), 1e-9)
+    strips = max(1, int(math.sqrt(len(points) / 2)))
+    row = np.minimum(((points[:, 1] - low[1]) / span[1] * strips).astype(int), strips - 1)
+    return np.lexsort((np.where(row % 2, -points[:, 0], points[:, 0]), row))
+
+
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles of a Delaunay triangulation by incremental insertion: rows of three point numbers."""
+    """Triangles of a Delaunay triangulation: rows of three point numbers.
+
+    Points are inserted along a snake; each is found by a walk from the triangle made last, and only triangles
+    whose circle holds it are replaced, so that a point takes a few steps however many there are.
+    """
     n = len(points)
     if n < 3:
         return np.zeros((0, 3), int)
     mid, span = points.mean(0), max(np.ptp(points, axis=0).max(), 1e-9)
     p = np.vstack([(points - mid) / span, [[-1e4, -1e4], [1e4, -1e4], [0, 1e4]]])
-    tri = np.array([[n, n + 1, n + 2]])
-
-    def circles(t: np.ndarray) -> np.ndarray:
-        a, b, c = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
-        d = 2 * ((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0]))
-        d = np.where(np.abs(d) < 1e-18, 1e-18, d)
-        ab, ac = ((b - a) ** 2).sum(1), ((c - a) ** 2).sum(1)
-        ux = ((c[:, 1] - a[:, 1]) * ab - (b[:, 1] - a[:, 1]) * ac) / d
-        uy = ((b[:, 0] - a[:, 0]) * ac - (c[:, 0] - a[:, 0]) * ab) / d
-        return np.stack([a[:, 0] + ux, a[:, 1] + uy, ux * ux + uy * uy], 1)
-
-    circle = circles(tri)
-    seen = set()
-    for i in range(n):
-        key = (p[i, 0], p[i, 1])
-        if key in seen:  # a copy of a point has no triangle of its own
+    xs, ys = p[:, 0].tolist(), p[:, 1].tolist()
+    third: dict[tuple[int, int], int] = {}  # of the triangle on the left of a directed edge
+
+    def add(a: int, b: int, c: int) -> None:
+        third[a, b], third[b, c], third[c, a] = c, a, b
+
+    def left_of(a: int, b: int, x: float, y: float) -> bool:
+        return (xs[b] - xs[a]) * (y - ys[a]) - (ys[b] - ys[a]) * (x - xs[a]) >= 0
+
+    def circle_holds(a: int, b: int, c: int, x: float, y: float) -> bool:
+        ax, ay, bx, by, cx, cy = xs[a] - x, ys[a] - y, xs[b] - x, ys[b] - y, xs[c] - x, ys[c] - y
+        return (ax * ax + ay * ay) * (bx * cy - by * cx) - (bx * bx + by * by) * (ax * cy - ay * cx) + (cx * cx + cy * cy) * (ax * by - ay * bx) > 0
+
+    add(n, n + 1, n + 2)
+    here, seen = (n, n + 1, n + 2), set()
+    for i in _snake(points).tolist():
+        x, y = xs[i], ys[i]
+        if (x, y) in seen:  # a copy of a point has no triangle of its own
             continue
-        seen.add(key)
-        bad = (p[i, 0] - circle[:, 0]) ** 2 + (p[i, 1] - circle[:, 1]) ** 2 < circle[:, 2] * (1 + 1e-12)
-        edges = np.sort(np.concatenate([tri[bad][:, [0, 1]], tri[bad][:, [1, 2]], tri[bad][:, [0, 2]]]), axis=1)
-        hull, times = np.unique(edges, axis=0, return_counts=True)
-        new = np.column_stack([hull[times == 1], np.full((times == 1).sum(), i)])
-        tri, circle = np.vstack([tri[~bad], new]), np.vstack([circle[~bad], circles(new)])
-    return tri[(tri < n).all(1)]
+        seen.add((x, y))
+        a, b, c = here
+        for _ in range(4 * n + 16):
+            if not left_of(a, b, x, y):
+                a, b, c = b, a, third[b, a]
+            elif not left_of(b, c, x, y):
+                a, b, c = c, b, third[c, b]
+            elif not left_of(c, a, x, y):
+                a, b, c = a, c, third[a, c]
+            else:
+                break
+        edges = [(a, b), (b, c), (c, a)]
+        for e in edges:
+            del third[e]
+        while edges:
+            a, b = edges.pop()
+            c = third.get((b, a))
+            if c is not None and circle_holds(b, a, c, x, y):
+                del third[b, a], third[a, c], third[c, b]
+                edges += [(a, c), (c, b)]
+            else:
+                add(i, a, b)
+                here = (i, a, b)
+    return np.array([(a, b, c) for (a, b), c in third.items() if a < b and a < c and max(b, c) < n], int).reshape(-1, 3)
 
 
 def edges_of(triangles: np.ndarray) -> np.ndarray:
@@ -53,11 +84,21 @@ def edges_of(triangles: np.ndarray) -> np.ndarray:
     return np.unique(np.sort(np.concatenate([triangles[:, [0, 1]], triangles[:, [1, 2]], triangles[:, [0, 2]]]), axis=1), axis=0)
 
 
-def knn_edges(points: np.ndarray, k: int) -> np.ndarray:
-    d = ((points[:, None] - points[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(points) - 1)]
-    return np.unique(np.sort(np.stack([np.repeat(np.arange(len(points)), near.shape[1]), near.ravel()], 1), axis=1), axis=0)
+def line_edges(points: np.ndarray, k: int) -> np.ndarray:
+    """Edges to the k nearest of points that lie on one line: in its order, they are within k places."""
+    n = len(points)
+    order = np.lexsort((points[:, 1], points[:, 0]))
+    at = points[order]
+    out = []
+    for step in range(1, min(k, n - 1) + 1):
+        i = np.arange(n - step)
+        out += [np.stack([i, i + step], 1), np.stack([i + step, i], 1)]
+    pairs = np.concatenate(out)
+    dist = np.hypot(*(at[pairs[:, 0]] - at[pairs[:, 1]]).T)
+    turn = np.lexsort((order[pairs[:, 1]], dist, pairs[:, 0]))
+    place = np.arange(len(turn)) - np.searchsorted(pairs[turn, 0], pairs[turn, 0])
+    near = order[pairs[turn[place < k]]]
+    return np.unique(np.sort(near, axis=1), axis=0)
 
 
 def voronoi_cells(points: np.ndarray, triangles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,16 +112,23 @@ def voronoi_cells(points: np.ndarray, triangles: np.ndarray) -> tuple[np.ndarray
     ab, ac = ((b - a) ** 2).sum(1), ((c - a) ** 2).sum(1)
     centre = a + np.stack([((c[:, 1] - a[:, 1]) * ab - (b[:, 1] - a[:, 1]) * ac) / d, ((b[:, 0] - a[:, 0]) * ac - (c[:, 0] - a[:, 0]) * ab) / d], 1)
     pairs, times = np.unique(np.sort(np.concatenate([triangles[:, [0, 1]], triangles[:, [1, 2]], triangles[:, [0, 2]]]), axis=1), axis=0, return_counts=True)
-    open_ = set(pairs[times == 1].ravel().tolist())  # on the hull
-    for i in range(n):
-        own = np.flatnonzero((triangles == i).any(1))
-        if i in open_ or len(own) < 3:
-            continue
-        v = centre[own]
-        v = v[np.argsort(np.arctan2(v[:, 1] - points[i, 1], v[:, 0] - points[i, 0]))]
-        nxt = np.roll(v, -1, axis=0)
-        area[i] = 0.5 * abs((v[:, 0] * nxt[:, 1] - v[:, 1] * nxt[:, 0]).sum())
-        irregular[i] = np.hypot(*(nxt - v).T).sum() ** 2 / (4 * math.pi * area[i] + EPS)
+    closed = np.ones(n, bool)
+    closed[pairs[times == 1].ravel()] = False  # on the hull
+    # all corners of all cells, by point and then by angle round it
+    own, v = triangles.ravel(), np.repeat(centre, 3, axis=0)
+    turn = np.lexsort((np.arctan2(v[:, 1] - points[own, 1], v[:, 0] - points[own, 0]), own))
+    own, v = own[turn], v[turn]
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    size = np.diff(np.append(starts, len(own)))
+    follow = np.arange(1, len(own) + 1)
+    follow[starts + size - 1] = starts
+    nxt = v[follow]
+    cell = own[starts]
+    whole = 0.5 * np.abs(np.add.reduceat(v[:, 0] * nxt[:, 1] - v[:, 1] * nxt[:, 0], starts))
+    around = np.add.reduceat(np.hypot(*(nxt - v).T), starts)
+    ok = closed[cell] & (size >= 3)
+    area[cell[ok]] = whole[ok]
+    irregular[cell[ok]] = around[ok] ** 2 / (4 * math.pi * whole[ok] + EPS)
     return area, irregular
 
 
@@ -93,7 +141,7 @@ def region_graph(points: DataFrame, by: list[str], k: int = 6) -> DataFrame:
         xy = pdf[["x", "y"]].to_numpy(float)
         e = edges_of(delaunay(xy))
         if not len(e) and len(xy) > 1:
-            e = knn_edges(xy, k)
+            e = line_edges(xy, k)
         ids = pdf["id"].to_numpy()
         out = pd.DataFrame({c: [pdf[c].iloc[0]] * len(e) for c in by})
         out["a"], out["b"] = ids[e[:, 0]], ids[e[:, 1]]
