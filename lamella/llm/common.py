@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.operators.masks import merge_nodes
+
 #: White space as the word contracts name it: byte 32 and bytes 9 to 13, as bytes.split() has it.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Lower-cases A-Z and nothing else.
@@ -93,37 +95,6 @@ def hash_sample(df: DataFrame, key: Column, fraction: float, seed: int = 11) ->
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int(fraction * (1 << 30)))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) long edges, in any direction, to (node, root): the smallest node of each component that has an edge.
-
-    Alternates large-star and small-star steps until no edge changes. Each round is a shuffle of
-    the edges with per-node minima, written to shared storage, so that a lost executor costs one round.
-    """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:  # every neighbour that is larger than the node goes to the smallest of node and neighbours
-            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            low = both.groupBy("a").agg(F.min("b").alias("m"))
-            out = both.join(low, "a").filter(F.col("b") > F.col("a"))
-            return out.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        return out
-
-    def tidy(e: DataFrame) -> DataFrame:
-        return e.filter("a <> b").distinct()
-
-    now = materialise(tidy(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
-    before = None
-    for _ in range(max_rounds):
-        seen = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
-        if before == seen:
-            break
-        before = seen
-        nxt = materialise(tidy(star(tidy(star(now, True)), False)), "edges")
-        remove(now)
-        now = nxt
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(a, b) long edges, in any direction, to (node, root): the smallest node of each component that has an edge."""
+    return merge_nodes(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), []).select("node", "root")
