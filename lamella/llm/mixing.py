@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import WORD_RE, documents, materialise
 
 RANGE_ROWS = 20_000
+FEW_SOURCES = 20_000  # a row is some 150 bytes
 #: Quality weight of a document labelled 1, labelled 0, and without label; averages of repeated labels lie between.
 GOOD, POOR, UNKNOWN = 1.0, 0.25, 0.625
 _EIGHTHS = range(2, 9)  # weights, in eighths, of which a source's key distribution is mixed
@@ -60,7 +61,9 @@ def ranged(sizes: DataFrame, weights: DataFrame, max_epochs: int = 3, also: tupl
     digits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
     x = x.withColumn("weight", F.coalesce("weight", F.lit(UNKNOWN))).withColumn("key", -F.log((digits + 0.5) / float(1 << 52)) / F.col("weight"))
     shares = x.groupBy("no_source", "source_key").agg(F.array(*[F.avg((F.rint(F.col("weight") * 8) == k).cast("double")) for k in _EIGHTHS]).alias("shares"))
-    x = x.join(per.join(shares, ["no_source", "source_key"]), ["no_source", "source_key"])
+    per = materialise(per.join(shares, ["no_source", "source_key"]), "sources")
+    # a table of few sources goes to every task, so that a hot source's documents are not gathered for the join
+    x = x.join(F.broadcast(per) if per.count() <= FEW_SOURCES else per, ["no_source", "source_key"])
     # a key's place among its source's keys, by the mixture of their distributions: it grows with the key whatever the weights
     place = sum((F.col("shares")[i] * (1 - F.exp(-F.col("key") * (k / 8))) for i, k in enumerate(_EIGHTHS)), F.lit(0.0))
     ranges = F.ceil(F.col("docs") / RANGE_ROWS)
