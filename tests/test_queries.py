@@ -10,7 +10,7 @@ from lamella import image_queries  # noqa: F401  registers its queries
 from lamella import queries as Q
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"gmm_diag", "delaunay_graph_features", "voronoi_cells", "forest_cross_validation"}
+SLOW = {"gmm_diag", "forest_cross_validation"}
 
 
 @pytest.fixture(scope="module")
