@@ -9,10 +9,9 @@ similarity s shares a table with probability (1 - (1 - s^3)^14)^2: 0.9999 at 0.8
 out: members meet in runs of equal A_i, and only those with an equal B_j are candidates. Candidates of fewer than ``LEAST``
 equal minhashes of 84 (about one in 10,000 pairs at 0.8) are not verified.
 
-Texts with equal sets are one class. First each class is compared with one class of each of its runs, the least; that joins large
-families at a few pairs a class. Then the classes of a run that are still in different groups are compared in tiles
-(``tiles.py``). Every link found is confirmed by the intersection of the two sets, which are made anew for the classes that need them.
-Sets hold 64-bit hashes (XXH64, seed 42) of shingles and classes have 128-bit names; shingles' bytes are not compared.
+Texts with equal sets are one class. ``linked.py`` compares classes with one class of each run first, then, in tiles, those still in
+different groups, and confirms every link by the intersection of the whole sets. Sets hold 64-bit hashes of shingles; shingles' bytes
+are not compared.
 
 Defined results: null text counts as empty; texts without words have no set and are linked with nothing; repeated rows stay, one
 result row each; a null id is never a component's smallest unless alone, and its row is not kept; an empty table gives an empty
@@ -22,20 +21,16 @@ result; other columns pass by.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
-
-from lamella.operators.masks import merge_nodes
 
+from . import tiles
 from .common import documents, materialise, remove, session
-from .near_groups import shingle_set
-from .tiles import deal, in_tile_order, meetings
+from .linked import class_name, groups, shingle_set, text_name
 
 WIDTH = 4
-SHARE = (80, 100)
+PERCENT = 80
 ROWS, HALVES = 3, 14
 HASHES = 2 * ROWS * HALVES
 LEAST = 52
@@ -62,14 +57,14 @@ def half_keys(sigs: np.ndarray) -> np.ndarray:
     for k in range(ROWS):
         key = (key ^ part[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+    return (key & ~np.uint64(15) | np.arange(HALVES, dtype=np.uint64)).view(np.int64)  # the low bits say which
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For two byte matrices of signatures: which pairs share a key B_j and have LEAST equal minhashes."""
+def alike(x: np.ndarray, y: np.ndarray, run: int | None = None) -> np.ndarray:
+    """For two byte matrices of signatures: which pairs share a key B_j and have LEAST equal minhashes; in the first of their runs, if one is given."""
     x, y = x.view(np.uint32), y.view(np.uint32)
     same = np.zeros((len(x), len(y)), np.uint8)
-    shared = np.zeros((len(x), len(y)), bool)
+    shared, earlier = np.zeros((len(x), len(y)), bool), np.zeros((len(x), len(y)), bool)
     for j in range(HASHES // ROWS):
         all_rows = True
         for k in range(j * ROWS, j * ROWS + ROWS):
@@ -78,12 +73,15 @@ def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             all_rows = all_rows & equal
         if j >= HALVES:
             shared |= all_rows
-    return shared & (same >= LEAST)
+        elif run is not None and j < run & 15:
+            earlier |= all_rows
+    return shared & ~earlier & (same >= LEAST)
 
 
-def _tie() -> Column:
-    """A 128-bit name of the text."""
-    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+def rows_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same, row by row."""
+    equal = x.view(np.uint32) == y.view(np.uint32)
+    return equal[:, ROWS * HALVES :].reshape(len(x), HALVES, ROWS).all(2).any(1) & (equal.sum(1) >= LEAST)
 
 
 def members(docs: DataFrame, width: int) -> DataFrame:
@@ -98,93 +96,24 @@ def members(docs: DataFrame, width: int) -> DataFrame:
             for i in full:
                 sig[i] = minhashes(sets[i], by)
             known = [len(s) > 0 for s in sets]
-            cls = [xxh3_128_digest(s.tobytes()) if k else None for s, k in zip(sets, known, strict=True)]
+            cls = [class_name(s) if k else None for s, k in zip(sets, known, strict=True)]
             halves = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * HALVES, pa.int32()), pa.array(half_keys(sig).ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), b.column(1), pa.array([x.tobytes() if k else None for x, k in zip(sig, known, strict=True)], pa.binary()), halves], ["doc_id", "cls", "n", "tie", "sig", "halves"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tie().alias("tie"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_name().alias("tie"), "text")
     with session(docs.sparkSession, 256):
         return materialise(rows.mapInArrow(run, "doc_id long, cls binary, n long, tie binary, sig binary, halves array<long>"), "members")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The (a, b) pairs of classes whose whole sets are linked."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "tie"), "cls").select("tie")
-    texts = docs.select("text", _tie().alias("tie")).join(needed.distinct(), "tie", "left_semi").dropDuplicates(["tie"]).select("text")
-
-    def sets_of(batches):
-        for b in batches:
-            sets = [shingle_set(t, width) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "items"])
-
-    def linked(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(SHARE[1] * both >= SHARE[0] * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
-
-    with session(docs.sparkSession, 256):
-        sets = materialise(texts.mapInArrow(sets_of, "cls binary, items binary"), "sets")
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
-        found = materialise(both.select("a", "b", "x", "y").mapInArrow(linked, "a binary, b binary"), "links")
-    remove(sets)
-    return found
-
-
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose signatures are alike."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, HASHES) for i in (2, 3))
-                equal = x == y
-                shared = equal[:, ROWS * HALVES :].reshape(len(x), HALVES, ROWS).all(2).any(1)
-                ok = pa.array(shared & (equal.sum(1) >= LEAST))
-                yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in (0, 1)], ["a", "b"])
-
-    both = pairs.join(classes.select(F.col("cls").alias("a"), F.col("sig").alias("x")), "a").join(classes.select(F.col("cls").alias("b"), F.col("sig").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
-
-
-def groups(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """members() rows to cls, root: the smallest class of each class's component."""
-    first = F.min_by(F.struct("n", "sig", "halves", "tie"), "tie")
-    classes = materialise(found.filter("cls IS NOT NULL").groupBy("cls").agg(first.alias("f")).select("cls", "f.*"), "classes")
-    halves = classes.select("cls", F.explode("halves").alias("run"))
-    sizes = halves.groupBy("run").agg(F.count("*").alias("members"), F.min("cls").alias("pivot")).filter("members > 1")
-    runs = materialise(halves.join(sizes, "run").select("run", "cls", "pivot"), "runs")
-    pairs = runs.filter("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    links = confirmed(materialise(likely(pairs, classes), "likely"), classes, docs, width)
-    roots = merge_nodes(links, []).select(F.col("node").alias("cls"), "root")
-    rooted = materialise(classes.join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.col("sig").alias("fp")), "rooted")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = in_tile_order(pdf)
-        out = set()
-        cls = pdf["cls"].to_numpy()
-        for x, y in meetings(pdf, alike):
-            out.update((min(p, q), max(p, q)) for p, q in zip(cls[x], cls[y], strict=True))
-        return pd.DataFrame(sorted(out), columns=["a", "b"])
-
-    late = materialise(deal(runs.select("run", "cls"), rooted).groupBy("part").applyInPandas(compare, "a binary, b binary").distinct(), "late")
-    later = links.unionByName(confirmed(late, classes, docs, width))
-    roots = merge_nodes(later, []).select(F.col("node").alias("cls"), "root")
-    out = materialise(classes.join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")), "groups")
-    for df in (classes, runs, rooted, late):
-        remove(df)
-    return out
-
-
 def cluster(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text) rows to doc_id, n_shingles, component_id, kept."""
     found = members(docs, width)
-    rooted = groups(docs, found, width)
-    first = found.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    named = materialise(rooted.join(first, "cls"), "first")
+    first = F.min_by(F.struct(F.col("sig").alias("fp"), "halves", "tie"), "tie")
+    classes = materialise(found.filter("cls IS NOT NULL").groupBy("cls").agg(first.alias("f"), F.min("doc_id").alias("first")).select("cls", "f.*", "first"), "classes")
+    keys = classes.select("cls", F.explode("halves").alias("run"), F.lit(0).alias("sketch"))
+    rooted = groups(classes, keys, docs, width, PERCENT, rows_alike, alike, 0, tiles.TILE)
+    named = materialise(rooted.join(classes.select("cls", "first"), "cls"), "first")
+    remove(classes)
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_class = named.join(low, "root").select("cls", "component_id")
     out = found.select("doc_id", "n", "cls").join(by_class, "cls", "left")
