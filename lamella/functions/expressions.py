@@ -49,8 +49,8 @@ def base_mpp(x: Column, y: Column, tolerance: float = 0.02) -> tuple[Column, Col
 
 
 def region_name(raw: Column, accepted_before: Column) -> Column:
-    """Printable word characters, spaces and hyphens, spaces as underscores; Region_<n> if nothing is left."""
-    clean = F.replace(F.trim(F.regexp_replace(F.trim(raw), r"[^\w\s-]", "")), F.lit(" "), F.lit("_"))
+    """Letters and digits of any script, underscores, hyphens and spaces, these as underscores; Region_<n> if nothing is left."""
+    clean = F.replace(F.trim(F.regexp_replace(raw, r"[^\p{L}\p{N}_ -]", "")), F.lit(" "), F.lit("_"))
     return F.when(F.coalesce(F.length(clean), F.lit(0)) > 0, clean).otherwise(F.concat(F.lit("Region_"), (accepted_before + 1).cast("string")))
 
 
@@ -85,22 +85,23 @@ def type_label(id_: Column, names: Column | None = None) -> Column:
 
 
 def apoptotic(area: Column, stain: Column, circularity: Column, irregularity: Column) -> Column:
-    """1.0 or 0.0 by size, stain and shape; null if any is missing."""
-    inputs = [area, stain, circularity, irregularity]
-    known = inputs[0].isNotNull()
-    for x in inputs[1:]:
-        known = known & x.isNotNull()
+    """1.0 or 0.0 by size, stain and shape; null if any is missing, NaN or infinite."""
+    known = F.lit(True)
+    for x in (area, stain, circularity, irregularity):
+        known = known & finite(x).isNotNull()
     hit = (area < 80) & (stain > 0.1) & ((circularity < 0.55) | (irregularity > 1.2))
     return F.when(known, hit.cast("double"))
 
 
 def crowded(nearest: Column, diameter: Column) -> Column:
-    """1.0 if the nearest neighbour is closer than the diameter, else, unknown included, 0.0."""
-    return F.coalesce((nearest < diameter).cast("double"), F.lit(0.0))
+    """1.0 if the nearest neighbour is closer than the diameter, else, unknown and NaN included, 0.0."""
+    return F.coalesce(((nearest < diameter) & ~F.isnan(diameter)).cast("double"), F.lit(0.0))
 
 
 def missing_fraction(columns: list[str]) -> Column:
-    return sum((F.col(c).isNull().cast("double") for c in columns), F.lit(0.0)) / len(columns)
+    """Share of the columns that are null or NaN."""
+    gone = lambda c: F.col(c).isNull() | F.coalesce(F.isnan(F.col(c).cast("string").try_cast("double")), F.lit(False))
+    return sum((gone(c).cast("double") for c in columns), F.lit(0.0)) / len(columns)
 
 
 def rounded_point(point: Column) -> Column:
@@ -136,8 +137,11 @@ def is_feature(name: str, metadata: set[str]) -> bool:
 
 
 def pair_signature(*columns: str) -> Column:
-    """A digest of a pair's identity, fields by name."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    """A digest of a pair's identity, fields by name, null ones included; give sizes and times of its files, so that a replaced slide is noticed.
+
+    The text that is digested is Spark's compact JSON: digests of other programs differ.
+    """
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
 def hue_saturation_value(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .expressions import finite
 
-EPS = 1e-8
+EPS = 1e-9
 
 
 def skew_corrected(c: Column) -> Column:

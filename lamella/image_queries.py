@@ -181,15 +181,15 @@ def region_offsets(spark, sf):
 # --- cells ---------------------------------------------------------------------------------------------------------------
 
 _RINGS = f"""box AS (SELECT region, label, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM img WHERE label > 0 GROUP BY ALL),
-near AS (SELECT DISTINCT n.region, n.label, s.row, s.col, s.h, s.e FROM img n JOIN stain s ON s.region = n.region AND (s.row - n.row) ** 2 + (s.col - n.col) ** 2 <= 25 AND s.label = 0
+near AS (SELECT DISTINCT n.region, n.label, s.row, s.col, s.h, s.e FROM img n JOIN stain s ON s.region = n.region AND (s.row - n.row) ** 2 + (s.col - n.col) ** 2 <= 81 AND s.label = 0
   JOIN box ON box.region = n.region AND box.label = n.label AND s.row BETWEEN r0 AND r1 AND s.col BETWEEN c0 AND c1 WHERE n.label > 0),
 ring AS (SELECT region, label, count(*)::DOUBLE AS n, avg(h) AS h, avg(e) AS e, quantile_cont(h, 0.9) AS h9 FROM near GROUP BY ALL),
 core AS (SELECT region, label, count(*)::DOUBLE AS n, avg(h) AS h, avg(e) AS e, avg(d) AS d, stddev_pop(h) AS hs, skewness(e) AS ek, quantile_cont(d, 0.1) AS d1 FROM stain WHERE label > 0 GROUP BY ALL)"""
 
 
 @query(f"""WITH {_GRID}, {_STAIN}, {_RINGS} SELECT region, label, round(c.h, 6) AS hematoxylin_mean, round(hs, 6) AS hematoxylin_std, round(ek, 4) AS eosin_skew, round(d1, 6) AS residual_p10, round(r.h, 6) AS cytoplasm_ring_hematoxylin_mean, round(h9, 6) AS cytoplasm_ring_hematoxylin_p90,
-round(c.h / (c.e + 1e-8), 4) AS he_ratio_mean, round(c.h * c.n, 6) AS integrated_nuclear_density_h, round(c.e * c.n, 6) AS integrated_nuclear_density_e, round(c.h - r.h, 6) AS nuclear_cytoplasm_h_contrast, round(c.e - r.e, 6) AS nuclear_cytoplasm_e_contrast,
-coalesce(r.n, 0) AS cytoplasm_ring_area_px, round(CASE WHEN r.n > 0 THEN c.n / (r.n + 1e-8) END, 6) AS nc_area_ratio_proxy FROM core c LEFT JOIN ring r USING (region, label)""")
+round(c.h / (c.e + 1e-9), 4) AS he_ratio_mean, round(c.h * c.n, 6) AS integrated_nuclear_density_h, round(c.e * c.n, 6) AS integrated_nuclear_density_e, round(c.h - r.h, 6) AS nuclear_cytoplasm_h_contrast, round(c.e - r.e, 6) AS nuclear_cytoplasm_e_contrast,
+coalesce(r.n, 0) AS cytoplasm_ring_area_px, round(CASE WHEN r.n > 0 THEN c.n / (r.n + 1e-9) END, 6) AS nc_area_ratio_proxy FROM core c LEFT JOIN ring r USING (region, label)""")
 def cell_intensity(spark, sf):
     x = cellular.intensity(image(spark, sf), BY)
     names = ["hematoxylin_mean", "hematoxylin_std", "residual_p10", "cytoplasm_ring_hematoxylin_mean", "cytoplasm_ring_hematoxylin_p90", "integrated_nuclear_density_h", "integrated_nuclear_density_e", "nuclear_cytoplasm_h_contrast", "nuclear_cytoplasm_e_contrast", "nc_area_ratio_proxy"]
@@ -202,7 +202,7 @@ pix AS (SELECT f.region, f.label, g.row, g.col, coalesce(lv.q, f.f) AS q FROM fi
 o AS (SELECT * FROM (VALUES (1, 0, 0, 1), (1, 1, -1, 1), (1, 2, -1, 0), (1, 3, -1, -1), (2, 0, 0, 2), (2, 1, -1, 1), (2, 2, -2, 0), (2, 3, -1, -1)) t(d, a, dr, dc)),
 n AS (SELECT x.region, x.label, d, a, x.q AS q1, y.q AS q2, count(*) AS n FROM pix x, o JOIN pix y ON y.region = x.region AND y.label = x.label AND y.row = x.row + dr AND y.col = x.col + dc GROUP BY ALL),
 s AS (SELECT region, label, d, a, q1, q2, sum(n) AS n FROM (SELECT * FROM n UNION ALL SELECT region, label, d, a, q2, q1, n FROM n) GROUP BY ALL), p AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY region, label, d, a) AS p FROM s),
-f AS (SELECT region, label, d, a, sum(p * (q1 - q2) ^ 2) AS contrast, sum(p / (1 + (q1 - q2) ^ 2)) AS homogeneity, sqrt(sum(p * p)) AS energy, -sum(p * log2(p + 1e-8)) AS entropy FROM p GROUP BY ALL)
+f AS (SELECT region, label, d, a, sum(p * (q1 - q2) ^ 2) AS contrast, sum(p / (1 + (q1 - q2) ^ 2)) AS homogeneity, sqrt(sum(p * p)) AS energy, -sum(p * log2(p + 1e-9)) AS entropy FROM p GROUP BY ALL)
 SELECT region, label, round(avg(contrast), 4) AS glcm_contrast, round(avg(energy), 6) AS glcm_energy, round(avg(homogeneity), 6) AS glcm_homogeneity, round(avg(entropy), 6) AS glcm_entropy FROM f GROUP BY ALL""")
 def cell_co_occurrence(spark, sf):
     from lamella.operators import raster

@@ -17,7 +17,7 @@ from lamella.functions import expressions as X
 from lamella.functions.statistics import EPS, nine_numbers
 from lamella.operators import geometry, raster
 
-LEVELS, RING = 32, 5
+LEVELS, RING_UM, MPP = 32, 2.0, 0.2215
 LEAST_TEXTURE, LEAST_BLOCKS = 8, 16
 SHAPES = ["perimeter_px", "convex_hull_area_px", "solidity", "convexity", "concavity_count", "concavity_depth_mean_px", "fractal_dimension_boundary"]
 
@@ -40,33 +40,20 @@ def crops(pixels: DataFrame, by: list[str], value: str) -> DataFrame:
 # --- morphology ----------------------------------------------------------------------------------------------------------
 
 
-def outline(mask: np.ndarray) -> np.ndarray:
-    """The longest outline of a mask: its pixels' edges walked with the mask on one side, as [x, y] corner points."""
+def perimeter(mask: np.ndarray) -> float:
+    """Boundary length by the weights of straight, diagonal and mixed steps between the pixels with a 4-neighbour outside; where that is 0,
+    with an 8-neighbour outside."""
+    return _weighted(geometry.boundary(mask)) or _weighted(mask & ~_inner8(mask))
+
+
+def _inner8(mask: np.ndarray) -> np.ndarray:
     pad = np.pad(mask, 1)
-    follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in zip(*np.nonzero(mask), strict=True):
-        r, c = int(r), int(c)
-        for free, a, b in ((not pad[r, c + 1], (r, c), (r, c + 1)), (not pad[r + 1, c + 2], (r, c + 1), (r + 1, c + 1)), (not pad[r + 2, c + 1], (r + 1, c + 1), (r + 1, c)), (not pad[r + 1, c], (r + 1, c), (r, c))):
-            if free:
-                follow.setdefault(a, []).append(b)
-    best: list[tuple[int, int]] = []
-    while follow:
-        start = next(iter(follow))
-        path, at = [start], start
-        while at in follow:
-            nxt = follow[at]
-            at = nxt.pop()
-            if not nxt:
-                del follow[path[-1]]
-            path.append(at)
-        if len(path) > len(best):
-            best = path
-    return np.array([(c, r) for r, c in best[:-1]], float).reshape(-1, 2)
+    h, w = mask.shape
+    return np.all([pad[a : a + h, b : b + w] for a in range(3) for b in range(3)], axis=0)
 
 
-def perimeter(mask: np.ndarray) -> float:
-    """Boundary length by the weights of straight, diagonal and mixed steps between boundary pixels with four neighbours."""
-    edge = np.pad(geometry.boundary(mask), 1).astype(int)
+def _weighted(boundary: np.ndarray) -> float:
+    edge = np.pad(boundary, 1).astype(int)
     near = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:]
     far = edge[:-2, :-2] + edge[:-2, 2:] + edge[2:, :-2] + edge[2:, 2:]
     code = np.where(edge[1:-1, 1:-1] > 0, 1 + 2 * near + 10 * far, 0)
@@ -75,8 +62,9 @@ def perimeter(mask: np.ndarray) -> float:
 
 
 def box_dimension(edge: np.ndarray) -> float:
-    """Slope of log box count on log inverse size, over box sizes of powers of two that fit; NaN for fewer than two."""
-    sizes = [s for s in (1 << k for k in range(1, 12)) if s <= min(edge.shape)]
+    """Slope of log box count on log inverse size, over powers of two up to half the shorter side; NaN for fewer than two or a side under 8."""
+    side = min(edge.shape)
+    sizes = [1 << k for k in range(1, side.bit_length()) if 1 << k <= side // 2] if side >= 8 else []
     r, c = np.nonzero(edge)
     counts = [len({(a // s, b // s) for a, b in zip(r.tolist(), c.tolist(), strict=True)}) for s in sizes]
     if len(sizes) < 2 or not len(r):
@@ -94,10 +82,10 @@ def _image(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def shape_numbers(mask: np.ndarray, harmonics: int) -> list[float]:
     """A cell's outline measurements in the order of ``SHAPES``, then Fourier amplitudes."""
-    xy, p = outline(mask), perimeter(mask)
-    hull = geometry.convex_hull(xy)
-    area, hull_area, around = float(mask.sum()), geometry.area_of(hull), geometry.length_of(hull)
-    return [p, hull_area, area / hull_area if hull_area else math.nan, around / (geometry.length_of(xy) + EPS), *geometry.concavities(xy), box_dimension(geometry.boundary(mask)), *geometry.fourier_amplitudes(xy, harmonics)]
+    xy, p = geometry.longest_contour(mask), perimeter(mask)
+    area, hull_area = float(mask.sum()), geometry.hull_pixels(mask)
+    count, depth, convexity = geometry.concavity(mask, p, xy)
+    return [p, hull_area, area / hull_area if hull_area else math.nan, convexity, count, depth, box_dimension(geometry.boundary(mask)), *geometry.fourier_amplitudes(xy, harmonics)]
 
 
 def _per_cell(x: DataFrame, by: list[str], names: list[str], measure) -> DataFrame:
@@ -128,7 +116,12 @@ def morphology(pixels: DataFrame, by: list[str], mpp: float, harmonics: int = 10
 # --- intensity -----------------------------------------------------------------------------------------------------------
 
 
-def intensity(pixels: DataFrame, by: list[str], ring: int = RING) -> DataFrame:
+def ring_width(mpp: float, um: float = RING_UM) -> int:
+    """Pixels of the ring round a nucleus at a scale, half to even, one at least."""
+    return max(1, round(um / mpp))
+
+
+def intensity(pixels: DataFrame, by: list[str], ring: int = ring_width(MPP)) -> DataFrame:
     """Nine numbers of each stain in the nucleus and of two in the ring round it; their ratios, densities and contrasts.
 
     The ring lies within ``ring`` pixels of the nucleus and inside its box, outside all nuclei.
@@ -188,8 +181,15 @@ def texture(pixels: DataFrame, by: list[str], value: str = "hematoxylin", levels
     return numbers.join(glcm, keys, "left").join(lbp, keys, "left").join(haar, keys, "left")
 
 
-def cell_features(pixels: DataFrame, by: list[str], mpp: float) -> DataFrame:
-    """All families of a cell in one row: morphology, intensity, texture; units spelt in the names."""
+def cell_features(pixels: DataFrame, by: list[str], mpp: float, stains: DataFrame | None = None, slide: str = "slide") -> DataFrame:
+    """All families of a cell in one row: morphology, intensity, texture; units spelt in the names.
+
+    The ring round a nucleus is two micrometres wide. Texture is of hematoxylin normalised by the slide's stain reference
+    (``raster.od_stain``), of plain hematoxylin on slides without one.
+    """
     x = stained(pixels)
-    out = morphology(pixels, by, mpp).join(intensity(pixels, by), [*by, "label"], "left")
+    if stains is not None:
+        known = raster.od_stain(pixels.select(*by, "row", "col", *"rgb"), stains, slide).select(*by, "row", "col", F.col("hematoxylin").alias("__known"))
+        x = x.join(known, [*by, "row", "col"], "left").withColumn("hematoxylin", F.coalesce("__known", "hematoxylin")).drop("__known")
+    out = morphology(pixels, by, mpp).join(intensity(pixels, by, ring_width(mpp)), [*by, "label"], "left")
     return out.join(texture(x, by), [*by, "label"], "left")

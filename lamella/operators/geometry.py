@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-EPS = 1e-8
+EPS = 1e-9
 
 
 def _snake(points: np.ndarray) -> np.ndarray:
@@ -212,6 +212,161 @@ def concavities(xy: np.ndarray, deeper_than: float = 1.0) -> tuple[float, float]
     return float(len(deep)), float(np.mean(deep)) if deep else 0.0
 
 
+def half_contours(values: np.ndarray, level: float = 0.5) -> list[np.ndarray]:
+    """The lines where an image crosses a level, as chains of [x, y] points, values above the level on the same side of all.
+
+    Each square of four neighbouring pixels has a crossing on every side whose ends lie on different sides of the level,
+    interpolated between them. Going round a square clockwise, a step down after a step up bounds one group of high corners, and a
+    segment joins the two, so that high corners across a saddle stay apart. Segments that share a crossing are chained; a chain
+    that meets the image's edge is open, others start and end with the same point. Chains come in the order of their first segments.
+    """
+    h, w = values.shape
+    if h < 2 or w < 2:
+        return []
+    high = values > level
+    corners = [high[:-1, :-1], high[:-1, 1:], high[1:, 1:], high[1:, :-1]]  # clockwise from the upper left
+    mixed = np.argwhere(~(corners[0] & corners[1] & corners[2] & corners[3]) & (corners[0] | corners[1] | corners[2] | corners[3]))
+    after: dict[tuple[int, int, bool], tuple[int, int, bool]] = {}  # a crossing: its pixel and whether it lies on the way right
+    first: dict[tuple[int, int, bool], int] = {}
+    for n, (r, c) in enumerate(mixed.tolist()):
+        sides = [(r, c, True), (r, c + 1, False), (r + 1, c, True), (r, c, False)]
+        up = [bool(x[r, c]) for x in corners]
+        for i in range(4):
+            if not up[i - 1] and up[i]:  # the side before corner i leads up
+                k = next(j for j in range(i, i + 4) if up[j % 4] and not up[(j + 1) % 4])
+                after[sides[k % 4]] = sides[i - 1]
+                first[sides[k % 4]] = n
+    ends = set(after.values())
+    chains: list[tuple[int, list]] = []
+    seen: set[tuple[int, int, bool]] = set()
+    for start in [p for p in after if p not in ends] + list(after):
+        if start in seen:
+            continue
+        path, numbers, at = [start], [], start
+        while at in after and at not in seen:
+            seen.add(at)
+            numbers.append(first[at])
+            at = after[at]
+            path.append(at)
+        if path[0] == path[-1]:  # a closed chain begins after its last segment in scan order
+            turn = int(np.argmax(numbers)) + 1
+            path = path[turn:-1] + path[:turn] + [path[turn % (len(path) - 1)]]
+        chains.append((min(numbers), path))
+
+    def place(p: tuple[int, int, bool]) -> tuple[float, float]:
+        r, c, right = p
+        a, b = float(values[r, c]), float(values[r, c + 1] if right else values[r + 1, c])
+        t = (level - a) / (b - a)
+        return (c + t, float(r)) if right else (float(c), r + t)
+
+    return [np.array([place(p) for p in path]) for _, path in sorted(chains, key=lambda x: x[0])]
+
+
+def longest_contour(mask: np.ndarray) -> np.ndarray:
+    """The half-level chain of most points, the first of several; no points for a mask without crossings in its box."""
+    return max(half_contours(mask.astype(float)), key=len, default=np.zeros((0, 2)))
+
+
+def border_chain(mask: np.ndarray) -> np.ndarray:
+    """The outer border of the 8-connected part with the largest border area: pixel centres [x, y] in walking order."""
+    turns = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    pad = np.pad(mask, 1)
+    best, left = np.zeros((0, 2)), pad.copy()
+    while left.any():
+        r, c = (int(x[0]) for x in np.nonzero(left))
+        path, at, back = [(r, c)], (r, c), 4  # came from the left, which is free
+        begin = None
+        while True:
+            for k in range(1, 9):
+                d = (back + k) % 8
+                to = (at[0] + turns[d][0], at[1] + turns[d][1])
+                if pad[to]:
+                    break
+            else:
+                break
+            if begin is None:
+                begin = d
+            elif at == (r, c) and d == begin:
+                path.pop()
+                break
+            at, back = to, (d + 4) % 8
+            path.append(at)
+        stack = [(r, c)]
+        left[r, c] = False
+        while stack:  # the part that was walked round
+            a, b = stack.pop()
+            for dr, dc in turns:
+                if left[a + dr, b + dc]:
+                    left[a + dr, b + dc] = False
+                    stack.append((a + dr, b + dc))
+        xy = np.array([(c - 1, r - 1) for r, c in path], float)
+        if not len(best) or area_of(xy) > area_of(best):
+            best = xy
+    return best
+
+
+def hull_defects(xy: np.ndarray) -> list[float]:
+    """For each side of the hull of a closed chain that the chain falls behind: how far, in steps of 1/256."""
+    hull = convex_hull(xy)
+    if len(hull) < 3:
+        return []
+    on, marks = {tuple(p) for p in hull.tolist()}, []
+    for i, p in enumerate(xy.tolist()):
+        if tuple(p) in on:
+            on.discard(tuple(p))
+            marks.append(i)
+    depths = []
+    for a, b in zip(marks, marks[1:] + [marks[0] + len(xy)], strict=True):
+        p, q = xy[a % len(xy)], xy[b % len(xy)]
+        base, inner = math.hypot(*(q - p)), xy[np.arange(a + 1, b) % len(xy)]
+        if len(inner) and base > 0:
+            depth = np.abs((q[0] - p[0]) * (inner[:, 1] - p[1]) - (q[1] - p[1]) * (inner[:, 0] - p[0])).max() / base
+            if depth > 0:
+                depths.append(round(depth * 256) / 256)
+    return depths
+
+
+def concavity(mask: np.ndarray, around: float, contour: np.ndarray) -> tuple[float, float, float]:
+    """Number and mean depth of concavities and hull length over the perimeter, from a cell's mask, perimeter and half-level contour.
+
+    Concavities are the sides of the border's hull that it falls behind by over a pixel; a border without any such side is judged
+    by dips of the contour's distance from its centre below a running mean.
+    """
+    if len(contour) < 4:
+        return math.nan, math.nan, math.nan
+    border = border_chain(mask)
+    depths = hull_defects(border) if len(border) >= 4 else []
+    if depths:
+        deep = [d for d in depths if d > 1]
+        return float(len(deep)), float(np.mean(deep)) if deep else 0.0, length_of(convex_hull(border)) / (around + EPS) if around > 0 else math.nan
+    hull = convex_hull(contour)
+    radial = np.hypot(*(contour - contour.mean(0)).T)
+    count, depth = math.nan, math.nan
+    if len(radial) >= 8:
+        size = max(5, len(radial) // 20)
+        window = (np.arange(len(radial))[:, None] + np.arange(size) - size // 2) % len(radial)
+        dip = radial[window].mean(1) - radial
+        low = dip > max(1.0, float(dip.std()))
+        count, depth = float((low & ~np.roll(low, 1)).sum()), float(dip[low].mean()) if low.any() else 0.0
+    return count, depth, length_of(hull) / (around + EPS) if around > 0 and len(hull) >= 3 else math.nan
+
+
+def hull_pixels(mask: np.ndarray) -> float:
+    """Pixels whose centre lies in the hull of the midpoints of all pixels' sides, its edge included."""
+    r, c = np.nonzero(boundary(mask))
+    ends = np.concatenate([np.column_stack([c + dx, r + dy]) for dx, dy in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))])
+    hull = convex_hull(ends.astype(float))
+    y, x = np.mgrid[: mask.shape[0], : mask.shape[1]]
+    inside = np.ones(mask.shape, bool)
+    for p, q in zip(hull, np.roll(hull, -1, axis=0), strict=True):
+        inside &= (q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]) >= -1e-9
+    if not inside.any():  # a hull given clockwise
+        inside = np.ones(mask.shape, bool)
+        for p, q in zip(hull, np.roll(hull, -1, axis=0), strict=True):
+            inside &= (q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]) <= 1e-9
+    return float(inside.sum())
+
+
 def fourier_amplitudes(xy: np.ndarray, harmonics: int = 10, samples: int = 128) -> list[float]:
     """Amplitudes of an outline resampled by arc length, over that of the first harmonic; NaN for none."""
     if len(xy) < 3:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.functions.expressions import safe_double
+from lamella.functions.expressions import finite, safe_double
 from lamella.operators.relational import ContractError
 
 LEAST_MAPPED, LEAST_TISSUE = 0.95, 0.5
@@ -28,6 +28,7 @@ def weak_labels(cells: DataFrame, review: DataFrame, regions: DataFrame, allow_s
 
     A label needs: an approved registration with a threshold, a fitting section relationship, an approved
     region with a known error within bounds, a cell that is mapped, on tissue and larger than the error.
+    A measurement that is NaN or infinite is unknown and gives no label.
     review: one row a slide (slide, registration_approved, dab_threshold, section_relationship,
     positive_fraction, negative_fraction); regions: (slide, region, approved, max_registration_error_um).
     """
@@ -36,9 +37,9 @@ def weak_labels(cells: DataFrame, review: DataFrame, regions: DataFrame, allow_s
     x = cells.join(review, "slide", "left").join(r, ["slide", "region"], "left")
     section = (F.col("section_relationship") == "same_section") | ((F.col("section_relationship") == "serial_section") & F.lit(allow_serial))
     gate = F.col("registration_approved") & F.col("dab_threshold").isNotNull() & section & F.col("region_ok") & F.col("error").between(0, most_error)
-    fit = (F.col("p53_mapped_fraction") >= LEAST_MAPPED) & (F.col("p53_tissue_fraction") >= LEAST_TISSUE) & (F.col("p53_equivalent_radius_um") > F.col("error"))
-    open_ = F.coalesce(gate & fit, F.lit(False))
-    label = F.when(open_ & (F.col("p53_positive_fraction") <= F.col("negative_fraction")), 0).when(open_ & (F.col("p53_positive_fraction") >= F.col("positive_fraction")), 1).otherwise(-1)
+    mapped, tissue, radius, positive = (finite(F.col(f"p53_{c}")) for c in ("mapped_fraction", "tissue_fraction", "equivalent_radius_um", "positive_fraction"))
+    open_ = F.coalesce(gate & (mapped >= LEAST_MAPPED) & (tissue >= LEAST_TISSUE) & (radius > F.col("error")), F.lit(False))
+    label = F.when(open_ & (positive <= F.col("negative_fraction")), 0).when(open_ & (positive >= F.col("positive_fraction")), 1).otherwise(-1)
     return x.select(*cells.columns, label.alias("p53_label"))
 
 

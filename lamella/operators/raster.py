@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,13 +15,16 @@ from lamella.functions.statistics import EPS
 
 
 def region_properties(pixels: DataFrame, by: list[str]) -> DataFrame:
-    """Area, centroid, box, second moments and the ellipse of equal moments, a label."""
+    """Area, centroid, box, and the ellipse of equal second moments of pixel centres, a label; orientation is its angle from the rows' axis."""
     g = pixels.groupBy(*by).agg(F.count("*").alias("area_px"), F.avg("row").alias("cy"), F.avg("col").alias("cx"), F.min("row").alias("minr"), F.min("col").alias("minc"), (F.max("row") + 1).alias("maxr"), (F.max("col") + 1).alias("maxc"), F.var_pop("row").alias("vy"), F.var_pop("col").alias("vx"), F.covar_pop("row", "col").alias("vxy"))
-    a, b, c = F.col("vx") + 1 / 12, F.col("vy") + 1 / 12, F.col("vxy")  # a pixel is a unit square
+    a, b, c = F.col("vx"), F.col("vy"), F.col("vxy")
     root = F.sqrt(F.pow((a - b) / 2, 2) + c * c)
-    major, minor = 4 * F.sqrt((a + b) / 2 + root), 4 * F.sqrt(F.greatest(F.lit(0.0), (a + b) / 2 - root))
-    g = g.withColumns({"major_axis_length_px": major, "minor_axis_length_px": minor})
-    return g.withColumns({"equivalent_diameter_px": F.sqrt(4 * F.col("area_px") / math.pi), "eccentricity": F.sqrt(1 - F.pow(F.col("minor_axis_length_px") / F.col("major_axis_length_px"), 2)), "aspect_ratio": F.col("major_axis_length_px") / (F.col("minor_axis_length_px") + EPS), "roundness": 4 * F.col("area_px") / (math.pi * F.pow("major_axis_length_px", 2) + EPS)}).drop("vy", "vx", "vxy")
+    angle = F.when(a == b, F.when(c > 0, math.pi / 4).otherwise(-math.pi / 4)).otherwise(F.atan2(2 * c, b - a) / 2)
+    g = g.withColumns({"major_axis_length_px": 4 * F.sqrt((a + b) / 2 + root), "minor_axis_length_px": 4 * F.sqrt(F.greatest(F.lit(0.0), (a + b) / 2 - root)), "orientation": angle})
+    major, minor = F.col("major_axis_length_px"), F.col("minor_axis_length_px")
+    g = g.withColumns({"equivalent_diameter_px": F.sqrt(4 * F.col("area_px") / math.pi), "eccentricity": F.when(major > 0, F.sqrt(F.greatest(F.lit(0.0), 1 - F.pow(minor / major, 2)))).otherwise(0.0)})
+    g = g.withColumns({"aspect_ratio": F.when(minor > 0, major / (minor + EPS)), "roundness": F.when(major > 0, 4 * F.col("area_px") / (math.pi * major * major + EPS))})
+    return g.drop("vy", "vx", "vxy")
 
 
 def paint(cells: DataFrame, by: list[str], label: str = "label") -> DataFrame:
@@ -100,18 +103,33 @@ def box_dimension(boundary: DataFrame, by: list[str], sizes: tuple[int, ...]) ->
 
 
 def local_patterns(pixels: DataFrame, by: list[str], value: str, counted: str | None = None) -> DataFrame:
-    """Uniform binary patterns of the eight neighbours, as ten shares a region; bin 9 holds patterns of over two changes.
+    """Uniform binary patterns of eight samples on the circle of radius 1, as ten shares a region; bin 9 holds patterns of over two changes.
 
-    Pixels without all neighbours are compared with 0 there; only counted ones enter the shares.
+    The four diagonal samples are bilinear between the four pixels around them. Missing pixels count as 0; only counted ones
+    enter the shares.
     """
-    ring = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
-    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc")) for i, (dr, dc) in enumerate(ring)]))
+    spots = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc")) for i, (dr, dc) in enumerate(spots)]))
     seen = pixels.select(*by, "row", "col", F.col(value).alias("w"), o.alias("o")).select(*by, (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "o.i", "w")
     around = seen.groupBy(*by, "row", "col").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
     x = pixels.filter(counted) if counted else pixels
     x = x.join(around, [*by, "row", "col"], "left")
-    bits = [(F.coalesce(F.col("m")[F.lit(i)], F.lit(0.0)) >= F.col(value)).cast("int") for i in range(8)]
-    x = x.select(*by, F.array(*bits).alias("b"))
+    pixel = lambda dr, dc: F.coalesce(F.col("m")[F.lit(spots.index((dr, dc)))], F.lit(0.0))
+
+    def share(at: str, step: float) -> Column:
+        """How far a sample lies beyond the pixel before it, from the place's own double, which decides ties as the definition does."""
+        return F.col(at) + F.lit(step) - F.floor(F.col(at) + F.lit(step))
+
+    def sample(k: int) -> Column:
+        dr, dc = round(-math.sin(k * math.pi / 4), 5), round(math.cos(k * math.pi / 4), 5)
+        if k % 2 == 0:
+            return pixel(round(dr), round(dc))
+        r0, c0, fr, fc = math.floor(dr), math.floor(dc), share("row", dr), share("col", dc)
+        top = (1 - fc) * pixel(r0, c0) + fc * pixel(r0, c0 + 1)
+        low = (1 - fc) * pixel(r0 + 1, c0) + fc * pixel(r0 + 1, c0 + 1)
+        return (1 - fr) * top + fr * low
+
+    x = x.select(*by, F.array(*[(sample(k) - F.col(value) >= 0).cast("int") for k in range(8)]).alias("b"))
     changes = sum((F.abs(F.col("b")[i] - F.col("b")[(i + 1) % 8]) for i in range(8)), F.lit(0))
     ones = sum((F.col("b")[i] for i in range(8)), F.lit(0))
     n = x.select(*by, F.when(changes <= 2, ones).otherwise(9).alias("bin"))

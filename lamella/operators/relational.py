@@ -121,17 +121,19 @@ def counts_of_classes(cells: DataFrame, classes: DataFrame, key: str) -> DataFra
     return classes.select(key).distinct().join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def pixel_sums(pixels: DataFrame, by: list[str], value: str, mapped: str, tissue: str, threshold: float | None) -> DataFrame:
+def pixel_sums(pixels: DataFrame, by: list[str], value: str, mapped: str, tissue: str, threshold: float | Column | None) -> DataFrame:
     """Per nucleus, over pixels from any number of tiles: mean, spread and fractions of a stain.
 
-    The positive fraction is of mapped pixels, whatever their tissue; without mapped pixels all are null.
+    The positive and tissue fractions are of mapped pixels. Without mapped pixels mean, spread and positive fraction are null and
+    the others 0. The threshold may be a column, the same for all pixels of a nucleus; where it is null, so is the positive fraction.
     """
     m, v = F.col(mapped).cast("int"), F.when(F.col(mapped), F.col(value))
-    positive = F.lit(None).cast("long") if threshold is None else F.sum(F.when(v >= threshold, 1).otherwise(0))
+    at = F.lit(threshold).cast("double") if not isinstance(threshold, Column) else threshold
+    positive = F.sum(F.when(at.isNull(), None).when(v >= at, 1).otherwise(0))
     s = pixels.groupBy(*by).agg(F.count("*").alias("n"), F.sum(m).alias("n_mapped"), F.sum((F.col(mapped) & F.col(tissue)).cast("int")).alias("n_tissue"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), positive.alias("n_positive"))
     div = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     mean = div("s1", "n_mapped")
-    return s.select(*by, "n", "n_mapped", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), div("s2", "n_mapped") - mean * mean)).alias("std"), div("n_positive", "n_mapped").alias("positive_fraction"), div("n_mapped", "n").alias("mapped_fraction"), div("n_tissue", "n").alias("tissue_fraction"))
+    return s.select(*by, "n", "n_mapped", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), div("s2", "n_mapped") - mean * mean)).alias("std"), div("n_positive", "n_mapped").alias("positive_fraction"), div("n_mapped", "n").alias("mapped_fraction"), (F.col("n_tissue") / F.greatest(F.col("n_mapped"), F.lit(1))).alias("tissue_fraction"))
 
 
 def median_offset(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lamella.functions.expressions import finite
 from lamella.functions.statistics import EPS
 from lamella.storage import stored
 
@@ -24,8 +25,14 @@ def _around(reach: int = 1) -> Column:
     return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)])
 
 
+def placed(points: DataFrame) -> DataFrame:
+    """Points whose coordinates are both known: neither null nor NaN nor infinite."""
+    return points.filter(finite(F.col("x").cast("double")).isNotNull() & finite(F.col("y").cast("double")).isNotNull())
+
+
 def within_radius(left: DataFrame, right: DataFrame, by: list[str], radius: float) -> DataFrame:
-    """(by, id, x, y) twice to by, id, other, dist: all pairs at most radius apart, a point itself left out."""
+    """(by, id, x, y) twice to by, id, other, dist: all pairs at most radius apart, a point itself left out; unknown places have none."""
+    left, right = placed(left), placed(right)
     a = left.select(*by, "id", "x", "y", *_cells(radius)).withColumn("o", F.explode(_around())).select(*by, "id", "x", "y", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"))
     b = right.select(*by, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), *_cells(radius))
     b = b.select(*by, "other", F.col("ox"), F.col("oy"), "gx", "gy")
@@ -36,12 +43,12 @@ def within_radius(left: DataFrame, right: DataFrame, by: list[str], radius: floa
 def capped_nearest(left: DataFrame, right: DataFrame, by: list[str], cap: float) -> DataFrame:
     """Each left point's nearest right point at most cap away, ties to the smaller id; other is null if there is none.
 
-    A group of left points with an unknown coordinate gets none at all.
+    A group of left points with an unknown coordinate (null, NaN or infinite) gets none at all.
     """
-    unknown = F.col("x").isNull() | F.isnan("x") | F.col("y").isNull() | F.isnan("y")
-    bad = left.filter(unknown).select(*by).distinct()
+    known = finite(F.col("x").cast("double")).isNotNull() & finite(F.col("y").cast("double")).isNotNull()
+    bad = left.filter(~known).select(*by).distinct()
     usable = left.join(bad, by, "left_anti")
-    shifted = right.select(*by, F.col("id").alias("rid"), "x", "y")
+    shifted = placed(right).select(*by, F.col("id").alias("rid"), "x", "y")
     a = usable.select(*by, "id", "x", "y", *_cells(cap)).withColumn("o", F.explode(_around())).select(*by, "id", "x", "y", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"))
     b = shifted.select(*by, "rid", *_cells(cap), F.col("x").alias("ox"), F.col("y").alias("oy"))
     dist = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
@@ -54,8 +61,9 @@ def k_nearest(points: DataFrame, by: list[str], k: int, per_cell: int = 32) -> D
 
     A region's grid has about per_cell points a cell. A point is settled once its k-th neighbour lies
     within the rings searched so far, or they cover the region; the rest searches twice as many rings. Each
-    round is written, so that none runs again for the next.
+    round is written, so that none runs again for the next. Points of unknown place have no neighbours and are none.
     """
+    points = placed(points)
     span = points.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"))
     span = span.withColumn("dim", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / per_cell))).cast("int")).withColumn("side", F.greatest(F.col("extent") / F.col("dim"), F.lit(1e-9)))
     grid = points.select(*by, "id", "x", "y").join(span, by).withColumn("gx", F.least(F.col("dim") - 1, F.floor((F.col("x") - F.col("x0")) / F.col("side")))).withColumn("gy", F.least(F.col("dim") - 1, F.floor((F.col("y") - F.col("y0")) / F.col("side"))))
@@ -97,20 +105,27 @@ def neighbour_distances(neighbours: DataFrame, points: DataFrame, by: list[str])
 
 
 def radius_features(points: DataFrame, by: list[str], radius: float) -> DataFrame:
-    """Neighbours within the radius, their density, and their excess over a uniform region."""
+    """Neighbours within the radius, their density, and their excess over a uniform region; null for points of unknown place."""
     area = math.pi * radius * radius
+    everyone, points = points, placed(points)
     box = points.groupBy(*by).agg(F.count("*").alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("box"))
     count = within_radius(points, points, by, radius).groupBy(*by, "id").agg(F.count("*").alias("c"))
     x = points.select(*by, "id").join(count, [*by, "id"], "left").join(box, by).withColumn("c", F.coalesce("c", F.lit(0)).cast("double"))
-    return x.select(*by, "id", F.col("c").alias("neighbor_count"), (F.col("c") / (area + EPS)).alias("local_density"), (F.col("c") - F.col("n") * area / (F.col("box") + EPS)).alias("ripleys_proxy"))
+    x = x.select(*by, "id", F.col("c").alias("neighbor_count"), (F.col("c") / (area + EPS)).alias("local_density"), (F.col("c") - F.col("n") * area / (F.col("box") + EPS)).alias("ripleys_proxy"))
+    return everyone.select(*by, "id").join(x, [*by, "id"], "left")
 
 
 def neighbour_fraction(neighbours: DataFrame, points: DataFrame, by: list[str], type_column: str, words: tuple[str, ...] = ("inflam", "immune", "lymph")) -> DataFrame:
-    """Share of neighbours of another type, and of those whose type names inflammation."""
-    t = points.select(*by, F.col("id").alias("other"), F.col(type_column).alias("other_type"))
-    x = neighbours.join(points.select(*by, "id", F.col(type_column).alias("own_type")), [*by, "id"]).join(t, [*by, "other"])
-    named = F.lower(F.col("other_type").cast("string")).rlike("|".join(words))
-    return x.groupBy(*by, "id").agg(F.avg((F.col("own_type") != F.col("other_type")).cast("double")).alias("heterotypic_fraction"), F.avg(named.cast("double")).alias("inflammatory_fraction"))
+    """Share of neighbours of another type, and of those whose type names inflammation, whatever the case.
+
+    A point or neighbour without a type counts as no other type and no inflammation.
+    """
+    name = F.lower(F.coalesce(F.col(type_column).cast("string"), F.lit("")))
+    t = points.select(*by, F.col("id").alias("other"), name.alias("other_type"))
+    x = neighbours.join(points.select(*by, "id", name.alias("own_type")), [*by, "id"]).join(t, [*by, "other"])
+    differs = (F.col("own_type") != F.col("other_type")) & (F.col("own_type") != "") & (F.col("other_type") != "")
+    named = F.col("other_type").rlike("|".join(words))
+    return x.groupBy(*by, "id").agg(F.avg(differs.cast("double")).alias("heterotypic_fraction"), F.avg(named.cast("double")).alias("inflammatory_fraction"))
 
 
 def edge_features(edges: DataFrame, by: list[str]) -> DataFrame:

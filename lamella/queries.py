@@ -7,6 +7,7 @@ Doubles that come out of sums are rounded to six digits on both sides.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -138,10 +139,11 @@ def diagnosis_regex(spark, sf):
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Region_' || row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::VARCHAR
-ELSE regexp_replace(regexp_replace(trim(' ' || c_name || ' (x) '), '[^A-Za-z0-9_ -]', '', 'g'), ' ', '_', 'g') END AS region FROM customer""")
+ELSE replace(trim(regexp_replace(' ' || c_name || (['', chr(9) || 'Läsion', ' 日本', chr(8203) || '½ b', '·'])[c_custkey % 5 + 1] || ' (x) ', '[^\\p{L}\\p{N}_ -]', '', 'g')), ' ', '_') END AS region FROM customer""")
 def region_name_cleaning(spark, sf):
     c = table(spark, sf, "customer")
-    raw = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit(" "), "c_name", F.lit(" (x) ")))
+    odd = F.element_at(F.array(*[F.lit(x) for x in ("", "\tLäsion", " 日本", "\u200b½ b", "·")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    raw = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit(" "), "c_name", odd, F.lit(" (x) ")))
     before = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
     return c.select("c_custkey", X.region_name(raw, before).alias("region"))
 
@@ -166,11 +168,14 @@ def type_label_and_colour(spark, sf):
     return p.select("p_partkey", "type", X.type_label(F.col("type"), F.create_map(F.lit("3"), F.lit("three"))).alias("label"), X.type_colour(F.col("type")).alias("colour"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount > 0.01 THEN CASE WHEN l_quantity < 80 AND l_tax * 5 > 0.1 AND (l_discount * 11 < 0.55 OR l_quantity / 40 > 1.2) THEN 1.0 ELSE 0.0 END END::DOUBLE AS apoptotic,
-CASE WHEN coalesce(nullif(l_quantity, 7) < 20, false) THEN 1.0 ELSE 0.0 END::DOUBLE AS crowded, ((l_quantity = 7)::INT + (l_discount <= 0.01)::INT)::DOUBLE / 2 AS missing FROM lineitem""")
+@query("""WITH x AS (SELECT *, CASE WHEN l_discount > 0.01 THEN CASE WHEN l_partkey % 7 = 0 THEN 'NaN'::DOUBLE ELSE l_discount END END AS d, CASE l_quantity WHEN 7 THEN NULL WHEN 8 THEN 'NaN'::DOUBLE ELSE l_quantity END AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN isfinite(d) THEN CASE WHEN l_quantity < 80 AND l_tax * 5 > 0.1 AND (d * 11 < 0.55 OR l_quantity / 40 > 1.2) THEN 1.0 ELSE 0.0 END END::DOUBLE AS apoptotic,
+CASE WHEN isfinite(q) AND q < 20 THEN 1.0 ELSE 0.0 END::DOUBLE AS crowded, CASE WHEN isfinite(q) AND 5 < q THEN 1.0 ELSE 0.0 END::DOUBLE AS crowded_by, ((NOT coalesce(isfinite(q), false))::INT + (NOT coalesce(isfinite(d), false))::INT)::DOUBLE / 2 AS missing FROM x""")
 def cell_flags(spark, sf):
-    x = table(spark, sf, "lineitem").withColumns({"d": F.when(F.col("l_discount") > 0.01, F.col("l_discount")), "q": F.when(F.col("l_quantity") != 7, F.col("l_quantity"))})
-    return x.select("l_orderkey", "l_linenumber", "l_partkey", X.apoptotic(F.col("l_quantity"), F.col("l_tax") * 5, F.col("d") * 11, F.col("l_quantity") / 40).alias("apoptotic"), X.crowded(F.col("q"), F.lit(20)).alias("crowded"), X.missing_fraction(["d", "q"]).alias("missing"))
+    odd = F.lit(float("nan"))
+    x = table(spark, sf, "lineitem").withColumns({"d": F.when(F.col("l_discount") > 0.01, F.when(F.col("l_partkey") % 7 == 0, odd).otherwise(F.col("l_discount"))), "q": F.when(F.col("l_quantity") == 8, odd).when(F.col("l_quantity") != 7, F.col("l_quantity"))})
+    flags = [X.apoptotic(F.col("l_quantity"), F.col("l_tax") * 5, F.col("d") * 11, F.col("l_quantity") / 40).alias("apoptotic"), X.crowded(F.col("q"), F.lit(20)).alias("crowded"), X.crowded(F.lit(5.0), F.col("q")).alias("crowded_by")]
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", *flags, X.missing_fraction(["d", "q"]).alias("missing"))
 
 
 @query("SELECT p_partkey, try_cast(CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 3 = 1 THEN 'NaN' ELSE substr(p_brand, 7) END AS DOUBLE) AS v FROM part WHERE p_size % 3 <> 1 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_size % 3 = 1")
@@ -223,7 +228,7 @@ def nine_number_stats(spark, sf):
 
 
 @query("""SELECT l_suppkey, count(*) AS n, sum((l_tax < 0.07)::INT)::BIGINT AS n_mapped, round(avg(l_discount) FILTER (WHERE l_tax < 0.07), 6) AS mean, round(stddev_pop(l_discount) FILTER (WHERE l_tax < 0.07), 6) AS std,
-round(sum((l_tax < 0.07 AND l_discount >= 0.05)::INT)::DOUBLE / nullif(sum((l_tax < 0.07)::INT), 0), 6) AS positive_fraction, round(avg((l_tax < 0.07)::INT), 6) AS mapped_fraction, round(avg((l_tax < 0.07 AND l_quantity > 10)::INT), 6) AS tissue_fraction FROM lineitem GROUP BY 1""")
+round(sum((l_tax < 0.07 AND l_discount >= 0.05)::INT)::DOUBLE / nullif(sum((l_tax < 0.07)::INT), 0), 6) AS positive_fraction, round(avg((l_tax < 0.07)::INT), 6) AS mapped_fraction, round(sum((l_tax < 0.07 AND l_quantity > 10)::INT) / greatest(sum((l_tax < 0.07)::INT), 1)::DOUBLE, 6) AS tissue_fraction FROM lineitem GROUP BY 1""")
 def pixel_accumulate(spark, sf):
     p = table(spark, sf, "lineitem").select("l_suppkey", "l_discount", (F.col("l_tax") < 0.07).alias("m"), (F.col("l_quantity") > 10).alias("t"))
     return six(relational.pixel_sums(p, ["l_suppkey"], "l_discount", "m", "t", 0.05), "mean", "std", "positive_fraction", "mapped_fraction", "tissue_fraction")
@@ -287,10 +292,12 @@ def positional_zip(spark, sf):
 
 
 @query(f"""WITH {CELLS}, d AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) AS dist FROM cells a JOIN cells b ON a.region = b.region AND a.slide = 'click' AND b.slide = 'view'),
-n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS k FROM d WHERE dist <= 5)
-SELECT c.id, n.other, round(n.dist, 6) AS dist FROM cells c LEFT JOIN n ON n.id = c.id AND n.k = 1 WHERE c.slide = 'click'""")
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS k FROM d WHERE dist <= 5), lost AS (SELECT DISTINCT region FROM cells WHERE slide = 'click' AND id % 97 = 0)
+SELECT c.id, n.other, round(n.dist, 6) AS dist FROM cells c LEFT JOIN n ON n.id = c.id AND n.k = 1 AND c.region NOT IN (SELECT region FROM lost) WHERE c.slide = 'click'""")
 def nearest_capped_join(spark, sf):
     c = cells(spark, sf)
+    lost = F.when(F.col("id") % 2 == 0, float("inf")).otherwise(float("nan"))  # places that are unknown
+    c = c.withColumn("x", F.when((F.col("id") % 97 == 0) & (F.col("slide") == "click"), lost).otherwise(F.col("x")))
     return six(spatial.capped_nearest(c.filter("slide = 'click'"), c.filter("slide = 'view'"), ["region"], 5.0).select("id", "other", "dist"), "dist")
 
 
@@ -407,7 +414,7 @@ def knn_stats(spark, sf):
 
 @query(f"""WITH {CELLS}, b AS (SELECT slide, region, count(*) AS n, (max(x) - min(x)) * (max(y) - min(y)) AS box FROM cells GROUP BY 1, 2),
 r AS (SELECT a.id, a.slide, a.region, (SELECT count(*) FROM cells b WHERE b.slide = a.slide AND b.region = a.region AND b.id <> a.id AND sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) <= 30) AS c FROM cells a)
-SELECT id, c::DOUBLE AS neighbor_count, round(c / (pi() * 900 + 1e-8), 6) AS local_density, round(c - n * pi() * 900 / (box + 1e-8), 4) AS ripleys_proxy FROM r JOIN b USING (slide, region) WHERE n > 1""")
+SELECT id, c::DOUBLE AS neighbor_count, round(c / (pi() * 900 + 1e-9), 6) AS local_density, round(c - n * pi() * 900 / (box + 1e-9), 4) AS ripleys_proxy FROM r JOIN b USING (slide, region) WHERE n > 1""")
 def radius_density(spark, sf):
     c, by = cells(spark, sf), ["slide", "region"]
     many = c.groupBy(*by).count().filter("count > 1").select(*by)
@@ -417,9 +424,11 @@ def radius_density(spark, sf):
 
 @query(f"""WITH {CELLS}, k AS (SELECT * FROM (SELECT a.region, a.id, a.slide AS s, b.slide AS o, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2), b.id) AS rank
 FROM cells a JOIN cells b ON a.region = b.region AND a.id <> b.id) WHERE rank <= 6)
-SELECT id, round(avg((s <> o)::INT), 6) AS heterotypic_fraction, round(avg((o LIKE '%err%' OR o LIKE '%sign%')::INT), 6) AS inflammatory_fraction FROM k GROUP BY 1""")
+SELECT id, round(avg((s <> o AND s <> 'view' AND o <> 'view')::INT), 6) AS heterotypic_fraction, round(avg((o LIKE '%err%' OR o LIKE '%sign%')::INT), 6) AS inflammatory_fraction FROM k GROUP BY 1""")
 def heterotypic_fraction(spark, sf):
-    c = cells(spark, sf)
+    # views have no type; types differ in their letters' case
+    kind = F.when(F.col("slide") != "view", F.when(F.col("id") % 2 == 0, F.upper("slide")).otherwise(F.col("slide")))
+    c = cells(spark, sf).withColumn("slide", kind)
     x = spatial.neighbour_fraction(spatial.k_nearest(c, ["region"], 6), c, ["region"], "slide", ("err", "sign"))
     return six(x.select("id", "heterotypic_fraction", "inflammatory_fraction"), "heterotypic_fraction", "inflammatory_fraction")
 
@@ -438,7 +447,7 @@ _AXIS = f"""{CELLS}, m AS (SELECT slide, region, avg(x) AS mx, avg(y) AS my, 0.5
 p AS (SELECT c.*, (x - mx) * cos(t) + (y - my) * sin(t) AS along, -(x - mx) * sin(t) + (y - my) * cos(t) AS across FROM cells c JOIN m USING (slide, region))"""
 
 
-@query(f"WITH {_AXIS} SELECT id, round(along, 4) AS along, round(across, 4) AS across, round((across - min(across) OVER w) / (max(across) OVER w - min(across) OVER w + 1e-8), 4) AS position FROM p WINDOW w AS (PARTITION BY slide, region)")
+@query(f"WITH {_AXIS} SELECT id, round(along, 4) AS along, round(across, 4) AS across, round((across - min(across) OVER w) / (max(across) OVER w - min(across) OVER w + 1e-9), 4) AS position FROM p WINDOW w AS (PARTITION BY slide, region)")
 def principal_axis(spark, sf):
     p = spatial.principal_axis(cells(spark, sf).drop("ts"), ["slide", "region"])
     return p.select("id", *[F.round(c, 4).alias(c) for c in ("along", "across", "position")])
@@ -485,12 +494,13 @@ def painter_order(spark, sf):
     return raster.paint(x, ["region"])
 
 
-_SHAPES = ["cy", "cx", "major_axis_length_px", "minor_axis_length_px", "equivalent_diameter_px", "eccentricity", "aspect_ratio", "roundness"]
+_SHAPES = ["orientation", "cy", "cx", "major_axis_length_px", "minor_axis_length_px", "equivalent_diameter_px", "eccentricity", "aspect_ratio", "roundness"]
 
 
-@query(f"""WITH {_PIX}, g AS (SELECT region, label, count(*) AS area_px, avg(row) AS cy, avg(col) AS cx, min(row) AS minr, min(col) AS minc, max(row) + 1 AS maxr, max(col) + 1 AS maxc, var_pop(col) + 1 / 12.0 AS a, var_pop(row) + 1 / 12.0 AS b, covar_pop(row, col) AS c FROM pix GROUP BY 1, 2),
+@query(f"""WITH {_PIX}, g AS (SELECT region, label, count(*) AS area_px, avg(row) AS cy, avg(col) AS cx, min(row) AS minr, min(col) AS minc, max(row) + 1 AS maxr, max(col) + 1 AS maxc, var_pop(col) AS a, var_pop(row) AS b, covar_pop(row, col) AS c FROM pix GROUP BY 1, 2),
 e AS (SELECT *, 4 * sqrt((a + b) / 2 + sqrt(((a - b) / 2) ^ 2 + c * c)) AS ma, 4 * sqrt(greatest(0, (a + b) / 2 - sqrt(((a - b) / 2) ^ 2 + c * c))) AS mi FROM g)
-SELECT region, label, area_px, round(cy, 6) AS cy, round(cx, 6) AS cx, minr, minc, maxr, maxc, round(ma, 6) AS major_axis_length_px, round(mi, 6) AS minor_axis_length_px, round(sqrt(4 * area_px / pi()), 6) AS equivalent_diameter_px, round(sqrt(1 - (mi / ma) ^ 2), 6) AS eccentricity, round(ma / (mi + 1e-8), 6) AS aspect_ratio, round(4 * area_px / (pi() * ma * ma + 1e-8), 6) AS roundness FROM e""")
+SELECT region, label, area_px, round(cy, 6) AS cy, round(cx, 6) AS cx, minr, minc, maxr, maxc, round(ma, 6) AS major_axis_length_px, round(mi, 6) AS minor_axis_length_px, round(sqrt(4 * area_px / pi()), 6) AS equivalent_diameter_px, CASE WHEN ma > 0 THEN round(sqrt(greatest(0, 1 - (mi / ma) ^ 2)), 6) ELSE 0 END AS eccentricity, CASE WHEN mi > 0 THEN round(ma / (mi + 1e-9), 6) END AS aspect_ratio, CASE WHEN ma > 0 THEN round(4 * area_px / (pi() * ma * ma + 1e-9), 6) END AS roundness,
+round(CASE WHEN a = b THEN CASE WHEN c > 0 THEN pi() / 4 ELSE -pi() / 4 END ELSE atan2(2 * c, b - a) / 2 END, 6) AS orientation FROM e""")
 def region_properties(spark, sf):
     return six(raster.region_properties(pixels(spark, sf), ["region", "label"]), *_SHAPES)
 
@@ -507,7 +517,7 @@ def otsu_histogram(spark, sf):
 @query(f"""WITH {_PIX}, o AS (SELECT * FROM (VALUES (1, 0, 0, 1), (1, 1, -1, 1), (1, 2, -1, 0), (1, 3, -1, -1), (2, 0, 0, 2), (2, 1, -1, 1), (2, 2, -2, 0), (2, 3, -1, -1)) t(d, a, dr, dc)),
 n AS (SELECT x.region, d, a, x.q AS q1, y.q AS q2, count(*) AS n FROM pix x, o JOIN pix y ON y.region = x.region AND y.row = x.row + dr AND y.col = x.col + dc GROUP BY ALL),
 s AS (SELECT region, d, a, q1, q2, sum(n) AS n FROM (SELECT * FROM n UNION ALL SELECT region, d, a, q2, q1, n FROM n) GROUP BY ALL), p AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY region, d, a) AS p FROM s),
-f AS (SELECT region, d, a, sum(p * (q1 - q2) ^ 2) AS contrast, sum(p / (1 + (q1 - q2) ^ 2)) AS homogeneity, sqrt(sum(p * p)) AS energy, -sum(p * log2(p + 1e-8)) AS entropy, (sum(p * q1 * q2) - sum(p * q1) ^ 2) / (sum(p * q1 * q1) - sum(p * q1) ^ 2) AS correlation FROM p GROUP BY ALL)
+f AS (SELECT region, d, a, sum(p * (q1 - q2) ^ 2) AS contrast, sum(p / (1 + (q1 - q2) ^ 2)) AS homogeneity, sqrt(sum(p * p)) AS energy, -sum(p * log2(p + 1e-9)) AS entropy, (sum(p * q1 * q2) - sum(p * q1) ^ 2) / (sum(p * q1 * q1) - sum(p * q1) ^ 2) AS correlation FROM p GROUP BY ALL)
 SELECT region, round(avg(contrast), 6) AS glcm_contrast, round(avg(correlation), 6) AS glcm_correlation, round(avg(energy), 6) AS glcm_energy, round(avg(homogeneity), 6) AS glcm_homogeneity, round(avg(entropy), 6) AS glcm_entropy FROM f GROUP BY 1""")
 def glcm(spark, sf):
     x = raster.co_occurrence_features(raster.co_occurrence(pixels(spark, sf), ["region"]), ["region"])
@@ -531,11 +541,21 @@ def local_variance(spark, sf):
     return six(raster.local_variance(pixels(spark, sf), ["region"], "v"), "chromatin_clumping_index")
 
 
-_RING = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
+def _sample(k: int) -> str:
+    """SQL of a sample on the circle of radius 1: a pixel, or bilinear between the four pixels around it."""
+    dr, dc = round(-math.sin(k * math.pi / 4), 5), round(math.cos(k * math.pi / 4), 5)
+    at = lambda r, c: f"n{(r + 1) * 3 + c + 1}"
+    if k % 2 == 0:
+        return at(round(dr), round(dc))
+    r, c = math.floor(dr), math.floor(dc)
+    fr, fc = (f"({x}::DOUBLE + ({d}::DOUBLE) - floor({x}::DOUBLE + ({d}::DOUBLE)))" for x, d in (("row", dr), ("col", dc)))
+    top, low = (f"((1 - {fc}) * {at(i, c)} + {fc} * {at(i, c + 1)})" for i in (r, r + 1))
+    return f"((1 - {fr}) * {top} + {fr} * {low})"
 
 
-@query(f"""WITH {_PIX}, b AS (SELECT x.region, x.row, x.col, """ + ", ".join(f"(coalesce(max(y.v) FILTER (WHERE y.row = x.row + {r} AND y.col = x.col + {c}), 0) >= x.v)::INT AS b{i}" for i, (r, c) in enumerate(_RING)) + """ FROM pix x JOIN pix y ON y.region = x.region AND abs(y.row - x.row) <= 1 AND abs(y.col - x.col) <= 1 GROUP BY x.region, x.row, x.col, x.v),
-n AS (SELECT region, CASE WHEN """ + " + ".join(f"abs(b{i} - b{(i + 1) % 8})" for i in range(8)) + " <= 2 THEN " + " + ".join(f"b{i}" for i in range(8)) + " ELSE 9 END AS bin FROM b) SELECT region, " + ", ".join(f"round(avg((bin = {i})::INT), 6) AS lbp_bin_{i}" for i in range(10)) + " FROM n GROUP BY 1")
+@query(f"""WITH {_PIX}, n AS (SELECT x.region, x.row, x.col, x.v, """ + ", ".join(f"coalesce(max(y.v) FILTER (WHERE y.row = x.row + {i // 3 - 1} AND y.col = x.col + {i % 3 - 1}), 0)::DOUBLE AS n{i}" for i in range(9)) + """ FROM pix x JOIN pix y ON y.region = x.region AND abs(y.row - x.row) <= 1 AND abs(y.col - x.col) <= 1 GROUP BY x.region, x.row, x.col, x.v),
+b AS (SELECT region, """ + ", ".join(f"({_sample(k)} - v >= 0)::INT AS b{k}" for k in range(8)) + """ FROM n),
+c AS (SELECT region, CASE WHEN """ + " + ".join(f"abs(b{i} - b{(i + 1) % 8})" for i in range(8)) + " <= 2 THEN " + " + ".join(f"b{i}" for i in range(8)) + " ELSE 9 END AS bin FROM b) SELECT region, " + ", ".join(f"round(avg((bin = {i})::INT), 6) AS lbp_bin_{i}" for i in range(10)) + " FROM c GROUP BY 1")
 def local_binary_patterns(spark, sf):
     x = raster.local_patterns(pixels(spark, sf), ["region"], "v")
     return six(x, *[f"lbp_bin_{i}" for i in range(10)])
@@ -665,9 +685,12 @@ def forest_cross_validation(spark, sf):
 
 
 @query(f"""WITH {CELLS}, m AS (SELECT *, 1 - (id % 10) / 100.0::DOUBLE AS mf, (id % 4) / 4.0::DOUBLE AS tf, (id % 7)::DOUBLE AS rad, y / 100 AS pf FROM cells)
-SELECT id, CASE WHEN slide IN ('click', 'view', 'error') AND region % 3 <> 0 AND (region % 5) * 0.6 <= 2 AND mf >= 0.95 AND tf >= 0.5 AND rad > (region % 5) * 0.6 THEN CASE WHEN pf <= 0.1 THEN 0 WHEN pf >= 0.6 THEN 1 ELSE -1 END ELSE -1 END AS p53_label FROM m""")
+SELECT id, CASE WHEN id % 11 > 0 AND slide IN ('click', 'view', 'error') AND region % 3 <> 0 AND (region % 5) * 0.6 <= 2 AND mf >= 0.95 AND tf >= 0.5 AND rad > (region % 5) * 0.6 THEN CASE WHEN pf <= 0.1 THEN 0 WHEN pf >= 0.6 THEN 1 ELSE -1 END ELSE -1 END AS p53_label FROM m""")
 def weak_label_gate(spark, sf):
     c = cells(spark, sf).select("id", "slide", "region", (1 - (F.col("id") % 10) / F.lit(100.0)).alias("p53_mapped_fraction"), ((F.col("id") % 4) / F.lit(4.0)).alias("p53_tissue_fraction"), (F.col("id") % 7).cast("double").alias("p53_equivalent_radius_um"), (F.col("y") / 100).alias("p53_positive_fraction"))
+    # one of eleven cells has an unmapped measurement: NaN or infinite in one column or in all
+    gone = lambda i, c: F.when((F.col("id") % 11 == 0) & ((F.col("id") % 5 == i) | (F.col("id") % 5 == 4)), F.when(F.col("id") % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col(c)).alias(c)
+    c = c.select("id", "slide", "region", *[gone(i, n) for i, n in enumerate(c.columns[3:])])
     review = spark.createDataFrame([("click", True, 0.2, "same_section", 0.6, 0.1), ("view", True, 0.2, "same_section", 0.6, 0.1), ("error", True, 0.3, "serial_section", 0.6, 0.1), ("signup", False, 0.2, "same_section", 0.6, 0.1), ("purchase", True, None, "same_section", 0.6, 0.1)], "slide string, registration_approved boolean, dab_threshold double, section_relationship string, positive_fraction double, negative_fraction double")
     regions = c.select("slide", "region").distinct().withColumns({"approved": F.when(F.col("region") % 3 != 0, "True").otherwise("no"), "max_registration_error_um": (F.col("region") % 5) * F.lit(0.6)})
     return labels.weak_labels(c, review, regions, allow_serial=True).select("id", "p53_label")

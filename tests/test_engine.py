@@ -195,3 +195,45 @@ def test_runs_compose(spark):
     assert f.count() == 80 and {"nn_distance_mean_um", "local_density_r20um", "voronoi_area_um2", "epithelial_layer_thickness_um"} <= set(f.columns)
     cleaned, chosen = runs.clean(f, {"cell_label"}, 6, 4, 2)
     assert 1 <= len(chosen) <= 6 and cleaned.count() == 80
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+def test_nan_is_unknown_everywhere(spark):
+    cols = "p53_mapped_fraction double, p53_tissue_fraction double, p53_equivalent_radius_um double, p53_positive_fraction double"
+    good = (1.0, 1.0, 5.0, 0.9)
+    rows = [("s", "r", *good)] + [("s", "r", *(bad if i == k else v for i, v in enumerate(good))) for k in range(4) for bad in (NAN, INF, None)] + [("s", "r", NAN, NAN, NAN, NAN)]
+    c = spark.createDataFrame(rows, f"slide string, region string, {cols}")
+    review = spark.createDataFrame([("s", True, 0.2, "same_section", 0.6, 0.1)], "slide string, registration_approved boolean, dab_threshold double, section_relationship string, positive_fraction double, negative_fraction double")
+    regions = spark.createDataFrame([("s", "r", "True", "1.0")], "slide string, region string, approved string, max_registration_error_um string")
+    assert sorted(r.p53_label for r in labels.weak_labels(c, review, regions).collect()) == [-1] * (len(rows) - 1) + [1]
+    df = spark.createDataFrame([(NAN, 1.0), (1.0, NAN), (1.0, 2.0), (None, 2.0), (1.0, INF)], "a double, b double")
+    assert [r[0] for r in df.select(X.crowded(F.col("a"), F.col("b"))).collect()] == [0.0, 0.0, 1.0, 0.0, 1.0]
+    assert [r[0] for r in df.select(X.apoptotic(F.lit(10), F.lit(1.0), F.col("a"), F.col("b"))).collect()] == [None, None, 1.0, None, None]
+    assert [r[0] for r in df.select(X.missing_fraction(["a", "b"])).collect()] == [0.5, 0.5, 0.0, 0.5, 0.0]
+
+
+def test_unknown_places_have_no_neighbours(spark):
+    a = spark.createDataFrame([("r", 1, 0.0, 0.0), ("r", 2, INF, 0.0), ("q", 3, 0.0, 0.0), ("q", 4, 1.0, 0.0), ("q", 5, NAN, 1.0), ("q", 6, 0.0, 1.0)], "region string, id long, x double, y double")
+    near = {r.id: r.other for r in spatial.capped_nearest(a, a.withColumn("id", F.col("id") + 10), ["region"], 2.0).collect()}
+    assert set(near.values()) == {None}  # both groups have a point of unknown place
+    assert {(r.id, r.other) for r in spatial.within_radius(a, a, ["region"], 1.1).collect()} == {(3, 4), (4, 3), (3, 6), (6, 3)}
+    k = spatial.k_nearest(a, ["region"], 2).collect()
+    assert {r.id for r in k} == {3, 4, 6} and {r.other for r in k} == {3, 4, 6}
+    f = {r.id: r.neighbor_count for r in spatial.radius_features(a, ["region"], 1.1).collect()}
+    assert f == {1: 0.0, 2: None, 3: 2.0, 4: 1.0, 5: None, 6: 1.0}
+
+
+def test_tissue_is_judged_on_mapped_pixels(spark):
+    rows = [("a", 1, 0.5, True, True), ("a", 1, 0.7, True, True), ("a", 1, 9.0, False, False), ("a", 1, 9.0, False, True), ("a", 2, 1.0, False, True)]
+    p = spark.createDataFrame(rows, "region string, label long, v double, m boolean, t boolean")
+    got = {r.label: r for r in relational.pixel_sums(p, ["region", "label"], "v", "m", "t", 0.6).collect()}
+    assert (got[1].tissue_fraction, got[1].mapped_fraction, got[1].positive_fraction, got[1]["mean"]) == (1.0, 0.5, 0.5, pytest.approx(0.6))
+    assert (got[2].tissue_fraction, got[2].mapped_fraction, got[2].positive_fraction, got[2]["mean"]) == (0.0, 0.0, None, None)
+
+
+def test_region_names_of_any_script(spark):
+    names = [" Läsion 1 ", "日本", "a\tb", "x\u200by", "tube (left)", "\u00a0", None, "a/b", "_-_", "e\u0301"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(X.region_name(F.col("n"), F.lit(4))).collect()]
+    assert got == ["Läsion_1", "日本", "ab", "xy", "tube_left", "Region_5", "Region_5", "ab", "_-_", "e"]

@@ -160,13 +160,109 @@ def test_shape_numbers_of_known_forms():
     square = np.zeros((20, 20), bool)
     square[4:16, 5:17] = True
     s = dict(zip(names, cellular.shape_numbers(square, 10), strict=True))
-    assert s["convex_hull_area_px"] == 144 and s["solidity"] == 1 and s["convexity"] == pytest.approx(1) and s["perimeter_px"] == 44
+    assert s["convex_hull_area_px"] == 144 and s["solidity"] == 1 and s["convexity"] == pytest.approx((44 + 4 * math.sqrt(0.5)) / 44) and s["perimeter_px"] == 44  # no concavity: the contour's hull
     cross = np.zeros((21, 21), bool)
     cross[8:13, 1:20] = cross[1:20, 8:13] = True
     assert cellular.shape_numbers(cross, 10)[4] == 4
     two = np.zeros((9, 20), bool)
     two[1:3, 1:3] = two[2:8, 8:18] = True
-    assert geometry.area_of(cellular.outline(two)) == 60  # the longest outline counts
+    assert geometry.area_of(geometry.longest_contour(two)) == 60 - 0.5  # the longest contour counts; its corners are cut
+    assert geometry.area_of(geometry.border_chain(two)) == 9 * 5
+
+
+def test_shape_rules_of_boxes_and_small_cells():
+    d = dict(zip(cellular.SHAPES, cellular.shape_numbers(disc(9, 19), 0), strict=True))
+    assert d["fractal_dimension_boundary"] == pytest.approx(0.953, abs=5e-4)  # boxes of 2, 4 and 8
+    hull = geometry.convex_hull(geometry.border_chain(disc(9, 19)))
+    assert d["convexity"] == pytest.approx(geometry.length_of(hull) / d["perimeter_px"]) and d["concavity_count"] == 0
+    full = dict(zip(cellular.SHAPES, cellular.shape_numbers(np.ones((5, 5), bool), 0), strict=True))
+    assert math.isnan(full["fractal_dimension_boundary"]) and math.isnan(full["convexity"])  # no contour in its own box
+    assert full["convex_hull_area_px"] == 25 and full["solidity"] == 1
+    assert cellular.perimeter(np.ones((1, 1), bool)) == 0
+    angle = np.zeros((12, 12), bool)
+    angle[:, :4] = angle[8:] = True
+    count, depth = cellular.shape_numbers(angle, 0)[4:6]
+    assert count == 1 and depth == pytest.approx(7 / math.sqrt(2), abs=1 / 256)
+    assert [cellular.ring_width(m) for m in (0.2215, 0.25, 0.8, 5.0)] == [9, 8, 2, 1]
+
+
+def by_squares(values, level):
+    """All segments of the half-level lines, square by square, as sets of two rounded points."""
+    h, w = values.shape
+    out = set()
+    for r in range(h - 1):
+        for c in range(w - 1):
+            q = [(r, c), (r, c + 1), (r + 1, c + 1), (r + 1, c)]
+            cross = []
+            for i in range(4):
+                (r0, c0), (r1, c1) = q[i], q[(i + 1) % 4]
+                a, b = values[r0, c0], values[r1, c1]
+                cross.append((round(c0 + (c1 - c0) * (level - a) / (b - a), 9), round(r0 + (r1 - r0) * (level - a) / (b - a), 9)) if (a > level) != (b > level) else None)
+            there = [i for i in range(4) if cross[i]]
+            if len(there) == 2:
+                out.add(frozenset(cross[i] for i in there))
+            elif len(there) == 4:  # high corners are cut off one by one
+                for k in range(4):
+                    if values[q[k]] > level:
+                        out.add(frozenset((cross[k], cross[k - 1])))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_half_contours_are_the_segments_chained(seed):
+    rng = np.random.default_rng(seed)
+    values = rng.random((9, 11)) if seed % 2 else (geometry.box_mean(rng.random((24, 30)), 5) > 0.5).astype(float)
+    chains = geometry.half_contours(values)
+    segments = [frozenset(map(tuple, np.round(c[i : i + 2], 9).tolist())) for c in chains for i in range(len(c) - 1)]
+    assert len(segments) == len(set(segments)) and set(segments) == by_squares(values, 0.5)
+    for c in chains:
+        if len(c) > 2 and (c[0] != c[-1]).any():  # an open chain ends at the image's edge
+            for x, y in (c[0], c[-1]):
+                assert x in (0, values.shape[1] - 1) or y in (0, values.shape[0] - 1)
+    assert geometry.half_contours(np.ones((4, 4))) == [] and geometry.half_contours(np.zeros((1, 5))) == []
+
+
+def lbp_by_hand(v, mask):
+    h, w = v.shape
+    at = lambda r, c: v[r, c] if 0 <= r < h and 0 <= c < w else 0.0
+    bins = np.zeros(10)
+    for r, c in zip(*np.nonzero(mask), strict=True):
+        bits = []
+        for k in range(8):
+            y, x = r + round(-math.sin(k * math.pi / 4), 5), c + round(math.cos(k * math.pi / 4), 5)
+            y0, x0 = math.floor(y), math.floor(x)
+            y1, x1 = math.ceil(y), math.ceil(x)
+            top, low = (1 - (x - x0)) * at(y0, x0) + (x - x0) * at(y0, x1), (1 - (x - x0)) * at(y1, x0) + (x - x0) * at(y1, x1)
+            bits.append(int((1 - (y - y0)) * top + (y - y0) * low - v[r, c] >= 0))
+        changes = sum(a != b for a, b in zip(bits, bits[1:], strict=False))
+        bins[sum(bits) if changes <= 2 else 9] += 1
+    return bins / mask.sum()
+
+
+def test_local_patterns_sample_the_circle(spark):
+    from lamella.operators import raster
+
+    v = np.random.default_rng(8).random((14, 15))
+    m = disc(6, 15)[:14]
+    rows = [("a", r, c, float(v[r, c]), bool(m[r, c])) for r in range(14) for c in range(15)]
+    got = raster.local_patterns(spark.createDataFrame(rows, "region string, row long, col long, v double, inside boolean"), BY, "v", "inside").first()
+    assert [got[f"lbp_bin_{i}"] for i in range(10)] == pytest.approx(lbp_by_hand(v, m).tolist())
+
+
+def test_texture_takes_the_stain_reference(spark):
+    rng = np.random.default_rng(2)
+    m = disc(5, 12)
+    rows = [("s", "a", r, c, int(m[r, c]), *(int(x) for x in rng.integers(40, 240, 3))) for r in range(12) for c in range(12)]
+    df = spark.createDataFrame(rows, "slide string, region string, row long, col long, label long, r int, g int, b int")
+    ref = spark.createDataFrame([("s", [0.6, 0.7, 0.3, 0.1, 0.9, 0.2], [2.0, 1.0])], "slide string, m array<double>, max_c array<double>")
+    other = spark.createDataFrame([("t", [0.6, 0.7, 0.3, 0.1, 0.9, 0.2], [2.0, 1.0])], ref.schema)
+    both = ["slide", "region"]
+    plain, known, without = (cellular.cell_features(df, both, 0.25, s).first() for s in (None, ref, other))
+    assert known["haar_ll_energy"] != plain["haar_ll_energy"] and without["haar_ll_energy"] == pytest.approx(plain["haar_ll_energy"])
+    from lamella.operators import raster
+
+    want = cellular.texture(raster.od_stain(df, ref), both).first()
+    assert known["haar_ll_energy"] == pytest.approx(want["haar_ll_energy"]) and known["hematoxylin_mean"] == pytest.approx(plain["hematoxylin_mean"])
 
 
 def test_gabor_equals_direct_sum():
