@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lamella import image_queries  # noqa: F401  registers its queries
+from lamella import image_queries, pair_queries  # noqa: F401  register their queries
 from lamella import queries as Q
 
 SF = "/root/testdata/sf0.001"
