@@ -133,7 +133,7 @@ def pixel_sums(pixels: DataFrame, by: list[str], value: str, mapped: str, tissue
     s = pixels.groupBy(*by).agg(F.count("*").alias("n"), F.sum(m).alias("n_mapped"), F.sum((F.col(mapped) & F.col(tissue)).cast("int")).alias("n_tissue"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), positive.alias("n_positive"))
     div = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     mean = div("s1", "n_mapped")
-    return s.select(*by, "n", "n_mapped", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), div("s2", "n_mapped") - mean * mean)).alias("std"), div("n_positive", "n_mapped").alias("positive_fraction"), div("n_mapped", "n").alias("mapped_fraction"), (F.col("n_tissue") / F.greatest(F.col("n_mapped"), F.lit(1))).alias("tissue_fraction"))
+    return s.select(*by, "n", "n_mapped", mean.alias("mean"), F.when(F.col("n_mapped") > 0, F.sqrt(F.greatest(F.lit(0.0), div("s2", "n_mapped") - mean * mean))).alias("std"), div("n_positive", "n_mapped").alias("positive_fraction"), div("n_mapped", "n").alias("mapped_fraction"), (F.col("n_tissue") / F.greatest(F.col("n_mapped"), F.lit(1))).alias("tissue_fraction"))
 
 
 def median_offset(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Named queries of slide pairs: staining measured through a transform, previews, consensus fits, mutual information.
+"""Named queries of slide pairs and level lines: staining measured through a transform, previews, consensus fits, mutual information.
 
 The image of ``image_queries`` is the first slide, one region a slide; another grid of lineitem rows is the second.
 """
@@ -10,7 +10,7 @@ import math
 from pyspark.sql import functions as F
 
 from lamella.image_queries import _GRID, _INVERSE, BY, image
-from lamella.operators import pairing, registration
+from lamella.operators import contours, pairing, registration
 from lamella.queries import query, six, table
 
 #: The transform of the queries, in micrometres, and the scales of both slides.
@@ -107,37 +107,57 @@ def consensus_fit(spark, sf):
 _SPLINE = "CASE WHEN abs({u}) < 1 THEN 2 / 3.0::DOUBLE - ({u}) ** 2 + abs({u}) ** 3 / 2 WHEN abs({u}) < 2 THEN (2 - abs({u})) ** 3 / 6 ELSE 0 END"
 
 
-@query(f"""WITH {_GRID}, fx AS (SELECT region AS slide, row, col, r / 255.0::DOUBLE AS v FROM img), mv AS (SELECT region AS slide, row, col, g / 255.0::DOUBLE AS v FROM img),
+#: Transforms whose joint histograms and information are compared, in micrometres.
+_TRIED = ((0.98, -0.05, 0.75, 0.04, 1.01, -0.6), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 0.5, 0.0, 1.0, 0.25))
+_JOINT = f"""{_GRID}, fx AS (SELECT region AS slide, row, col, r / 255.0::DOUBLE AS v FROM img), mv AS (SELECT region AS slide, row, col, (r + g) / 510.0::DOUBLE AS v FROM img),
 fb AS (SELECT slide, min(v) - 2 * (max(v) - min(v)) / 16 AS low, (max(v) - min(v)) / 16 AS step FROM fx GROUP BY 1), mb AS (SELECT slide, min(v) - 2 * (max(v) - min(v)) / 16 AS low, (max(v) - min(v)) / 16 AS step FROM mv GROUP BY 1),
-s AS (SELECT slide, least(greatest(floor((v - low) / step), 2), 17)::INT AS fbin, 0.98::DOUBLE * (col * 0.5) - 0.05::DOUBLE * (row * 0.5) + 0.75 AS x, 0.04::DOUBLE * (col * 0.5) + 1.01::DOUBLE * (row * 0.5) - 0.6 AS y FROM fx JOIN fb USING (slide)),
-a AS (SELECT slide, fbin, x / 0.5 AS px, y / 0.5 AS py, floor(x / 0.5)::BIGINT AS c, floor(y / 0.5)::BIGINT AS r FROM s),
-t AS (SELECT a.slide, fbin, sum(m.v * (1 - abs(px - m.col)) * (1 - abs(py - m.row))) AS v FROM a JOIN mv m ON m.slide = a.slide AND m.row IN (r, r + 1) AND m.col IN (c, c + 1) GROUP BY a.slide, fbin, px, py, c, r HAVING count(*) = 4),
-h AS (SELECT slide, fbin, floor((v - low) / step) + d AS b, (v - low) / step AS t FROM t JOIN mb USING (slide), (VALUES (-1), (0), (1), (2)) o(d))
-SELECT slide, fbin, least(greatest(b, 0), 19)::INT AS mbin, round(sum({_SPLINE.format(u="b - t")}), 6) AS w FROM h GROUP BY ALL""")
-def joint_histogram(spark, sf):
+tr AS (SELECT * FROM (VALUES {", ".join(str((k, *m)) for k, m in enumerate(_TRIED))}) t(k, m0, m1, m2, m3, m4, m5)),
+s AS (SELECT slide, k, least(greatest(floor((v - low) / step), 2), 17)::INT AS fbin, m0::DOUBLE * (col * 0.5) + m1::DOUBLE * (row * 0.5) + m2 AS x, m3::DOUBLE * (col * 0.5) + m4::DOUBLE * (row * 0.5) + m5 AS y FROM fx JOIN fb USING (slide), tr),
+a AS (SELECT slide, k, fbin, x / 0.5 AS px, y / 0.5 AS py, floor(x / 0.5)::BIGINT AS c, floor(y / 0.5)::BIGINT AS r FROM s),
+t AS (SELECT a.slide, k, fbin, sum(m.v * (1 - abs(px - m.col)) * (1 - abs(py - m.row))) AS v FROM a JOIN mv m ON m.slide = a.slide AND m.row IN (r, r + 1) AND m.col IN (c, c + 1) GROUP BY a.slide, k, fbin, px, py, c, r HAVING count(*) = 4),
+h AS (SELECT slide, k, fbin, floor((v - low) / step) + d AS b, (v - low) / step AS t FROM t JOIN mb USING (slide), (VALUES (-1), (0), (1), (2)) o(d)),
+j AS (SELECT slide, k, fbin, least(greatest(b, 0), 19)::INT AS mbin, sum({_SPLINE.format(u="b - t")}) AS w FROM h GROUP BY ALL)"""
+
+
+def _joint(spark, sf):
     x = image(spark, sf)
-    fixed, moving = (x.select(F.col("region").alias("slide"), "row", "col", (F.col(c) / 255.0).alias("v")) for c in "rg")
+    fixed, moving = (x.select(F.col("region").alias("slide"), "row", "col", v.alias("v")) for v in (F.col("r") / 255.0, (F.col("r") + F.col("g")) / 510.0))
     slides = x.select(F.col("region").alias("slide")).distinct()
     frame = slides.withColumns({"sx": F.lit(0.5), "sy": F.lit(0.5), "ox": F.lit(0.0), "oy": F.lit(0.0)})
-    bins = registration.bin_range(fixed, 20)
-    s = fixed.join(bins, "slide").select("slide", (F.col("col") * 0.5).alias("x"), (F.col("row") * 0.5).alias("y"), F.least(F.greatest(F.floor((F.col("v") - F.col("low")) / F.col("step")), F.lit(2)), F.lit(17)).cast("int").alias("fbin"))
-    m = slides.withColumns({"k": F.lit(0)} | {c: F.lit(v) for c, v in zip(registration.M, (0.98, -0.05, 0.75, 0.04, 1.01, -0.6), strict=True)})
-    h = registration.joint_histogram(registration.warped(s, registration.quads(moving), frame, m), registration.bin_range(moving, 20), 20)
-    return six(h.drop("k"), "w")
-
-
-@query("SELECT DISTINCT l_returnflag AS slide, true AS within_half_a_pixel, true AS informed FROM lineitem")
-def refined_transform(spark, sf):
-    """A slide's image, made smooth, against itself moved by a known transform, from a start some pixels off."""
-    from lamella.operators import masks, raster
-
-    smooth = masks.box_mean(masks.box_mean(image(spark, sf), BY, {"v": F.col("r").cast("double")}, 7).withColumn("r", F.col("v")), BY, {"v": F.col("r").cast("double")}, 5)
-    moving = smooth.select(F.col("region").alias("slide"), "row", "col", "v")
-    true = (0.99, -0.03, 1.1, 0.02, 1.01, -0.4)  # pixels of the fixed image to those of the moving one
-    fixed = raster.resample(moving, ["slide"], true, 40, 40, ["v"]).withColumn("v", 1.0 - F.col("v") / 255)
-    frame = moving.select("slide").distinct().withColumns({"rows": F.lit(40), "cols": F.lit(40), "sx": F.lit(1.0), "sy": F.lit(1.0), "ox": F.lit(0.0), "oy": F.lit(0.0)})
-    start = moving.select("slide").distinct().withColumns({c: F.lit(v) for c, v in zip(registration.M, (1.0, 0.0, 2.2, 0.0, 1.0, -1.3), strict=True)})
-    got = registration.refine(fixed, frame, moving, frame, start, iterations=30, shrink=(1,), sampled=1.0, bins=16)
-    corners = [(x, y) for x in (0.0, 39.0) for y in (0.0, 39.0)]
-    off = [F.hypot(sum((F.col(f"m{i}") - true[i]) * c for i, c in zip((0, 1, 2), (x, y, 1.0), strict=True)), sum((F.col(f"m{i}") - true[i]) * c for i, c in zip((3, 4, 5), (x, y, 1.0), strict=True))) for x, y in corners]
-    return got.select("slide", (F.greatest(*off) < 0.5).alias("within_half_a_pixel"), (F.col("affine_metric") < 0).alias("informed"))
+    s = fixed.join(registration.bin_range(fixed, 20), "slide").select("slide", (F.col("col") * 0.5).alias("x"), (F.col("row") * 0.5).alias("y"), F.least(F.greatest(F.floor((F.col("v") - F.col("low")) / F.col("step")), F.lit(2)), F.lit(17)).cast("int").alias("fbin"))
+    tried = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(v).alias(c) for c, v in zip(registration.M, m, strict=True)]) for k, m in enumerate(_TRIED)]))
+    return registration.joint_histogram(registration.warped(s, registration.quads(moving), frame, slides.select("slide", tried.alias("t")).select("slide", "t.*")), registration.bin_range(moving, 20), 20)
+
+
+@query(f"WITH {_JOINT} SELECT slide, k, fbin, mbin, round(w, 6) AS w FROM j")
+def joint_histogram(spark, sf):
+    return six(_joint(spark, sf), "w")
+
+
+@query(f"WITH {_JOINT}, p AS (SELECT slide, k, w, sum(w) OVER (PARTITION BY slide, k) AS n, sum(w) OVER (PARTITION BY slide, k, fbin) AS f, sum(w) OVER (PARTITION BY slide, k, mbin) AS m FROM j WHERE w > 0) SELECT slide, k, round(sum(w / n * ln(w * n / (f * m))), 6) AS information, round(max(n), 6) AS n FROM p GROUP BY slide, k")
+def transform_information(spark, sf):
+    return six(registration.information(_joint(spark, sf)), "information", "n")
+
+
+# --- level lines -----------------------------------------------------------------------------------------------------------
+
+_KEY = "(({r}) * 8589934592 + ({c}) * 2 + {d})::BIGINT"
+_SIDES = [("row", "col", 0, "col + p01", "row"), ("row", "col + 1", 1, "col + 1", "row + p12"), ("row + 1", "col", 0, "col + p32", "row + 1"), ("row", "col", 1, "col", "row + p03")]
+_LINKS = ", ".join(str((n, a, b)) for n in range(1, 15) for a, b in contours._links(n))
+
+
+@query(f"""WITH RECURSIVE {_GRID}, v AS (SELECT region, row, col, (r + g) / 510.0::DOUBLE AS v FROM img),
+sq AS (SELECT a.region, a.row, a.col, a.v AS v0, b.v AS v1, c.v AS v2, d.v AS v3 FROM v a JOIN v b ON b.region = a.region AND b.row = a.row AND b.col = a.col + 1 JOIN v c ON c.region = a.region AND c.row = a.row + 1 AND c.col = a.col + 1 JOIN v d ON d.region = a.region AND d.row = a.row + 1 AND d.col = a.col),
+cs AS (SELECT *, (v0 > 0.6)::INT + 2 * (v1 > 0.6)::INT + 4 * (v2 > 0.6)::INT + 8 * (v3 > 0.6)::INT AS n, (0.6 - v0) / nullif(v1 - v0, 0) AS p01, (0.6 - v1) / nullif(v2 - v1, 0) AS p12, (0.6 - v3) / nullif(v2 - v3, 0) AS p32, (0.6 - v0) / nullif(v3 - v0, 0) AS p03 FROM sq),
+sides AS (SELECT region, row, col, n, unnest([{", ".join("{k: " + _KEY.format(r=r, c=c, d=d) + f", x: ({x})::DOUBLE, y: ({y})::DOUBLE" + "}" for r, c, d, x, y in _SIDES)}]) AS s, unnest([0, 1, 2, 3]) AS i FROM cs WHERE n BETWEEN 1 AND 14),
+lk AS (SELECT * FROM (VALUES {_LINKS}) t(n, a, b)),
+sg AS (SELECT a.region, a.s.k AS a, b.s.k AS b, sqrt((a.s.x - b.s.x) ** 2 + (a.s.y - b.s.y) ** 2) AS len, (b.s.x * a.s.y - a.s.x * b.s.y) / 2 AS area FROM lk JOIN sides a ON a.n = lk.n AND a.i = lk.a JOIN sides b ON b.region = a.region AND b.row = a.row AND b.col = a.col AND b.i = lk.b),
+ahead AS (SELECT region, a, b FROM sg UNION SELECT q.region, q.a, s.b FROM ahead q JOIN sg s ON s.region = q.region AND s.a = q.b),
+heads AS (SELECT region, a AS chain, a, false AS closed FROM sg WHERE NOT EXISTS (SELECT 1 FROM sg z WHERE z.region = sg.region AND z.b = sg.a)),
+loops AS (SELECT region, a, min(b) AS chain FROM ahead q WHERE EXISTS (SELECT 1 FROM ahead z WHERE z.region = q.region AND z.a = q.a AND z.b = q.a) GROUP BY ALL),
+own AS (SELECT region, chain, a, false AS closed FROM heads UNION ALL SELECT q.region, h.chain, q.b, false FROM ahead q JOIN heads h ON h.region = q.region AND h.a = q.a UNION ALL SELECT region, chain, a, true FROM loops),
+m AS (SELECT own.region, chain, own.closed, count(*) + 1 AS points, sum(len) AS length, sum(area) AS area FROM own JOIN sg ON sg.region = own.region AND sg.a = own.a GROUP BY ALL)
+SELECT region, chain, closed, points, round(length, 6) AS length, CASE WHEN closed THEN round(area, 6) END AS area, row_number() OVER (PARTITION BY region ORDER BY points DESC, chain) = 1 AS longest FROM m""")
+def level_lines(spark, sf):
+    v = image(spark, sf).select("region", "row", "col", ((F.col("r") + F.col("g")) / 510.0).alias("v"))
+    return six(contours.measures(contours.chains(v, BY, 0.6), BY), "length", "area")

@@ -19,6 +19,7 @@ from lamella import storage
 from lamella.functions import expressions as X
 from lamella.functions import statistics as S
 from lamella.operators import geometry, labels, learning, ranking, raster, relational, spatial
+from lamella.sources import readers
 from lamella.streaming import counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -696,6 +697,18 @@ def weak_label_gate(spark, sf):
     return labels.weak_labels(c, review, regions, allow_serial=True).select("id", "p53_label")
 
 
+# --- files ---------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS source_row, row_number() OVER (ORDER BY event_type, event_id) - 1 AS row_index FROM events")
+def rows_of_files(spark, sf):
+    """Events in a file each type, read back and numbered."""
+    place = f"{storage.folder(spark)}/files-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    e.repartition("event_type").sortWithinPartitions("event_type", "event_id").write.partitionBy("event_type").parquet(place)
+    return readers.numbered(spark.read.parquet(place)).select("event_id", "event_type", "source_row", "row_index")
+
+
 # --- streaming -----------------------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamella.functions import expressions as X
-from lamella.operators.relational import ContractError, require_columns, split_lists
+from lamella.operators.relational import ContractError, region_sources, require_columns, split_lists
+from lamella.storage import stored
 
 CELL_SCHEMA = "slide string, region string, cell_label long, type int, center string, contour string, cx_roi double, cy_roi double, cx_wsi double, cy_wsi double, cx_wsi_um double, cy_wsi_um double, area_px long, bbox_minr_roi long, bbox_minc_roi long, bbox_maxr_roi long, bbox_maxc_roi long, bbox_minr_wsi long, bbox_minc_wsi long, bbox_maxr_wsi long, bbox_maxc_wsi long"
 SEGMENTER_SCHEMA = "cells array<struct<centroid: array<double>, contour: array<array<double>>, type: string, type_prob: double>>, type_map map<string, string>"
@@ -73,6 +74,15 @@ def region_images(regions: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return out
 
 
+def slide_files(names: list[str], slide: str | None = None, suffix: str = "_cell_coords.csv") -> list[str]:
+    """A slide's cell table: the file of exactly its name, else all whose names start with it; every table without a slide."""
+    own = sorted(n for n in names if n.rsplit("/", 1)[-1].endswith(suffix))
+    if slide is None:
+        return own
+    exact = [n for n in own if n.rsplit("/", 1)[-1] == slide + suffix]
+    return exact or [n for n in own if n.rsplit("/", 1)[-1].startswith(slide)]
+
+
 def cell_tables(spark: SparkSession, paths: str | list[str], slide: str | None = None) -> DataFrame:
     """Cell CSVs with points parsed; a slide filter reaches the scan."""
     x = spark.read.option("header", "true").schema(CELL_SCHEMA).csv(paths)
@@ -80,19 +90,49 @@ def cell_tables(spark: SparkSession, paths: str | list[str], slide: str | None =
     return x.withColumn("center", F.from_json("center", "array<double>")).withColumn("contour", F.from_json("contour", "array<array<double>>"))
 
 
+def numbered(scan: DataFrame) -> DataFrame:
+    """A scan of files with source_file (its name), source_row and row_index: rows by file from 0, and over all files in the order of their paths.
+
+    Each split's rows are numbered where they are read; only the counts of splits are summed up, by file and over files.
+    """
+    x = stored(scan.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")), "numbered")
+    ahead = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    splits = x.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    splits = splits.withColumn("__in_file", F.coalesce(F.sum("__n").over(ahead(W.partitionBy("__file").orderBy("__block"))), F.lit(0)))
+    files = splits.groupBy("__file").agg(F.sum("__n").alias("__n"))
+    files = files.select("__file", F.coalesce(F.sum("__n").over(ahead(W.orderBy("__file"))), F.lit(0)).alias("__over"))  # a row a file
+    y = x.join(splits.drop("__n"), ["__file", "__block"]).join(files, "__file")
+    row = F.col("__in_file") + F.col("__at") - F.col("__first")
+    y = y.withColumns({"source_file": F.element_at(F.split("__file", "/"), -1), "source_row": row, "row_index": F.col("__over") + row})
+    return y.drop("__file", "__block", "__at", "__first", "__in_file", "__over")
+
+
+def one_file_a_region(df: DataFrame, keys: list[str], source: str = "source_file") -> DataFrame:
+    """The table; raises if a region comes from more than one file, or a column starts with two underscores, which are reserved."""
+    if any(c.startswith("__") for c in df.columns):
+        raise ContractError("columns that start with two underscores")
+    twice = region_sources(df, keys, source).first()
+    if twice:
+        raise ContractError(f"a region in several files: {tuple(twice[k] for k in keys)}")
+    return df
+
+
 def feature_tables(spark: SparkSession, paths: str | list[str], ids: list[str], features: list[str]) -> DataFrame:
-    """Feature CSVs read as text by header, cast on read, with their file; absent columns are null.
+    """Feature CSVs read as text by header, cast on read, with their file, its rows' numbers and numbers over all files; absent columns are null.
 
-    Regions default to the file's stem where the column is absent.
+    Slides and regions default to the file's stem where the column is absent. Raises on rows without them, and on a region in several files.
     """
-    x = spark.read.option("header", "true").csv(paths).withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    raw = spark.read.option("header", "true").csv(paths)
+    if any(c.startswith("__") for c in raw.columns):
+        raise ContractError("columns that start with two underscores")
+    x = numbered(raw.drop("source_file", "source_row", "row_index"))
     stem = F.regexp_replace("source_file", r"\.[^.]*$", "")
     cols = [(F.col(c) if c in x.columns else stem if c in ("slide", "region") else F.lit(None)).cast("string").alias(c) for c in ids]
     cols += [(X.finite(F.col(f"`{c}`").try_cast("double")) if c in x.columns else F.lit(None).cast("double")).alias(c) for c in features]
-    out = x.select("source_file", *cols)
+    out = x.select("source_file", "source_row", "row_index", *cols)
     if not out.filter(F.col(ids[0]).isNull() | F.col(ids[1]).isNull()).isEmpty():
         raise ContractError("rows without slide or region")
-    return out
+    return one_file_a_region(out, ids[:2])
 
 
 def preferred_files(names: list[str], aggregate: str = "all_cell_features.csv") -> list[str]:

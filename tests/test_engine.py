@@ -230,7 +230,7 @@ def test_tissue_is_judged_on_mapped_pixels(spark):
     p = spark.createDataFrame(rows, "region string, label long, v double, m boolean, t boolean")
     got = {r.label: r for r in relational.pixel_sums(p, ["region", "label"], "v", "m", "t", 0.6).collect()}
     assert (got[1].tissue_fraction, got[1].mapped_fraction, got[1].positive_fraction, got[1]["mean"]) == (1.0, 0.5, 0.5, pytest.approx(0.6))
-    assert (got[2].tissue_fraction, got[2].mapped_fraction, got[2].positive_fraction, got[2]["mean"]) == (0.0, 0.0, None, None)
+    assert (got[2].tissue_fraction, got[2].mapped_fraction, got[2].positive_fraction, got[2]["mean"], got[2]["std"]) == (0.0, 0.0, None, None, None)
 
 
 def test_region_names_of_any_script(spark):

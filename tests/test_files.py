@@ -148,3 +148,38 @@ def test_command_line_runs_a_stage(spark, tmp_path, capsys):
     main(["clean", "--features", str(tmp_path / "f"), "--out", str(tmp_path / "c"), "--groups", "2", "--max-features", "2"])
     assert spark.read.parquet(str(tmp_path / "c" / "cleaned")).count() == 59
     assert 1 <= spark.read.parquet(str(tmp_path / "c" / "selection")).count() <= 2
+
+
+def test_rows_are_numbered_by_file_and_split_back(spark, tmp_path):
+    place = tmp_path / "in"
+    place.mkdir()
+    sizes = {"b_features.csv": 3, "a_features.csv": 400, "c_features.csv": 1}
+    for name, n in sizes.items():
+        (place / name).write_text("slide,region,cell_label,f\n" + "".join(f"{name[0]},R{i % 2},{i},{i * 0.5}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # many splits a file
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = readers.feature_tables(spark, str(place), ["slide", "region", "cell_label"], ["f", "absent"])
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert all(r.source_row == int(r.cell_label) and r.f == r.source_row * 0.5 and r.absent is None for r in rows)
+    assert sorted(r.row_index for r in rows) == list(range(404))
+    assert {r.row_index - r.source_row for r in rows if r.source_file == "b_features.csv"} == {400}
+    writers.by_source_file(df, str(tmp_path / "out"))
+    for name, n in sizes.items():
+        parts = sorted((tmp_path / "out" / f"__folder={name[:-4]}_cleaned").glob("part-*.csv"))
+        lines = [x for p in parts for x in p.read_text().splitlines()[1:]]
+        assert [int(x.split(",")[3]) for x in lines] == list(range(n))
+    (place / "d_features.csv").write_text("slide,region,cell_label,f\na,R1,900,1\n")
+    with pytest.raises(ContractError, match="several files"):
+        readers.feature_tables(spark, str(place), ["slide", "region", "cell_label"], ["f"])
+
+
+def test_a_slides_own_table_comes_before_those_that_start_with_its_name():
+    names = ["/d/s1_cell_coords.csv", "/d/s10_cell_coords.csv", "/d/s2b_cell_coords.csv", "/d/notes.csv"]
+    assert readers.slide_files(names, "s1") == names[:1]
+    assert readers.slide_files(names, "s2") == names[2:3] and readers.slide_files(names, "t") == []
+    assert readers.slide_files(names) == sorted(names[:3])

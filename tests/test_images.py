@@ -357,3 +357,33 @@ def test_vocabulary_and_palette(spark):
     assert relational.vocabulary([a, b], ["y", "x"]) == (["w", "x", "y", "z"], ["y"])
     many = spark.range(1, 31).select(X.cluster_colour(F.col("id").cast("int"), 30).alias("c")).collect()
     assert len({r.c for r in many}) == 30 and many[0].c == "#ff0000"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_level_lines_equal_the_chains_of_one_image(spark, seed):
+    from lamella.operators import contours
+
+    rng = np.random.default_rng(seed)
+    images = {"a": rng.random((12, 15)), "b": (geometry.box_mean(rng.random((20, 22)), 5) > 0.5).astype(float), "c": np.ones((3, 3))}
+    rows = [(n, r, c, float(v[r, c])) for n, v in images.items() for r in range(v.shape[0]) for c in range(v.shape[1])]
+    df = spark.createDataFrame(rows, "region string, row long, col long, v double")
+    got = {}
+    for p in contours.chains(df, BY).orderBy("region", "chain", "pos").collect():
+        got.setdefault((p.region, p.chain), []).append((round(p.x, 9), round(p.y, 9)))
+    kinds = {(p.region, p.chain): p for p in contours.measures(contours.chains(df, BY), BY).collect()}
+
+    def turned(points):  # closed lines from their least point
+        if points[0] != points[-1]:
+            return tuple(points)
+        ring = points[:-1]
+        k = ring.index(min(ring))
+        return tuple(ring[k:] + ring[: k + 1])
+
+    for name, v in images.items():
+        want = sorted(turned([tuple(x) for x in np.round(c, 9).tolist()]) for c in geometry.half_contours(v))
+        assert sorted(turned(p) for (n, _), p in got.items() if n == name) == want
+        if want:
+            assert max(k.points for k in kinds.values() if k.region == name) == len(geometry.longest_contour(v > 0.5) if name == "b" else max(want, key=len))
+    for k in kinds.values():
+        xy = np.array(got[k.region, k.chain])
+        assert k.closed == bool((xy[0] == xy[-1]).all()) and (k.area is None or abs(k.area) == pytest.approx(geometry.area_of(xy)))
