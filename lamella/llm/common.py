@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts hold at most so many bytes, or a single row."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = held = 0
+    for i, n in enumerate(size):
+        if i > at and held + n > most_bytes:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if batch.num_rows > at:
+        yield batch.slice(at)
+
+
 def id_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))

@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, documents, id_mod, small_batches
+from .common import ASCII_LOWER, documents, id_mod, slices, small_batches
 
 ORDER = 3
 SAMPLE_DOCS = 1500
+#: Bytes of text coded at a time in the pipeline, whose workers keep other stages' tables, too.
+STEP_BYTES = 1 << 18
 TABLE_BYTES = 64 << 20  # of the broadcast code lengths; four languages leave room for some 50,000 contexts
 UNDETERMINED = "und"
 _LEAD = b"\n" * ORDER
@@ -194,14 +196,14 @@ def judge(texts: list[str | None], model: PpmModel | None) -> tuple[list, np.nda
     return pred, posterior, rate
 
 
-def predict(rows: DataFrame, model: PpmModel | None) -> DataFrame:
-    """(any column, text) rows to that column, lang_pred, score, bits_per_byte."""
+def predict(rows: DataFrame, model: PpmModel | None, step_bytes: int | None = None) -> DataFrame:
+    """(any column, text) rows to that column, lang_pred, score, bits_per_byte. Texts are coded a batch at a time, or so many bytes at a time."""
     kept = rows.columns[0]
     kind = rows.schema[kept].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in batches if step_bytes is None else (x for batch in batches for x in slices(batch, 1, step_bytes)):
             pred, posterior, rate = judge(b.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(posterior), pa.array(rate, pa.float64())], [kept, "lang_pred", "score", "bits_per_byte"])
 
@@ -212,7 +214,7 @@ def keep_known(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The documents whose language is told, all columns; a null lang gets the prediction."""
     small_batches(docs.sparkSession)
     model = fit(docs.filter(id_mod("doc_id", 4) != 2))
-    found = predict(docs.select(F.struct("*").alias("row"), "text"), model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    found = predict(docs.select(F.struct("*").alias("row"), "text"), model, STEP_BYTES).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
     return found.select(*[(F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 

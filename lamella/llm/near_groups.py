@@ -2,20 +2,17 @@
 
 At a Jaccard similarity of 0.8 over five-word shingles, fingerprints differ in up to 15% of their bits,
 too many for the exact block scheme over 64 bits. Here a document's distinct shingles give ``BITS``
-bits, the signs of random projections; the fingerprint is split into blocks and documents that share a
+bits, the signs of random projections; the fingerprint is split into blocks, and documents that share a
 block are candidates. Blocks are wide enough that chance meetings stay rare at the corpus' size, and
 there are enough of them that a pair at the similarity shares one with probability ``RECALL``.
 Candidates are verified by the Hamming distance of all bits, which at this length gives the angle to
-within one percent. Linked documents form groups (connected components).
+within one percent, and then by the intersection of the whole sets, so that no pair below the similarity
+is linked. Linked documents form groups (connected components).
 
 Documents with equal shingle sets are one class, and a class is one member. Members that share a block's
-value are a run, and all pairs of a run are settled. Runs of at most ``SMALL_RUN`` members give all their
-pairs. In a larger run every member is first compared with ``PIVOTS`` members picked by differently seeded
-hashes, the same in all blocks that they share, which joins the bulk of a family of near copies at a few pairs
-a member; then all pairs that are still in
-different groups are compared, in tiles of about ``TILE`` by ``TILE`` members that spread over tasks. The
-members of a run's largest group meet only those outside it, so that only runs of many groups, such as
-large families below the similarity, take work by the square of their size.
+value are a run; ``linked.py`` settles runs: one member of each is compared with all others first, then, in
+tiles, those that are still in different groups, so that only runs of many groups, such as large
+families below the similarity, take work by the square of their size.
 
 Defined results: null text counts as empty; documents without words are one class; fewer words than
 ``width`` form one shingle; repeated rows are one class; other columns pass by.
@@ -26,43 +23,24 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import ASCII_LOWER, connected_components, materialise, small_batches
+from . import linked
+from .common import materialise, remove, session
+from .linked import class_name, shingle_set, text_name
 
 BITS = 2304
 RECALL = 0.95
-PIVOTS = 1
-SMALL_RUN = 2
 TILE = 1024
-TILE_ROWS = 20_000
 SIMILARITY = 0.8
 WIDTH = 5
-BUCKET_ROWS = 200_000
 #: Of 32 bits carried along, more differing ones rule a pair out: chance pairs have 16, pairs at the similarity 5.
 SKETCH = 12
 _GROUP = 256
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's word shingles."""
-    words = (text or "").encode().translate(ASCII_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    if len(words) < width:
-        starts, ends = starts[:1], ends[-1:]
-    else:
-        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), (ends - 1).tolist(), strict=True)], np.uint64))
-
-
 def signs() -> np.ndarray:
     """For each of eight byte lanes and each byte value, its part in every projection; a lane sums to zero, so that long texts don't lean one way."""
     table = np.random.default_rng(2024).integers(0, 2, (8, 256, BITS), np.int8).astype(np.float32) * 2 - 1
@@ -84,14 +62,13 @@ def most_bits(similarity: float) -> int:
 
 def block_plan(n: int, similarity: float) -> tuple[int, int]:
     """Bits of a block and number of blocks."""
-    width = min(31, max(12, math.ceil(math.log2(max(n, 2))) + 4))
+    width = min(60, max(12, math.ceil(math.log2(max(n, 2))) + 4))
     share = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
     return width, math.ceil(math.log(1 - RECALL) / math.log1p(-(share**width)))
 
 
 def members(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text) rows to doc_id, tie (a hash of the text), cls, fp, one a row."""
-    small_batches(docs.sparkSession)
+    """(doc_id, text) rows to doc_id, tie (a name of the text), cls, fp, one a row."""
 
     def run(batches):
         table = signs()
@@ -100,168 +77,61 @@ def members(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for at in range(0, len(texts), _GROUP):
                 sets = [shingle_set(t, width) for t in texts[at : at + _GROUP]]
                 part = b.slice(at, _GROUP)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in project(sets, table)], pa.binary())], ["doc_id", "tie", "cls", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([class_name(s) for s in sets], pa.binary()), pa.array([x.tobytes() for x in project(sets, table)], pa.binary())], ["doc_id", "tie", "cls", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return materialise(rows.mapInArrow(run, "doc_id long, tie long, cls long, fp binary"), "members")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_name().alias("tie"), "text")
+    with session(docs.sparkSession, 1000):
+        return materialise(rows.mapInArrow(run, "doc_id long, tie binary, cls binary, fp binary"), "members")
 
 
-def groups(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """members() rows to cls, root: the smallest class of each class's group."""
-    prints = materialise(found.groupBy("cls").agg(F.first("fp").alias("fp")), "long-prints")
-    n = prints.count()
-    bits, blocks = block_plan(n, similarity)
-    ranges = max(1, -(-n // BUCKET_ROWS))
+def block_keys(prints: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """(cls, fp) rows to run, cls, sketch: a row for each block, run naming the block and its value."""
 
     def keys(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            fp = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)
-            sketch = np.packbits(fp[:, :32], axis=1).view(">u4")[:, 0]
-            out_key, out_rows = [], []
+            fp = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
+            sketch = np.packbits(fp[:, :32], axis=1).view(">u4")[:, 0].astype(np.int64)
+            out = np.empty((b.num_rows, blocks), np.uint64)
             for k in range(blocks):
                 at = (np.arange(bits) + k * bits) % BITS if (k + 1) * bits <= BITS else np.random.default_rng(k).choice(BITS, bits, replace=False)
-                value = fp[:, at].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                part = (value * 0x9E3779B1 >> 7) % ranges
-                for r in range(ranges):
-                    own = np.flatnonzero(part == r)
-                    if len(own):
-                        row = np.empty(len(own), [("value", "<u4"), ("sketch", "<u4"), ("cls", "<i8")])
-                        row["value"], row["sketch"], row["cls"] = value[own], sketch[own], ids[own]
-                        out_key.append(k * ranges + r)
-                        out_rows.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_rows, pa.binary())], ["bucket", "rows"])
+                value = (fp[:, at].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.uint64)
+                value = (value + np.uint64(k + 1) * np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15)
+                out[:, k] = (value ^ value >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * blocks, pa.int32()), pa.array(out.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketch), rows], ["cls", "sketch", "runs"])
 
-    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(pdf["rows"]), [("value", "<u4"), ("sketch", "<u4"), ("cls", "<i8")])
-        rows = rows[np.lexsort((rows["cls"], rows["value"]))]
-        edge = np.flatnonzero(np.append(True, rows["value"][1:] != rows["value"][:-1]))
-        run = np.cumsum(np.bincount(edge, minlength=len(rows))) - 1
-        size = np.diff(np.append(edge, len(rows)))
-        rows, run = rows[size[run] > 1], run[size[run] > 1]
-        found, runs = [], rows[:0]
-        if len(rows):
-            starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-            own = np.cumsum(np.bincount(starts, minlength=len(rows))) - 1
-            size = np.diff(np.append(starts, len(rows)))[own]
-            small, runs = np.flatnonzero(size <= SMALL_RUN), rows[size > SMALL_RUN]
+    return prints.select("cls", "fp").mapInArrow(keys, f"cls {dict(prints.dtypes)['cls']}, sketch long, runs array<long>").select("cls", "sketch", F.explode("runs").alias("run"))
 
-            def compare(i, j):
-                ok = (np.bitwise_count(rows["sketch"][i] ^ rows["sketch"][j]) <= SKETCH) & (rows["cls"][i] != rows["cls"][j])
-                a, b = rows["cls"][i][ok], rows["cls"][j][ok]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
 
-            for step in range(1, SMALL_RUN):
-                i = small[small + step < len(rows)]
-                i = i[own[i] == own[i + step]]
-                compare(i, i + step)
-            large = np.flatnonzero(size > SMALL_RUN)
-            for p in range(PIVOTS):
-                mixed = (rows["cls"].view(np.uint64) ^ np.uint64(p)) * np.uint64(0x9E3779B97F4A7C15)  # alike in all blocks: the same pairs
-                mixed ^= mixed >> np.uint64(29)
-                order = np.lexsort((mixed, own))
-                compare(large, order[starts][own][large])
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        run_ids = int(key[0]) << 32 | runs["value"].astype(np.int64)
-        return pd.DataFrame({"a": np.append(pairs[:, 0], runs["cls"]), "b": np.append(pairs[:, 1], run_ids), "in_run": np.arange(len(pairs) + len(runs)) >= len(pairs)})
-
-    met = materialise(prints.mapInArrow(keys, "bucket long, rows binary").groupBy("bucket").applyInPandas(meet, "a long, b long, in_run boolean"), "met")
-    pairs = met.filter("NOT in_run").select("a", "b").distinct()
+def groups(found: DataFrame, similarity: float = SIMILARITY, docs: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
+    """members() rows to cls, root: the smallest class of each class's group. Without docs, links are by fingerprints alone."""
+    own = found if docs is not None else found.withColumn("tie", F.lit(None).cast("binary"))
+    classes = materialise(own.groupBy("cls").agg(F.min(F.struct("tie", "fp")).alias("f")).select("cls", "f.*"), "long-prints")
+    bits, blocks = block_plan(classes.count(), similarity)
     most = most_bits(similarity)
 
-    def verify(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-                ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
-
-    both = pairs.join(prints.select(F.col("cls").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("cls").alias("b"), F.col("fp").alias("fb")), "b")
-    edges = both.select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long")
-    roots = connected_components(edges).withColumnRenamed("node", "cls")
-    rooted = materialise(prints.join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "fp"), "rooted")
-    later = materialise(unsettled(met.filter("in_run").select(F.col("b").alias("run"), F.col("a").alias("cls")), rooted, most), "run-edges")
-    whole = rooted.select("cls", "root")
-    if later.isEmpty():
-        return whole
-    joined = connected_components(later).select(F.col("node").alias("root"), F.col("root").alias("low"))
-    return whole.join(joined, "root", "left").select("cls", F.coalesce("low", "root").alias("root"))
-
-
-def unsettled(runs: DataFrame, rooted: DataFrame, most: int) -> DataFrame:
-    """(run, cls) rows and classes' (cls, root, fp) to (a, b) roots, of which members in a common run differ in at most so many bits."""
-    placed = runs.join(rooted.select("cls", "root"), "cls")
-    sizes = placed.groupBy("run", "root").agg(F.count("*").alias("n")).groupBy("run").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
-    # the largest group's members meet the rest, the rest meets all: tiles are pairs of a chunk of the rest and any chunk
-    sizes = sizes.filter("n > top.n").select("run", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / TILE).alias("chunks"), F.ceil(F.col("top.n") / TILE).alias("top_chunks"))
-    placed = placed.join(sizes, "run").withColumn("in_top", F.col("root") == F.col("top"))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "cls"), F.when(F.col("in_top"), F.col("top_chunks")).otherwise(F.col("chunks"))))
-
-    def tiles(low, high, tile):
-        return F.when(low <= high, F.transform(F.sequence(low, high), tile)).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,top:boolean,left:boolean>>"))
-
-    def tile(i, j, top, left):
-        return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(top).alias("top"), F.lit(left).alias("left"))
-
-    zero, own, end = F.lit(0).cast("long"), F.col("chunk"), F.col("chunks") - 1
-    rest = F.concat(tiles(own, end, lambda j: tile(own, j, False, True)), tiles(zero, own - 1, lambda i: tile(i, own, False, False)), tiles(zero, F.col("top_chunks") - 1, lambda j: tile(own, j, True, True)))
-    dealt = placed.select("run", "cls", F.explode(F.when(F.col("in_top"), tiles(zero, end, lambda i: tile(i, own, True, False))).otherwise(rest)).alias("t")).select("run", "cls", "t.*")
-    dealt = materialise(dealt, "tiles")
-    parts = max(1, -(-dealt.count() // TILE_ROWS))
-    dealt = dealt.withColumn("tile", F.xxhash64("run", "i", "j", "top")).withColumn("part", F.pmod("tile", F.lit(parts)))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["run", "i", "j", "top"], kind="stable")
-        edge = np.flatnonzero((pdf[["run", "i", "j", "top"]] != pdf[["run", "i", "j", "top"]].shift()).any(axis=1).to_numpy())
-        fp = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(len(pdf), -1)
-        root, left, same = pdf["root"].to_numpy(), pdf["left"].to_numpy(), ((pdf["i"] == pdf["j"]) & ~pdf["top"]).to_numpy()
-        out = []
-        for a, b in zip(edge, np.append(edge[1:], len(pdf)), strict=True):
-            x = a + np.flatnonzero(left[a:b])
-            y = x if same[a] else a + np.flatnonzero(~left[a:b])
-            bits_y = np.unpackbits(fp[y], axis=1).astype(np.float32)
-            for at in range(0, len(x), TILE):
-                bits_x = np.unpackbits(fp[x[at : at + TILE]], axis=1).astype(np.float32)
-                differ = bits_x.sum(1)[:, None] + bits_y.sum(1) - 2 * bits_x @ bits_y.T
-                i, j = np.nonzero((differ <= most) & (root[x[at : at + TILE], None] != root[y]))
-                p, q = root[x[at + i]], root[y[j]]
-                out.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0))
-        found = spanning(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64))
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return dealt.join(rooted, "cls").groupBy("part").applyInPandas(compare, "a long, b long").distinct()
-
-
-def spanning(edges: np.ndarray) -> np.ndarray:
-    """Fewest of the edges with the same components."""
-    up: dict[int, int] = {}
-
-    def top(x):
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    kept = []
-    for a, b in edges.tolist():
-        a_top, b_top = top(a), top(b)
-        if a_top != b_top:
-            up[max(a_top, b_top)] = min(a_top, b_top)
-            kept.append((a, b))
-    return np.array(kept, np.int64).reshape(-1, 2)
+    def rows_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most
 
+    def tiles_alike(x: np.ndarray, y: np.ndarray, run: int) -> np.ndarray:
+        a, b = (np.unpackbits(v, axis=1).astype(np.float32) for v in (x, y))
+        return a.sum(1)[:, None] + b.sum(1) - 2 * a @ b.T <= most
 
-def class_of(shingles: np.ndarray) -> int:
-    """The class id of a shingle set: a hash of its sorted members."""
-    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), 5)).astype(np.int64))
+    with session(found.sparkSession, 2000):
+        keys = materialise(block_keys(classes, bits, blocks), "block-keys")
+    out = linked.groups(classes, keys, docs, width, round(100 * similarity), rows_alike, tiles_alike, SKETCH, TILE)
+    remove(keys)
+    remove(classes)
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, less all but one of each group: the smallest doc_id (null last), then text hash, stays."""
     found = members(docs)
-    first = found.join(groups(found), "cls").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "tie")).alias("m"))
+    first = found.join(groups(found, docs=docs), "cls").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "tie")).alias("m"))
     first = first.select(F.col("m.doc_id").alias("keep_id"), F.col("m.tie").alias("keep_tie"))
-    whole = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"))
+    whole = docs.select(F.struct("*").alias("row"), text_name().alias("tie"), F.col("doc_id").cast("long").alias("doc_id"))
     kept = whole.join(first, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")), "left_semi")
     return kept.dropDuplicates(["doc_id", "tie"]).select("row.*")
