@@ -34,7 +34,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and the bytes that they decode to."""
-    small_batches(spark, 500)
+    small_batches(spark, 200)
     return piece_lattice.encode(docs)
 
 
