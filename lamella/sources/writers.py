@@ -27,7 +27,7 @@ def csv_table(df: DataFrame, path: str) -> None:
 def by_source_file(df: DataFrame, path: str) -> None:
     """Rows split back by the file they came from, in its order: a folder <stem>_cleaned a file, with header; parts of a large file ascend."""
     stem = F.concat(F.regexp_replace("source_file", r"\.[^.]*$", ""), F.lit("_cleaned"))
-    x = df.withColumn("__folder", stem).repartitionByRange("source_file", "source_row").sortWithinPartitions("source_file", "source_row")
+    x = df.withColumn("__folder", stem).repartitionByRange("__folder", "source_row").sortWithinPartitions("__folder", "source_row")
     x.drop("row_index", "source_row").write.mode("overwrite").option("header", "true").partitionBy("__folder").csv(path)
 
 
