@@ -212,7 +212,7 @@ def predict(rows: DataFrame, model: PpmModel | None, step_bytes: int | None = No
 
 def keep_known(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The documents whose language is told, all columns; a null lang gets the prediction."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 200)
     model = fit(docs.filter(id_mod("doc_id", 4) != 2))
     found = predict(docs.select(F.struct("*").alias("row"), "text"), model, STEP_BYTES).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
     return found.select(*[(F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -54,7 +54,7 @@ def text_name() -> Column:
 
 
 def sets_of(needed: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(cls) rows to stored cls, items: the whole sets of these classes, from one text each."""
+    """(cls) rows to stored cls, items: the whole sets of these classes, from one text each. Where classes have a column name, cls is a number for it."""
     ties = needed.distinct().join(classes.select("cls", "tie"), "cls").select("tie").distinct()
     texts = docs.select("text", text_name().alias("tie")).join(ties, "tie", "left_semi").dropDuplicates(["tie"]).select("text")
 
@@ -63,8 +63,11 @@ def sets_of(needed: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
             sets = [shingle_set(t, width) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([class_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "items"])
 
+    sets = texts.mapInArrow(run, "cls binary, items binary")
+    if "name" in classes.columns:
+        sets = sets.withColumnRenamed("cls", "name").join(classes.select("name", "cls"), "name").select("cls", "items")
     with session(docs.sparkSession, 256):
-        return materialise(texts.mapInArrow(run, "cls binary, items binary"), "sets")
+        return materialise(sets, "sets")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame | None, width: int, percent: int) -> DataFrame:
@@ -83,7 +86,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame | None, widt
     with session(docs.sparkSession, 256):
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")), classes, docs, width)
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
-        found = materialise(both.select("a", "b", "x", "y").mapInArrow(linked, "a binary, b binary"), "links")
+        found = materialise(both.select("a", "b", "x", "y").mapInArrow(linked, _pair(classes)), "links")
     remove(sets)
     return found
 
@@ -106,11 +109,12 @@ def likely(pairs: DataFrame, classes: DataFrame, alike: Alike) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, _pair(classes))
 
 
-def groups(classes: DataFrame, keys: DataFrame, docs: DataFrame | None, width: int, percent: int, rows_alike: Alike, tiles_alike: Alike, sketch_bits: int, tile: int) -> DataFrame:
+def groups(classes: DataFrame, keys: DataFrame, docs: DataFrame | None, width: int, percent: int, rows_alike: Alike, tiles_alike: Alike, sketch_bits: int, tile: int, waves: int = 1) -> DataFrame:
     """Stored classes (cls, fp, tie) and keys (run, cls, sketch) to cls, root: the smallest class of each class's group.
 
     rows_alike compares fingerprints row by row, tiles_alike all of one matrix with all of another, in a given run; pairs whose sketches differ in
-    more than sketch_bits bits are no candidates for it.
+    more than sketch_bits bits are no candidates for it. Runs are compared in so many waves, each of which sees the groups that
+    earlier ones have joined.
     """
     sizes = keys.groupBy("run").agg(F.count("*").alias("members"), F.min(F.struct("cls", "sketch")).alias("pivot")).filter("members > 1")
     runs = materialise(keys.join(sizes, "run").select("run", "cls", "sketch", "members", "pivot"), "runs")
@@ -152,20 +156,23 @@ def groups(classes: DataFrame, keys: DataFrame, docs: DataFrame | None, width: i
                         out.append((root[i], root[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    # a run of two is settled by its pivot
-    dealt = deal(runs.filter("members > 2").select("run", "cls"), rooted, tile)
-    open_ = materialise(dealt.groupBy("part").applyInPandas(candidates, f"run long, cls {kind}").distinct(), "open")
-    more = [runs, first, links, rooted, open_]
-    if docs is not None:
-        sets = sets_of(open_.select("cls"), classes, docs, width)
-        more.append(sets)
-        rooted = rooted.join(sets, "cls")
-    dealt = deal(open_, rooted, tile, PART_ROWS)
-    late = materialise(dealt.groupBy("part").applyInPandas(compare, _pair(classes)).distinct(), "late")
-    joined = merge_nodes(late, []).select(F.col("node").alias("root"), F.col("root").alias("low"))
-    out = more[3].select("cls", "root").join(joined, "root", "left").select("cls", F.coalesce("low", "root").alias("root"))
-    out = materialise(out, "groups")
-    for df in (*more, late):
+    done = [runs, first, links]
+    for wave in range(waves):
+        # a run of two is settled by its pivot
+        dealt = deal(runs.filter((F.col("members") > 2) & (F.pmod(F.xxhash64("run"), F.lit(waves)) == wave)).select("run", "cls"), rooted, tile)
+        open_ = materialise(dealt.groupBy("part").applyInPandas(candidates, f"run long, cls {kind}").distinct(), "open")
+        own = rooted
+        if docs is not None:
+            sets = sets_of(open_.select("cls"), classes, docs, width)
+            done.append(sets)
+            own = rooted.join(sets, "cls")
+        dealt = deal(open_, own, tile, PART_ROWS)
+        late = materialise(dealt.groupBy("part").applyInPandas(compare, _pair(classes)).distinct(), "late")
+        joined = merge_nodes(late, []).select(F.col("node").alias("root"), F.col("root").alias("low"))
+        done += [open_, late, rooted]
+        rooted = materialise(rooted.join(joined, "root", "left").select("cls", F.coalesce("low", "root").alias("root"), "fp"), "rooted")
+    out = materialise(rooted.select("cls", "root"), "groups")
+    for df in (*done, rooted):
         remove(df)
     return out
 

@@ -33,7 +33,7 @@ from .linked import class_name, shingle_set, text_name
 
 BITS = 2304
 RECALL = 0.95
-TILE = 1024
+TILE, WAVES = 1024, 3
 SIMILARITY = 0.8
 WIDTH = 5
 #: Of 32 bits carried along, more differing ones rule a pair out: chance pairs have 16, pairs at the similarity 5.
@@ -92,7 +92,7 @@ def block_keys(prints: DataFrame, bits: int, blocks: int) -> DataFrame:
             if not b.num_rows:
                 continue
             fp = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
-            sketch = np.packbits(fp[:, :32], axis=1).view(">u4")[:, 0].astype(np.int64)
+            sketch = np.packbits(fp[:, :32], axis=1).view(">u4")[:, 0].astype(np.uint32).view(np.int32)
             out = np.empty((b.num_rows, blocks), np.uint64)
             for k in range(blocks):
                 at = (np.arange(bits) + k * bits) % BITS if (k + 1) * bits <= BITS else np.random.default_rng(k).choice(BITS, bits, replace=False)
@@ -102,13 +102,14 @@ def block_keys(prints: DataFrame, bits: int, blocks: int) -> DataFrame:
             rows = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * blocks, pa.int32()), pa.array(out.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketch), rows], ["cls", "sketch", "runs"])
 
-    return prints.select("cls", "fp").mapInArrow(keys, f"cls {dict(prints.dtypes)['cls']}, sketch long, runs array<long>").select("cls", "sketch", F.explode("runs").alias("run"))
+    return prints.select("cls", "fp").mapInArrow(keys, f"cls {dict(prints.dtypes)['cls']}, sketch int, runs array<long>").select("cls", "sketch", F.explode("runs").alias("run"))
 
 
 def groups(found: DataFrame, similarity: float = SIMILARITY, docs: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
     """members() rows to cls, root: the smallest class of each class's group. Without docs, links are by fingerprints alone."""
     own = found if docs is not None else found.withColumn("tie", F.lit(None).cast("binary"))
-    classes = materialise(own.groupBy("cls").agg(F.min(F.struct("tie", "fp")).alias("f")).select("cls", "f.*"), "long-prints")
+    named = own.groupBy(F.col("cls").alias("name")).agg(F.min(F.struct("tie", "fp")).alias("f")).select("name", "f.*")
+    classes = materialise(named.withColumn("cls", F.monotonically_increasing_id()), "long-prints")  # numbers are half as long as names
     bits, blocks = block_plan(classes.count(), similarity)
     most = most_bits(similarity)
 
@@ -121,7 +122,10 @@ def groups(found: DataFrame, similarity: float = SIMILARITY, docs: DataFrame | N
 
     with session(found.sparkSession, 2000):
         keys = materialise(block_keys(classes, bits, blocks), "block-keys")
-    out = linked.groups(classes, keys, docs, width, round(100 * similarity), rows_alike, tiles_alike, SKETCH, TILE)
+    out = linked.groups(classes, keys, docs, width, round(100 * similarity), rows_alike, tiles_alike, SKETCH, TILE, WAVES)
+    named = classes.select("cls", "name").join(out, "cls")
+    low = named.groupBy("root").agg(F.min("name").alias("low"))
+    out = materialise(named.join(low, "root").select(F.col("name").alias("cls"), F.col("low").alias("root")), "named")
     remove(keys)
     remove(classes)
     return out

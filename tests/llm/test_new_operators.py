@@ -276,3 +276,36 @@ def test_manifest_odd_rows(spark):
     assert manifest(df, chunk=1, span=1) == manifest_by_hand(rows)
     assert manifest(df.limit(0)) == []
     assert len(manifest(df.filter("doc_id = 7"))) == 1
+
+
+# --- pipeline --------------------------------------------------------------------------------------------------------------
+
+
+def test_near_dedup_stage_keeps_one_of_each_group_of_the_documents(spark):
+    from lamella.llm import near_groups
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    sets = [set(shingle_set(t, 5).tolist()) for _, t in rows]
+    near = {i: {j for j in range(len(rows)) if (sets[i] or sets[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} | ({j for j in range(len(rows)) if not sets[j]} if not sets[i] else set()) for i in range(len(rows))}
+    kept = {r.doc_id for r in near_groups.one_of_each(df).select("doc_id").collect()}
+    gone = [i for i, (d, _) in enumerate(rows) if d not in kept]
+    assert all(len(near[i]) > 1 for i in gone)  # none goes without a near copy
+    left = [i for i, (d, _) in enumerate(rows) if d in kept]
+    pairs = sum(j in near[i] for i in left for j in left if j > i)
+    assert gone and pairs <= 0.1 * len(gone)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, df in (("empty", docs_of(spark, ODD).limit(0)), ("odd", docs_of(spark, ODD))):
+        (tmp_path / name).mkdir()
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            assert f(spark, docs, f"{tmp_path}/{name}").columns == docs.columns, stage
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in out} <= {d for d, _, _ in ODD} and (out == []) == (name == "empty")
