@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -123,7 +124,7 @@ def feature_unit_twins(spark, sf):
 
 @query("SELECT p_partkey, CASE WHEN p_size > 5 THEN greatest(1, round_even(p_retailprice / (p_size * 0.1 * (p_size * 0.1)), 0)::BIGINT) ELSE 200 END AS pixels FROM part")
 def threshold_um2(spark, sf):
-    mpp = F.when(F.col("p_size") > 5, F.col("p_size") * F.lit(0.1))
+    mpp = F.when(F.col("p_size") > 5, F.col("p_size") * F.lit(Decimal("0.1")))  # a decimal's square is exact, so halves stay halves
     return table(spark, sf, "part").select("p_partkey", X.pixels_from_area(F.col("p_retailprice"), mpp).alias("pixels"))
 
 
