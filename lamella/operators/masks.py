@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -319,20 +320,33 @@ def cleaned_mask(image: DataFrame, polygon: DataFrame, by: list[str], mpp: float
 # --- cells in a region ---------------------------------------------------------------------------------------------------
 
 
+#: Pixels of polygons that leave a task at once.
+PIXELS = 1 << 20
+
+
 def filled(polygons: DataFrame, keys: list[str], points: str = "points") -> DataFrame:
-    """(keys, points as [x, y], width, height) to the pixels that each polygon holds: keys, row, col. A polygon is a task's row."""
+    """(keys, points as [x, y], width, height) to the pixels that each polygon holds: keys, row, col. A batch of polygons at a time."""
     kinds = {f.name: f.dataType.simpleString() for f in polygons.schema}
 
     def run(batches):
-        for pdf in batches:
-            for i, (xy, w, h) in enumerate(zip(pdf[points], pdf["width"], pdf["height"], strict=True)):
-                runs = geometry.fill_polygon(np.array([list(q) for q in xy], float), int(w), int(h))
-                n = runs[:, 2] - runs[:, 1] + 1
-                runs, n = runs[n > 0], n[n > 0]
-                out = pd.DataFrame({"row": np.repeat(runs[:, 0], n), "col": np.repeat(runs[:, 1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)}).drop_duplicates()
-                yield pd.concat([pdf.iloc[[i] * len(out)][keys].reset_index(drop=True), out.reset_index(drop=True)], axis=1)
-
-    return polygons.filter(F.size(points) >= 3).select(*keys, points, "width", "height").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", row long, col long")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            outer = t[points].combine_chunks()
+            inner = outer.flatten()
+            starts = np.append(0, np.cumsum(pc.list_value_length(outer).to_numpy(zero_copy_only=False)))
+            xy = np.stack([pc.list_element(inner, i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1)], 1)
+            runs = geometry.fill_polygons(xy, starts, t["width"].to_numpy(), t["height"].to_numpy())
+            n = runs[:, 3] - runs[:, 2] + 1
+            for some in np.split(np.arange(len(runs)), np.flatnonzero(np.diff(np.cumsum(n) // PIXELS)) + 1):
+                r, m = runs[some], n[some]
+                col = np.repeat(r[:, 2] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                who = pa.array(np.repeat(r[:, 0], m))
+                out = pa.table([t[k].take(who) for k in keys] + [pa.array(np.repeat(r[:, 1], m)), pa.array(col)], names=[*keys, "row", "col"])
+                yield from out.combine_chunks().to_batches()
+
+    return polygons.filter(F.size(points) >= 3).select(*keys, points, "width", "height").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", row long, col long")
 
 
 def cells_in_region(cells: DataFrame, frames: DataFrame, mask: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -347,7 +361,7 @@ def cells_in_region(cells: DataFrame, frames: DataFrame, mask: DataFrame, by: li
     x = x.withColumns({"col": F.rint(F.col("centroid")[0] - F.col("min_x")).cast("long"), "row": F.rint(F.col("centroid")[1] - F.col("min_y")).cast("long")})
     x = x.filter((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < F.col("height")) & (F.col("col") < F.col("width")))
     x = x.join(mask.select(*by, "row", "col").distinct(), [*by, "row", "col"], "left_semi")
-    x = ranking.number_rows(x, by, ["pos"], "label")
+    x = ranking.number_in_ranges(x.select(*by, "pos", "contour", "min_x", "min_y", "width", "height"), by, ["pos"], "label")
     local = F.transform("contour", lambda q: F.array(q[0].cast("double") - F.col("min_x"), q[1].cast("double") - F.col("min_y")))
     pixels = raster.paint(filled(x.withColumn("points", local), [*by, "label"]), by)
     return x.select(*by, "label", "pos"), pixels.join(mask.select(*by, "row", "col").distinct(), [*by, "row", "col"], "left_semi")

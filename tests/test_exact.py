@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lamella import queries as Q
-from lamella.operators import geometry, grouped, raster, spatial
+from lamella.operators import geometry, grouped, masks, ranking, raster, spatial
 
 
 def test_halves_of_an_exact_scale_round_to_even(spark, tmp_path):
@@ -69,3 +69,24 @@ def test_copies_of_a_place_are_not_paired(spark, monkeypatch):
     assert spatial.k_nearest(df, ["region"], 3).count() == 12000
     spots = next(x for tag, x in seen if tag == "spots")
     assert spots.count() == 4 and spots.selectExpr("max(size(ids))").first()[0] == 4
+
+
+def test_polygons_are_filled_a_batch_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(masks, "PIXELS", 7)
+    one = [[0.0, 0.0], [4.0, 0.0], [4.0, 3.0], [0.0, 3.0]]
+    rows = [(1, one, 10, 10), (2, one[:2], 10, 10), (3, [[1.5, -2.0], [9.0, 0.5], [1.5, 3.0]], 6, 2), (4, [*one[:3], [math.nan, 3.0]], 10, 10), (5, one[:2] + one, 3, 10)]
+    df = spark.createDataFrame(rows, "id int, points array<array<double>>, width int, height int").coalesce(1)
+    got = [(r.id, r.row, r.col) for r in masks.filled(df, ["id"]).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(1, r, c) for r in range(4) for c in range(5)} | {(3, r, c) for r in (0, 1) for c in range(2, 6)} | {(5, r, c) for r in range(4) for c in range(3)}
+
+
+def test_numbers_in_ranges_go_on_from_range_to_range(spark):
+    df = spark.range(3000).selectExpr("IF(id % 3 = 0, 'a', IF(id % 3 = 1, 'b', NULL)) AS g", "(id * 7919) % 3000 AS pos")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = ranking.number_in_ranges(df, ["g"], ["pos"], "n").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for _, own in got.groupby("g", dropna=False):
+        assert own.sort_values("pos")["n"].tolist() == list(range(1, 1001))
