@@ -189,11 +189,15 @@ def select_features(columns: list[str], distance: np.ndarray, most: int = 40, gr
     return out
 
 
+#: Partitions up to which their statistics are summed on the driver, without a shuffle an iteration.
+FEW_PARTS = 64
+
+
 class DiagonalMixture:
     """Gaussian mixture by EM with diagonal, spherical, tied or full covariances.
 
-    Each iteration is one aggregation of the rows' sufficient statistics; parameters, of bounded size
-    (components x features), live on the driver. The best of several starts is kept.
+    Each iteration is one pass over the rows for all starts that go on, for their sufficient statistics; parameters,
+    of bounded size (components x features), live on the driver. The best of several starts is kept.
     """
 
     def __init__(self, components: int, kind: str = "diag", starts: int = 3, iterations: int = 500, floor: float = 1e-5, tolerance: float = 1e-3, seed: int = 42):
@@ -204,61 +208,59 @@ class DiagonalMixture:
         n = x.count()
         if n < self.components:
             raise ContractError("fewer rows than components")
+        spread = np.array(x.agg(*[F.var_pop(F.col("x")[i]) for i in range(len(columns))]).first(), float) + self.floor
+        seeds = [np.array([r[0] for r in x.orderBy(F.xxhash64(F.lit(self.seed + start), "x")).limit(self.components).collect()]) for start in range(self.starts)]
         best = None
-        for start in range(self.starts):
-            seeds = np.array([r[0] for r in x.orderBy(F.xxhash64(F.lit(self.seed + start), "x")).limit(self.components).collect()])
-            spread = np.array(x.agg(*[F.var_pop(F.col("x")[i]) for i in range(len(columns))]).first(), float) + self.floor
-            run = self._em(x, n, seeds, spread)
+        for run in self._em(x, n, seeds, spread):
             if best is None or run[0] > best[0]:
                 best = run
         x.unpersist()
         self.log_likelihood, self.weights, self.means, self.covariances, self.history = best
         return self
 
-    def _em(self, x: DataFrame, n: int, means: np.ndarray, spread: np.ndarray):
-        k, d = means.shape
-        weights = np.full(k, 1 / k)
-        cov = np.stack([np.diag(spread)] * k) if self.kind in ("full", "tied") else np.tile(spread, (k, 1))
-        history: list[float] = []
+    def _em(self, x: DataFrame, n: int, seeds: list[np.ndarray], spread: np.ndarray) -> list[tuple]:
+        """The runs of all starts: likelihood, weights, means, covariances, history. A start that has converged takes no further part."""
+        k, d = seeds[0].shape
         full = self.kind in ("full", "tied")
+        cov = np.stack([np.diag(spread)] * k) if full else np.tile(spread, (k, 1))
+        runs = [(None, np.full(k, 1 / k), means, cov, []) for means in seeds]
+        going = list(range(len(runs)))
+        many = x.rdd.getNumPartitions() > FEW_PARTS
         for _ in range(self.iterations):
-            stats = x.mapInArrow(_sufficient(weights, means, cov, full), "k int, n double, s1 array<double>, s2 array<double>, ll double")
-            width = d * d if full else d
-            rows = stats.groupBy("k").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s1")[i]) for i in range(d)]).alias("s1"), F.array(*[F.sum(F.col("s2")[i]) for i in range(width)]).alias("s2"), F.sum("ll").alias("ll")).orderBy("k").collect()
-            nk = np.array([r["n"] for r in rows]) + 1e-12
-            history.append(sum(r["ll"] for r in rows) / n)
-            weights = nk / nk.sum()
-            means = np.array([r["s1"] for r in rows]) / nk[:, None]
-            s2 = np.array([r["s2"] for r in rows])
-            if full:
-                cov = s2.reshape(k, d, d) / nk[:, None, None] - means[:, :, None] * means[:, None, :]
-                if self.kind == "tied":
-                    cov = np.stack([(cov * weights[:, None, None]).sum(0)] * k)
-                cov = cov + np.eye(d) * self.floor
-            else:
-                cov = np.maximum(s2 / nk[:, None] - means**2, 0) + self.floor
-                if self.kind == "spherical":
-                    cov = np.tile(cov.mean(1, keepdims=True), (1, d))
-            if len(history) > 1 and abs(history[-1] - history[-2]) < self.tolerance:
+            stats = x.mapInArrow(_sufficient([runs[i][1:4] for i in going], full), "start int, v array<double>")
+            if many:
+                stats = stats.select("start", F.posexplode("v").alias("i", "v")).groupBy("start", "i").agg(F.sum("v").alias("v")).groupBy("start").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("v"))
+            sums = np.zeros((len(going), k * (1 + d + (d * d if full else d)) + 1))
+            for r in stats.collect():  # a row a partition and start at most
+                sums[r["start"]] += r["v"]
+            for place, i in enumerate(going):
+                runs[i] = self._step(sums[place], n, k, d, runs[i][4])
+            going = [i for i in going if len(runs[i][4]) < 2 or abs(runs[i][4][-1] - runs[i][4][-2]) >= self.tolerance]
+            if not going:
                 break
-        return history[-1], weights, means, cov, history
+        return runs
+
+    def _step(self, sums: np.ndarray, n: int, k: int, d: int, history: list[float]) -> tuple:
+        nk, s1, s2 = sums[:k] + 1e-12, sums[k : k + k * d].reshape(k, d), sums[k + k * d : -1].reshape(k, -1)
+        weights, means = nk / nk.sum(), s1 / nk[:, None]
+        if self.kind in ("full", "tied"):
+            cov = s2.reshape(k, d, d) / nk[:, None, None] - means[:, :, None] * means[:, None, :]
+            if self.kind == "tied":
+                cov = np.stack([(cov * weights[:, None, None]).sum(0)] * k)
+            cov = cov + np.eye(d) * self.floor
+        else:
+            cov = np.maximum(s2 / nk[:, None] - means**2, 0) + self.floor
+            if self.kind == "spherical":
+                cov = np.tile(cov.mean(1, keepdims=True), (1, d))
+        return sums[-1] / n, weights, means, cov, [*history, sums[-1] / n]
 
     def transform(self, df: DataFrame, columns: list[str], output: str = "probabilities") -> DataFrame:
-        """Membership probabilities; column expressions for diagonal kinds, arrays in batches for the others."""
-        if self.kind in ("diag", "spherical"):
-            logs = []
-            for w, m, v in zip(self.weights, self.means, self.covariances, strict=True):
-                const = math.log(w + 1e-300) - 0.5 * float(np.log(2 * math.pi * v).sum())
-                logs.append(F.lit(const) - 0.5 * reduce(lambda a, b: a + b, [F.pow(F.col(c) - float(mi), 2) / float(vi) for c, mi, vi in zip(columns, m, v, strict=True)]))
-            top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-            parts = F.array(*[F.exp(x - top) for x in logs])
-            total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
-            return df.withColumn(output, F.transform(parts, lambda p: p / total))
-        weights, means, cov = self.weights, self.means, self.covariances
+        """Membership probabilities, arrays in batches."""
+        weights, means, cov, full = self.weights, self.means, self.covariances, self.kind in ("full", "tied")
 
         @F.pandas_udf("array<double>")
         def probabilities(v: pd.Series) -> pd.Series:
-            logs = _log_density(np.stack(v.to_numpy()), weights, means, cov, True)
+            logs = _log_density(np.stack(v.to_numpy()), weights, means, cov, full)
             p = np.exp(logs - logs.max(1, keepdims=True))
             return pd.Series(list(p / p.sum(1, keepdims=True)))
 
@@ -278,25 +280,29 @@ def _log_density(x: np.ndarray, weights: np.ndarray, means: np.ndarray, cov: np.
     return out
 
 
-def _sufficient(weights: np.ndarray, means: np.ndarray, cov: np.ndarray, full: bool):
-    """Per batch: responsibilities' sums, first and second moments a component, log-likelihood."""
+def _sufficient(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], full: bool):
+    """Per partition and start: responsibilities' sums, first and second moments a component, log-likelihood, in one array."""
 
     def run(batches):
         import pyarrow as pa
 
+        sums = None
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array(b.column(0).to_pylist(), float)
-            logs = _log_density(x, weights, means, cov, full)
-            top = logs.max(1, keepdims=True)
-            p = np.exp(logs - top)
-            total = p.sum(1, keepdims=True)
-            ll = float((np.log(total) + top).sum())
-            p /= total
-            k = len(weights)
-            s2 = [(p[:, j, None] * x).T @ x for j in range(k)] if full else list(p.T @ (x * x))
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(p.sum(0)), pa.array(list(p.T @ x), pa.list_(pa.float64())), pa.array([np.ravel(v) for v in s2], pa.list_(pa.float64())), pa.array([ll] + [0.0] * (k - 1))], ["k", "n", "s1", "s2", "ll"])
+            x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
+            part = []
+            for weights, means, cov in runs:
+                logs = _log_density(x, weights, means, cov, full)
+                top = logs.max(1, keepdims=True)
+                p = np.exp(logs - top)
+                total = p.sum(1, keepdims=True)
+                p /= total
+                s2 = np.stack([(p[:, j, None] * x).T @ x for j in range(len(weights))]) if full else p.T @ (x * x)
+                part.append(np.concatenate([p.sum(0), (p.T @ x).ravel(), s2.ravel(), [float((np.log(total) + top).sum())]]))
+            sums = np.stack(part) if sums is None else sums + part
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(runs)), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], ["start", "v"])
 
     return run
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lamella import queries as Q
-from lamella.operators import geometry, grouped, masks, ranking, raster, spatial
+from lamella.operators import geometry, grouped, learning, masks, ranking, raster, spatial
 
 
 def test_halves_of_an_exact_scale_round_to_even(spark, tmp_path):
@@ -90,3 +90,23 @@ def test_numbers_in_ranges_go_on_from_range_to_range(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     for _, own in got.groupby("g", dropna=False):
         assert own.sort_values("pos")["n"].tolist() == list(range(1, 1001))
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_mixture_starts_share_their_passes(spark, monkeypatch, few):
+    monkeypatch.setattr(learning, "FEW_PARTS", few)
+    passes = []
+    sufficient = learning._sufficient
+    monkeypatch.setattr(learning, "_sufficient", lambda runs, full: passes.append(len(runs)) or sufficient(runs, full))
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(6, 0.5, (40, 2))])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double").repartition(3)
+    m = learning.DiagonalMixture(2, starts=3, iterations=40).fit(df, ["a", "b"])
+    assert passes[0] == 3 and len(passes) <= 40 and passes == sorted(passes, reverse=True)
+    assert sorted(m.weights) == pytest.approx([0.4, 0.6], abs=0.03)
+    # the history is that of plain EM from the same state
+    logs = learning._log_density(x, m.weights, m.means, m.covariances, False)
+    top = logs.max(1, keepdims=True)
+    assert float((np.log(np.exp(logs - top).sum(1, keepdims=True)) + top).mean()) == pytest.approx(m.log_likelihood, abs=1e-2)
+    p = np.array([r[0] for r in m.transform(df, ["a", "b"]).select("probabilities").collect()])
+    assert p.sum(1) == pytest.approx(1)
