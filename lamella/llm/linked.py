@@ -109,15 +109,17 @@ def likely(pairs: DataFrame, classes: DataFrame, alike: Alike) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, _pair(classes))
 
 
-def groups(classes: DataFrame, keys: DataFrame, docs: DataFrame | None, width: int, percent: int, rows_alike: Alike, tiles_alike: Alike, sketch_bits: int, tile: int, waves: int = 1) -> DataFrame:
+def groups(classes: DataFrame, keys: DataFrame, docs: DataFrame | None, width: int, percent: int, rows_alike: Alike, tiles_alike: Alike, sketch_bits: int, tile: int, waves: int = 1, own_keys: bool = False) -> DataFrame:
     """Stored classes (cls, fp, tie) and keys (run, cls, sketch) to cls, root: the smallest class of each class's group.
 
     rows_alike compares fingerprints row by row, tiles_alike all of one matrix with all of another, in a given run; pairs whose sketches differ in
     more than sketch_bits bits are no candidates for it. Runs are compared in so many waves, each of which sees the groups that
-    earlier ones have joined.
+    earlier ones have joined. With own_keys, keys is a written table of its own and deleted once it is read.
     """
     sizes = keys.groupBy("run").agg(F.count("*").alias("members"), F.min(F.struct("cls", "sketch")).alias("pivot")).filter("members > 1")
     runs = materialise(keys.join(sizes, "run").select("run", "cls", "sketch", "members", "pivot"), "runs")
+    if own_keys:
+        remove(keys)
     near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("pivot.sketch"))) <= sketch_bits
     pairs = runs.filter((F.col("cls") != F.col("pivot.cls")) & near).select(F.col("pivot.cls").alias("a"), F.col("cls").alias("b")).distinct()
     first = materialise(likely(pairs, classes, rows_alike), "likely")
@@ -125,6 +127,8 @@ def groups(classes: DataFrame, keys: DataFrame, docs: DataFrame | None, width: i
     roots = merge_nodes(links, []).select(F.col("node").alias("cls"), "root")
     rooted = materialise(classes.join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "fp"), "rooted")
 
+    for df in (first, links):
+        remove(df)
     kind = dict(classes.dtypes)["cls"]
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,23 +160,26 @@ def groups(classes: DataFrame, keys: DataFrame, docs: DataFrame | None, width: i
                         out.append((root[i], root[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    done = [runs, first, links]
+    # what a wave has written goes with it, so that the disk holds one wave's tables
     for wave in range(waves):
         # a run of two is settled by its pivot
-        dealt = deal(runs.filter((F.col("members") > 2) & (F.pmod(F.xxhash64("run"), F.lit(waves)) == wave)).select("run", "cls"), rooted, tile)
+        dealt, tiles = deal(runs.filter((F.col("members") > 2) & (F.pmod(F.xxhash64("run"), F.lit(waves)) == wave)).select("run", "cls"), rooted, tile)
         open_ = materialise(dealt.groupBy("part").applyInPandas(candidates, f"run long, cls {kind}").distinct(), "open")
-        own = rooted
+        remove(tiles)
+        own, done = rooted, [open_]
         if docs is not None:
             sets = sets_of(open_.select("cls"), classes, docs, width)
             done.append(sets)
             own = rooted.join(sets, "cls")
-        dealt = deal(open_, own, tile, PART_ROWS)
+        dealt, tiles = deal(open_, own, tile, PART_ROWS)
         late = materialise(dealt.groupBy("part").applyInPandas(compare, _pair(classes)).distinct(), "late")
         joined = merge_nodes(late, []).select(F.col("node").alias("root"), F.col("root").alias("low"))
-        done += [open_, late, rooted]
+        done += [tiles, late, rooted]
         rooted = materialise(rooted.join(joined, "root", "left").select("cls", F.coalesce("low", "root").alias("root"), "fp"), "rooted")
+        for df in done:
+            remove(df)
     out = materialise(rooted.select("cls", "root"), "groups")
-    for df in (*done, rooted):
+    for df in (runs, rooted):
         remove(df)
     return out
 

@@ -122,11 +122,10 @@ def groups(found: DataFrame, similarity: float = SIMILARITY, docs: DataFrame | N
 
     with session(found.sparkSession, 2000):
         keys = materialise(block_keys(classes, bits, blocks), "block-keys")
-    out = linked.groups(classes, keys, docs, width, round(100 * similarity), rows_alike, tiles_alike, SKETCH, TILE, WAVES)
+    out = linked.groups(classes, keys, docs, width, round(100 * similarity), rows_alike, tiles_alike, SKETCH, TILE, WAVES, own_keys=True)
     named = classes.select("cls", "name").join(out, "cls")
     low = named.groupBy("root").agg(F.min("name").alias("low"))
     out = materialise(named.join(low, "root").select(F.col("name").alias("cls"), F.col("low").alias("root")), "named")
-    remove(keys)
     remove(classes)
     return out
 

@@ -20,8 +20,8 @@ TILE = 1024
 TILE_ROWS = 20_000
 
 
-def deal(runs: DataFrame, rooted: DataFrame, tile_size: int = TILE, part_rows: int = TILE_ROWS) -> DataFrame:
-    """(run, cls) rows and classes' (cls, root, fp) to the rows of all tiles with cls, root, fp and the tile's part."""
+def deal(runs: DataFrame, rooted: DataFrame, tile_size: int = TILE, part_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(run, cls) rows and classes' (cls, root, fp) to the rows of all tiles with cls, root, fp and the tile's part, and the written table to remove after them."""
     placed = runs.join(rooted.select("cls", "root"), "cls")
     sizes = placed.groupBy("run", "root").agg(F.count("*").alias("n")).groupBy("run").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
     # the largest group's members meet the rest, the rest meets all: tiles are pairs of a chunk of the rest and any chunk
@@ -38,10 +38,10 @@ def deal(runs: DataFrame, rooted: DataFrame, tile_size: int = TILE, part_rows: i
     zero, own, end = F.lit(0).cast("long"), F.col("chunk"), F.col("chunks") - 1
     rest = F.concat(tiles(own, end, lambda j: tile(own, j, False, True)), tiles(zero, own - 1, lambda i: tile(i, own, False, False)), tiles(zero, F.col("top_chunks") - 1, lambda j: tile(own, j, True, True)))
     dealt = placed.select("run", "cls", F.explode(F.when(F.col("in_top"), tiles(zero, end, lambda i: tile(i, own, True, False))).otherwise(rest)).alias("t")).select("run", "cls", "t.*")
-    dealt = materialise(dealt, "tiles")
-    parts = max(1, -(-dealt.count() // part_rows))
-    dealt = dealt.withColumn("tile", F.xxhash64("run", "i", "j", "top")).withColumn("part", F.pmod("tile", F.lit(parts)))
-    return dealt.join(rooted, "cls")
+    stored = materialise(dealt, "tiles")
+    parts = max(1, -(-stored.count() // part_rows))
+    dealt = stored.withColumn("tile", F.xxhash64("run", "i", "j", "top")).withColumn("part", F.pmod("tile", F.lit(parts)))
+    return dealt.join(rooted, "cls"), stored
 
 
 def meetings(pdf: pd.DataFrame, alike: Callable[[np.ndarray, np.ndarray, int], np.ndarray], tile_size: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
