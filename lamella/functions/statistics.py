@@ -22,12 +22,17 @@ def kurtosis_corrected(c: Column) -> Column:
     return F.when((n > 3) & (F.stddev_pop(c) > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
-def nine_numbers(prefix: str, column: str) -> list[Column]:
-    """Mean, median, spread, shape, range and outer deciles of a column's finite values."""
+def nine_parts(prefix: str, column: str) -> list[tuple[str, Column]]:
+    """Names and values of the nine numbers."""
     c = finite(F.col(column))
     q = lambda p: F.percentile(c, F.lit(p))
     parts = {"mean": F.avg(c), "median": q(0.5), "std": F.stddev_pop(c), "skew": skew_corrected(c), "kurtosis": kurtosis_corrected(c), "min": F.min(c), "max": F.max(c), "p10": q(0.1), "p90": q(0.9)}
-    return [v.alias(f"{prefix}_{k}") for k, v in parts.items()]
+    return [(f"{prefix}_{k}", v) for k, v in parts.items()]
+
+
+def nine_numbers(prefix: str, column: str) -> list[Column]:
+    """Mean, median, spread, shape, range and outer deciles of a column's finite values; a group's percentiles come from one task."""
+    return [v.alias(k) for k, v in nine_parts(prefix, column)]
 
 
 def circular_variance(angle: Column) -> Column:

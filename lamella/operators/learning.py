@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamella.functions.expressions import finite
+from lamella.functions.statistics import nine_parts
 from lamella.operators.relational import ContractError
 from lamella.storage import stored
 
@@ -78,6 +79,39 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
     return out
 
 
+def group_quantiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """(by, a column a name) of interpolated quantiles of each group's finite values, by rank; no row for a group without values.
+
+    As in ``counted``, from counts of distinct values in sorted ranges, so that no group has to fit a task.
+    """
+    v = finite(F.col(column).cast("double"))
+    x = df.select(*by, v.alias("__v")).filter("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count("*").alias("__n"))
+    x = stored(x.orderBy(*by, "__v").withColumn("__part", F.spark_partition_id()), "counted")
+    parts = x.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))
+    before = F.sum("__m").over(W.partitionBy(*by).orderBy("__part")) - F.col("__m")  # a row a range
+    parts = parts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__of"), before.alias("__before"), F.sum("__m").over(W.partitionBy(*by)).alias("__total"))
+    within = F.sum("__n").over(W.partitionBy(*by, "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    x = x.withColumn("__within", within).join(parts, [*[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.col("__part") == F.col("__of")])
+    end = F.col("__before") + F.col("__within")
+
+    def quantile(p: float) -> Column:
+        at = (F.col("__total") - 1) * F.lit(float(p))
+        value = lambda i: F.max(F.when((end > i) & (end - F.col("__n") <= i), F.col("__v")))
+        low, high, share = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
+        return F.when(low == high, low).otherwise(low + (high - low) * share)
+
+    return x.groupBy(*by).agg(*[quantile(p).alias(name) for name, p in shares.items()])
+
+
+def nine_number_table(df: DataFrame, by: list[str], prefix: str, column: str) -> DataFrame:
+    """The nine numbers of few large groups: moments combine before the shuffle, percentiles come from counts of values."""
+    names = {f"{prefix}_median": 0.5, f"{prefix}_p10": 0.1, f"{prefix}_p90": 0.9}
+    q = group_quantiles(df, by, column, names).withColumnsRenamed({c: f"__{c}" for c in by})
+    order = [c for c, _ in nine_parts(prefix, column)]
+    m = df.groupBy(*by).agg(*[v.alias(c) for c, v in nine_parts(prefix, column) if c not in names])
+    return m.join(q, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left").select(*by, *order)
+
+
 def robust_scale(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
     """(x - median) / interquartile range, exact; columns without range leave. One pass for all quartiles."""
     q = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
@@ -99,8 +133,22 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return x.withColumns({c: (F.col(c) - F.lit(s[f"{c}_m"])) / F.lit(s[f"{c}_s"] or 1.0) for c in columns})
 
 
+#: Columns up to which ranks are joined one column after the other.
+JOINED = 8
+
+
 def rank_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One vector of average ranks a row; columns hold no missing values."""
+    """One vector of average ranks a row; columns hold no missing values.
+
+    Up to ``JOINED`` columns look their ranks up one after the other: where a column has few values, that moves no row. More
+    columns do so all at once, in a row a value.
+    """
+    if len(columns) <= JOINED:
+        x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+        ranks = counted(df, columns).select("c", "v", (F.col("end") - (F.col("n") - 1) / 2).alias("rank"))
+        for i in range(len(columns)):
+            x = x.join(stored(ranks.filter(F.col("c") == i).select(F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}")), "ranks"), f"v{i}")
+        return x.select(array_to_vector(F.array(*[F.col(f"r{i}") for i in range(len(columns))])).alias("v"))
     x = stored(df.select(*columns).withColumn("row", F.monotonically_increasing_id()), "rows")
     long = x.select("row", F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("c", "v"))
     ranks = counted(x, columns).select("c", "v", (F.col("end") - (F.col("n") - 1) / 2).alias("rank"))

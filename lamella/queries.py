@@ -225,7 +225,7 @@ _NINE = ["mean", "median", "std", "skew", "kurtosis", "min", "max", "p10", "p90"
 
 @query("SELECT l_returnflag, " + ", ".join(f"round({f}, 6) AS price_{n}" for n, f in zip(_NINE, ["avg(l_extendedprice)", "quantile_cont(l_extendedprice, 0.5)", "stddev_pop(l_extendedprice)", "skewness(l_extendedprice)", "kurtosis(l_extendedprice)", "min(l_extendedprice)", "max(l_extendedprice)", "quantile_cont(l_extendedprice, 0.1)", "quantile_cont(l_extendedprice, 0.9)"], strict=True)) + " FROM lineitem GROUP BY 1")
 def nine_number_stats(spark, sf):
-    x = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*S.nine_numbers("price", "l_extendedprice"))
+    x = learning.nine_number_table(table(spark, sf, "lineitem"), ["l_returnflag"], "price", "l_extendedprice")
     return six(x, *[f"price_{n}" for n in _NINE])
 
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lamella import queries as Q
+from lamella.functions import statistics as S
 from lamella.operators import geometry, grouped, learning, masks, ranking, raster, spatial
 
 
@@ -110,3 +111,21 @@ def test_mixture_starts_share_their_passes(spark, monkeypatch, few):
     assert float((np.log(np.exp(logs - top).sum(1, keepdims=True)) + top).mean()) == pytest.approx(m.log_likelihood, abs=1e-2)
     p = np.array([r[0] for r in m.transform(df, ["a", "b"]).select("probabilities").collect()])
     assert p.sum(1) == pytest.approx(1)
+
+
+def test_percentiles_of_large_groups_come_from_counts(spark):
+    values = [("a", float(v)) for v in [3, 1, 2, 2, 10, 7]] + [(None, 4.0), (None, 5.0), ("b", None), ("b", math.nan), ("c", math.inf), ("c", 6.0)]
+    df = spark.createDataFrame(values, "g string, v double").repartition(4)
+    rows = learning.nine_number_table(df, ["g"], "v", "v")
+    want = {r.g: tuple(r) for r in df.groupBy("g").agg(*S.nine_numbers("v", "v")).collect()}
+    got = {r.g: tuple(r) for r in rows.collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], nan_ok=True) for g in ("a", None, "c")) and got["b"] == want["b"]
+    assert "percentile" not in rows._jdf.queryExecution().toString()
+
+
+def test_ranks_looked_up_equal_ranks_in_rows(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(int(a), float(b), float(-a * a)) for a, b in zip(rng.integers(-3, 4, 200), rng.random(200), strict=True)], "a int, b double, c double")
+    one = learning.spearman_matrix(df, ["a", "b", "c"])
+    monkeypatch.setattr(learning, "JOINED", 0)
+    assert one == pytest.approx(learning.spearman_matrix(df, ["a", "b", "c"]))
