@@ -20,7 +20,8 @@ Only whether another suffix shares ``length`` bytes matters, so that classes of
 place of sorted ranks; they are the suffix array's intervals with a common prefix of that length.
 Equality is by 64-bit polynomial hashes. Hashes travel packed, a block of texts at a time, to buckets by
 value, and come back as flags; equal hashes of one block are merged before they travel, so that a phrase
-that fills the corpus costs its bucket 8 bytes a block, and no text meets another in a task.
+that fills the corpus costs its bucket 8 bytes a block, and no text meets another in a task. In a task, a
+block is worked in pieces of whole texts, so that what a byte costs in hashes and places is held for a piece.
 
 Beside the removal, a text's shared stretches are given: maximal runs of phrases of which all neighbouring
 pairs occur elsewhere, where they hold ``PASSAGE`` bytes or more. They show passages that are repeated but
@@ -33,6 +34,7 @@ repeat each other; null ids stay; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,6 +51,7 @@ TRIGGER = 16
 PHRASE = 48  # the mean distance of triggers
 PASSAGE = 256
 BLOCK_BYTES = 3 << 20
+PIECE_BYTES = 3 << 17  # of a block are hashed at a time
 BUCKET_HASHES = 1_500_000
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) | np.uint64(1)
@@ -83,7 +86,7 @@ class Parse:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * self.up[:n], dtype=np.uint64)])
         trigger = np.zeros(n, bool)
         if n >= TRIGGER:
-            h = self.hash(np.arange(n - TRIGGER + 1), np.arange(TRIGGER, n + 1))
+            h = _mix((self.sums[TRIGGER:] - self.sums[: n - TRIGGER + 1]) * self.down[: n - TRIGGER + 1])
             trigger[TRIGGER - 1 :] = (h >> np.uint64(20)) % np.uint64(PHRASE) == 0
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         for k in range(TRIGGER - 1):  # a trigger lies within its text
@@ -173,6 +176,16 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def pieces(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, size: int = PIECE_BYTES) -> Iterator[Parse]:
+    """A block's texts, whole ones of at most so many bytes, or a single one, at a time."""
+    a = start = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, start + size, "right")))
+        stop = int(ends[b - 1])
+        yield Parse(data[start:stop], ends[a:b] - start, length)
+        a, start = b, stop
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, text) rows to blocks of texts: block, ids, ends, data, n_hashes."""
 
@@ -182,7 +195,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         def out():
             data = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends.tobytes()], pa.binary()), pa.array([_pack(data)], pa.binary()), pa.array([2 * len(Parse(data, ends).last)], pa.int64())], ["block", "ids", "ends", "data", "n_hashes"])
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends.tobytes()], pa.binary()), pa.array([_pack(data)], pa.binary()), pa.array([sum(2 * len(p.last) for p in pieces(data, ends))], pa.int64())], ["block", "ids", "ends", "data", "n_hashes"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -227,14 +240,13 @@ def exchange(sent: DataFrame) -> DataFrame:
 
 
 def _distinct(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes by bucket and value: the order, the first of each run of equal ones, the distinct ones, their buckets' ends, and each one's number."""
-    part = (h >> np.uint64(32)) % np.uint64(buckets)
+    """Hashes by value, which a bucket has a range of: the order, the first of each run of equal ones, the distinct ones, their buckets' ends, and each one's number."""
     order = np.argsort(h, kind="stable")
-    order = order[np.argsort(part[order].astype(np.int32), kind="stable")]
     s = h[order]
     lead = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
     starts = np.flatnonzero(lead)
-    return order, starts, s[starts], np.searchsorted(part[order[starts]], np.arange(buckets + 1)), np.cumsum(lead) - 1
+    s = s[starts]
+    return order, starts, s, np.searchsorted((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1)), np.cumsum(lead) - 1
 
 
 def _send(block: str, h: np.ndarray, kinds: np.ndarray | None, buckets: int):
@@ -268,70 +280,81 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     table = materialise(blocks(docs), "texts")
     buckets = max(1, -(-(table.agg(F.sum("n_hashes")).first()[0] or 0) // BUCKET_HASHES))
 
-    def parse(row: dict) -> Parse:
-        return Parse(_unpack(row["data"], np.uint8), np.frombuffer(row["ends"], "<i8"), length)
+    def parses(row: dict) -> Iterator[Parse]:
+        return pieces(_unpack(row["data"], np.uint8), np.frombuffer(row["ends"], "<i8"), length, PIECE_BYTES)
 
     def rows(batches):
         for b in batches:
             for i in range(b.num_rows):
                 yield b.slice(i, 1).to_pylist()[0]
 
+    def received(h: list[np.ndarray], got: list[dict] | None) -> list[np.ndarray]:
+        """The flags of each piece's hashes."""
+        return np.split(_receive(np.concatenate(h), got, buckets), np.cumsum([len(x) for x in h])[:-1])
+
     def one(batches):
         for r in rows(batches):
-            yield _send(r["block"], parse(r).level_one(), None, buckets)
+            yield _send(r["block"], np.concatenate([p.level_one() for p in parses(r)]), None, buckets)
 
     first = materialise(exchange(table.select("block", "ends", "data").mapInArrow(one, _SENT)), "flags").withColumnRenamed("flags", "one")
 
-    def level_two(r: dict):
-        p = parse(r)
-        all_repeat, stands, pairs = p.settle(_receive(p.level_one(), r["one"], buckets))
-        left = np.flatnonzero(~all_repeat & (p.high >= p.low))
-        ask_at, ask_own = p.strings(left, pairs)
-        asked = np.unique(ask_own)
-        asked = asked[asked + 1 < len(p.last)] + 1  # the first pair inside starts with the next phrase
-        stand = np.flatnonzero(stands)
-        stand = stand[stand + 1 < len(p.last)] + 1
-        return p, all_repeat, stands, pairs, ask_at, asked, stand
+    def settled(r: dict) -> list[tuple]:
+        """Each piece, what its flags of level one say, and the pairs that it asks for or stands for."""
+        own, out = list(parses(r)), []
+        for p, flags in zip(own, received([p.level_one() for p in own], r["one"]), strict=True):
+            all_repeat, stands, pairs = p.settle(flags)
+            left = np.flatnonzero(~all_repeat & (p.high >= p.low))
+            ask_at, ask_own = p.strings(left, pairs)
+            asked = np.unique(ask_own)
+            asked = asked[asked + 1 < len(p.last)] + 1  # the first pair inside starts with the next phrase
+            stand = np.flatnonzero(stands)
+            stand = stand[stand + 1 < len(p.last)] + 1
+            out.append((p, all_repeat, stands, pairs, ask_at, asked, stand))
+        return out
 
     def two(batches):
         for r in rows(batches):
-            p, _, _, _, _, asked, stand = level_two(r)
-            kinds = np.concatenate([np.zeros(len(asked), np.uint8), np.full(len(stand), UNASKED, np.uint8)])
-            yield _send(r["block"], np.concatenate([p.pair_hash[asked], p.pair_hash[stand]]), kinds, buckets)
+            h, kinds = [], []
+            for p, _, _, _, _, asked, stand in settled(r):
+                h += [p.pair_hash[asked], p.pair_hash[stand]]
+                kinds += [np.zeros(len(asked), np.uint8), np.full(len(stand), UNASKED, np.uint8)]
+            yield _send(r["block"], np.concatenate(h), np.concatenate(kinds), buckets)
 
     known = table.join(first, "block", "left")
     second = materialise(exchange(known.select("block", "ends", "data", "one").mapInArrow(two, _SENT)), "flags").withColumnRenamed("flags", "two")
 
-    def level_three(r: dict):
-        p, all_repeat, stands, pairs, ask_at, asked, stand = level_two(r)
-        h = np.concatenate([p.pair_hash[asked], p.pair_hash[stand]])
-        flags = _receive(h, r["two"], buckets)[len(asked) :]
-        wanted = np.zeros(len(p.last), bool)
-        wanted[stand[flags & WANTED > 0]] = True
-        at, _ = p.strings(np.flatnonzero(stands), np.ones(len(p.last), bool), wanted)
-        starts = np.concatenate([ask_at, at])
-        return p, all_repeat, starts, len(ask_at), p.hash(starts, starts + p.length), pairs
+    def level_three(found: list[tuple], got: list[dict] | None) -> list[np.ndarray]:
+        """Of each piece the hashes of the strings that it asks for, then of those that its classes stand for."""
+        out = []
+        sent = [np.concatenate([p.pair_hash[asked], p.pair_hash[stand]]) for p, _, _, _, _, asked, stand in found]
+        for (p, _, stands, _, ask_at, asked, stand), flags in zip(found, received(sent, got), strict=True):
+            wanted = np.zeros(len(p.last), bool)
+            wanted[stand[flags[len(asked) :] & WANTED > 0]] = True
+            at, _ = p.strings(np.flatnonzero(stands), np.ones(len(p.last), bool), wanted)
+            starts = np.concatenate([ask_at, at])
+            out.append(p.hash(starts, starts + p.length))
+        return out
 
     def three(batches):
         for r in rows(batches):
-            _, _, _, _, h, _ = level_three(r)
-            yield _send(r["block"], h, None, buckets)
+            yield _send(r["block"], np.concatenate(level_three(settled(r), r["two"])), None, buckets)
 
     known = known.join(second, "block", "left")
     third = materialise(exchange(known.select("block", "ends", "data", "one", "two").mapInArrow(three, _SENT)), "flags").withColumnRenamed("flags", "three")
 
     def last(batches):
         for r in rows(batches):
-            p, all_repeat, starts, asked, h, pairs = level_three(r)
-            flags = _receive(h, r["three"], buckets)[:asked]
-            sure = np.flatnonzero(all_repeat)
-            n = p.high[sure] - p.low[sure] + 1
-            whole = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(p.low[sure], n)
-            out = list(p.pieces(np.concatenate([whole, starts[:asked][flags & REPEATED > 0]])))
-            shared = p.shared(pairs)
-            for a in range(0, len(out), 500):
-                size, kept, removed, spans = zip(*out[a : a + 500], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r["ids"][a : a + 500], pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(shared[a : a + 500], pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared"])
+            found, done = settled(r), 0
+            for (p, all_repeat, _, pairs, ask_at, _, _), own in zip(found, received(level_three(found, r["two"]), r["three"]), strict=True):
+                sure = np.flatnonzero(all_repeat)
+                n = p.high[sure] - p.low[sure] + 1
+                whole = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(p.low[sure], n)
+                out = list(p.pieces(np.concatenate([whole, ask_at[own[: len(ask_at)] & REPEATED > 0]])))
+                shared, ids = p.shared(pairs), r["ids"][done : done + len(p.ends)]
+                done += len(p.ends)
+                for a in range(0, len(out), 500):
+                    size, kept, removed, spans = zip(*out[a : a + 500], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 500], pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(shared[a : a + 500], pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared"])
 
     known = known.join(third, "block", "left")
     return known.mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long")

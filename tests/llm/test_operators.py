@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -496,6 +497,24 @@ def test_passages_odd_rows(spark):
     assert passage_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_passages_of_texts_in_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(passage_dedup, "PIECE_BYTES", 1500)
+    test_passages_equal_brute_force(spark, 3, monkeypatch)
+
+
+def test_passage_blocks_are_hashed_a_piece_at_a_time():
+    rng = np.random.default_rng(4)
+    ends = np.cumsum(rng.integers(0, 4000, 1600))
+    data = rng.integers(97, 105, ends[-1]).astype(np.uint8)
+    tracemalloc.start()
+    own = list(passage_dedup.pieces(data, ends))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(data)  # the sums alone take 8
+    whole = passage_dedup.Parse(data, ends)
+    assert sum(len(p.ends) for p in own) == len(ends) and (np.concatenate([p.reach_hash for p in own]) == whole.reach_hash).all()
+
+
 # --- 8 mixing ------------------------------------------------------------------------------------------------------------
 
 
