@@ -386,6 +386,17 @@ def with_missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
     return clean_numbers(df, columns).withColumns({f"{c}__missing": finite(F.col(c).cast("double")).isNull().cast("double") for c in columns})
 
 
+def training_rows(df: DataFrame, columns: list[str], group: str, label: str) -> DataFrame:
+    """Balanced rows with flags for a forest, written once and dealt over all cores.
+
+    Rows are few bytes each, so that joins leave them in one or few partitions, while a row costs every tree at every level.
+    """
+    from lamella.operators.ranking import balance_weights
+
+    x = with_missing_flags(balance_weights(df, group, label), columns)
+    return stored(x.repartition(df.sparkSession.sparkContext.defaultParallelism), "training")
+
+
 def predict(model: PipelineModel, df: DataFrame, columns: list[str], threshold: float = 0.5, seen: DataFrame | None = None, key: str = "slide") -> DataFrame:
     """Probability, decision, share of missing features, and whether the slide was trained on."""
     x = model.transform(with_missing_flags(df, columns)).withColumn("probability", vector_to_array("probability")[1])
@@ -397,16 +408,18 @@ def predict(model: PipelineModel, df: DataFrame, columns: list[str], threshold:
 
 def cross_validate(df: DataFrame, columns: list[str], group: str, label: str, folds: int = 5, **kw) -> tuple[DataFrame, list[dict]]:
     """Out-of-fold probabilities, groups kept whole; folds that cannot be trained or judged are noted and left out."""
-    from lamella.operators.ranking import balance_weights, group_folds
+    from lamella.operators.ranking import group_folds
 
+    df = stored(df, "samples")  # features are computed once
     x = df.join(group_folds(df, group, folds), group)
+    seen = {(r["fold"], r[label]) for r in x.select("fold", label).distinct().collect()}  # a row a fold and label
     out, notes = None, []
     for k in range(folds):
         train, test = x.filter(F.col("fold") != k), x.filter(F.col("fold") == k)
-        if train.select(label).distinct().count() < 2 or test.isEmpty():
+        if len({y for fold, y in seen if fold != k}) < 2 or all(fold != k for fold, _ in seen):
             notes.append({"fold": k, "evaluated": False})
             continue
-        model = forest(columns, label, **kw).fit(with_missing_flags(balance_weights(train, group, label), columns))
+        model = forest(columns, label, **kw).fit(training_rows(train, columns, group, label))
         part = predict(model, test, columns).withColumn("fold", F.lit(k))
         out = part if out is None else out.unionByName(part)
         notes.append({"fold": k, "evaluated": True})

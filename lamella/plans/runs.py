@@ -120,7 +120,7 @@ def train(features: DataFrame, annotated: DataFrame, columns: list[str], label:
     """A model on all labelled cells, out-of-fold predictions, and metadata; the headline only if every fold was judged."""
     table, absent = labels.training_table(features, annotated, relational.KEYS, "patient_id", "slide", label)
     out, notes = learning.cross_validate(table, columns, "patient_id", label, folds, **kw)
-    model = learning.forest(columns, label, **kw).fit(learning.with_missing_flags(ranking.balance_weights(table, "patient_id", label), columns))
+    model = learning.forest(columns, label, **kw).fit(learning.training_rows(table, columns, "patient_id", label))
     complete = all(n["evaluated"] for n in notes)
     headline = learning.binary_metrics(out, label, "probability", 0.5).first().asDict() if complete and out is not None else None
     return model, out, {"absent": absent, "folds": notes, "metrics": headline}

@@ -237,3 +237,27 @@ def test_region_names_of_any_script(spark):
     names = [" Läsion 1 ", "日本", "a\tb", "x\u200by", "tube (left)", "\u00a0", None, "a/b", "_-_", "e\u0301"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(X.region_name(F.col("n"), F.lit(4))).collect()]
     assert got == ["Läsion_1", "日本", "ab", "xy", "tube_left", "Region_5", "Region_5", "ab", "_-_", "e"]
+
+
+def test_cross_validation_computes_features_once_and_trains_on_all_cores(spark, monkeypatch):
+    seen, parts = spark.sparkContext.accumulator(0), []
+
+    @F.udf("double")
+    def feature(v):
+        seen.add(1)
+        return float(v)
+
+    class Watched:
+        def __init__(self, own):
+            self.own = own
+
+        def fit(self, df):
+            parts.append(df.rdd.getNumPartitions())
+            return self.own.fit(df)
+
+    plain = learning.forest
+    monkeypatch.setattr(learning, "forest", lambda *a, **kw: Watched(plain(*a, trees=3, depth=3, **kw)))
+    df = spark.range(120).select("id", (F.col("id") % 4).alias("g"), feature("id").alias("f"), (F.col("id") % 3 == 0).cast("double").alias("y"))
+    out, notes = learning.cross_validate(df, ["f"], "g", "y", 2)
+    assert out.count() == 120 and [n["evaluated"] for n in notes] == [True, True]
+    assert seen.value == 120 and parts == [spark.sparkContext.defaultParallelism] * 2
