@@ -2,14 +2,15 @@
 
 ``decode`` reads prefix codes (simple and normal), meta prefix groups, back-references with the
 two-dimensional distance map, the colour cache, and inverts the predictor, cross-colour, subtract-green
-and colour-indexing transforms. Images whose four channel codes each have one length, without cache or
-groups, have a fixed stride and are read by array operations; all others are read symbol by symbol.
+and colour-indexing transforms. Images of one group without cache are read by array operations: what a code
+would give at every bit of a stretch is looked up at once, then the symbols' places are followed from one to the next.
+Images with groups or a cache are read symbol by symbol.
 
-``encode`` stores samples (three to a pixel, red, green, blue) with one-length prefix codes over the
-symbols in use, which keeps both ways in array operations. Stretches of ``RUN`` pixels or more that occur
-earlier in the image become back-references; images of up to 16 colours are stored through the
-colour-indexing transform, several pixels bundled in one. Codes of several lengths, the colour cache, groups
-and the other transforms are read but not written: symbols of different lengths can only be read one by one.
+``encode`` stores samples (three to a pixel, red, green, blue) with prefix codes of several lengths (Huffman, 15 bits at most),
+whose lengths are written run-length coded. Stretches of ``RUN`` pixels or more that occur earlier in the image become
+back-references; green is subtracted where that lowers the channels' entropy; images of up to 16 colours are stored through the
+colour-indexing transform, several pixels bundled in one. The colour cache, groups, predictors and cross-colour are read but
+not written.
 
 The operator keeps text as media: a text's UTF-8 bytes, padded by byte 32 to a positive multiple of
 ``UNIT``. Defined results: null text counts as empty (one unit of padding); equal texts give equal media
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ UNIT = 192
 RUN = 24  # pixels of the shortest back-reference
 FEW = 16  # colours up to which a palette is stored
 MOST = 1 << 14
+TOKEN = 128  # added to a length in green's code where its symbol is no literal
+STRETCH = 1 << 17  # bits that are looked up at once
 # Fixed values of the format: the order of code length codes, the hash of the colour cache.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 CACHE_HASH = 0x1E35A7BD
@@ -86,6 +90,7 @@ class PrefixCode:
             index += counts[n]
         if self.only is None and code != 1 << 15:
             raise ValueError("prefix code is not complete")
+        self.lengths = np.array([n for n, _ in used])
         self.width = 0 if self.only is not None else used[0][0] if used[0][0] == used[-1][0] else None
 
     def read(self, r: BitReader) -> int:
@@ -99,6 +104,21 @@ class PrefixCode:
         raise ValueError("no such code")
 
 
+def _table(code: PrefixCode) -> tuple[np.ndarray, np.ndarray, int]:
+    """Symbol and length by the next bits, first bit highest, and the number of these bits."""
+    if code.only is not None:
+        return np.array([code.only]), np.zeros(1, np.int32), 0
+    wide = int(code.lengths[-1])
+    times = 1 << wide - code.lengths
+    return np.repeat(np.array(code.symbols), times), np.repeat(code.lengths.astype(np.int32), times), wide
+
+
+@lru_cache
+def _turned(wide: int) -> list[int]:
+    """The numbers of so many bits, their bits in reverse order."""
+    return [int(f"{i:0{wide}b}"[::-1], 2) for i in range(1 << wide)] if wide else [0]
+
+
 def _read_code(r: BitReader, size: int) -> PrefixCode:
     if r.read(1):
         two = r.read(1)
@@ -113,20 +133,33 @@ def _read_code(r: BitReader, size: int) -> PrefixCode:
     if code.width == 1 and code.symbols[1] < 16:  # two plain lengths, a bit each
         pattern = bin(r.read(min(left, size)) | 1 << min(left, size))[:2:-1]
         return PrefixCode({i: code.symbols[b == "1"] for i, b in enumerate(pattern)})
+    symbols, bits, wide = _table(code)
+    turned = _turned(wide)
+    symbols, bits = symbols[turned].tolist(), bits[turned].tolist()
+    place = r.position()
+    ahead, read, mask = int.from_bytes(r.data[place // 8 : place // 8 + 2 * size + 8], "little") >> place % 8, 0, (1 << wide) - 1
     while at < size and left > 0:
         left -= 1
-        n = code.read(r)
+        n, k = symbols[ahead & mask], bits[ahead & mask]
+        ahead >>= k
+        read += k
         if n < 16:
-            lengths[at] = n
-            before = n or before
+            if n:
+                lengths[at] = before = n
             at += 1
         else:
-            times = 3 + r.read(2) if n == 16 else 3 + r.read(3) if n == 17 else 11 + r.read(7)
+            more, least = (2, 3) if n == 16 else (3, 3) if n == 17 else (7, 11)
+            times = least + (ahead & (1 << more) - 1)
+            ahead >>= more
+            read += more
             if at + times > size:
                 raise ValueError("too many code lengths")
             if n == 16:
                 lengths.update(dict.fromkeys(range(at, at + times), before))
             at += times
+    if place + read > 8 * len(r.data):
+        raise ValueError("media ends early")
+    r.go(place + read)
     return PrefixCode(lengths)
 
 
@@ -156,11 +189,10 @@ def _image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     total = width * height
     green, red, blue, alpha, far = codes[0]
     widths = [c.width for c in (green, red, blue, alpha)]
-    if groups == 1 and not cache_bits and None not in widths and max(widths) <= 8:
-        if max(green.symbols) < 256:
+    if groups == 1 and not cache_bits:
+        if None not in widths and max(widths) <= 8 and max(green.symbols) < 256:
             return _fixed_stride(r, total, [green, red, blue, alpha], widths)
-        if far.width is not None:
-            return _strides(r, total, width, [green, red, blue, alpha], widths, far)
+        return _followed(r, total, width, codes[0])
     out = np.zeros(total, np.uint32)
     cache = [0] * (1 << cache_bits)
     shift, at, cached = 32 - cache_bits, 0, 0
@@ -216,47 +248,53 @@ def _fixed_stride(r: BitReader, total: int, codes: list[PrefixCode], widths: lis
     return out
 
 
-def _strides(r: BitReader, total: int, width: int, codes: list[PrefixCode], widths: list[int], far: PrefixCode) -> np.ndarray:
-    """Literals of one stride between back-references: each stretch of literals is read at once."""
-    at, stride = r.position(), sum(widths)
-    base = at // 8 * 8
-    raw = np.frombuffer(r.data, np.uint8, offset=at // 8)
-    bits, at = np.unpackbits(raw, bitorder="little"), at % 8
-    tables = [np.array(c.symbols, np.uint32) for c in codes]
-    out, filled, most = np.zeros(total, np.uint32), 0, 256
-
-    def number(n: int) -> int:
-        nonlocal at
-        at += n
-        return int(bits[at - n : at] @ (1 << np.arange(n))) if n else 0
-
-    def prefixed(symbol: int) -> int:
-        return symbol + 1 if symbol < 4 else ((2 + (symbol & 1)) << (symbol - 2 >> 1)) + number(symbol - 2 >> 1) + 1
-
+def _followed(r: BitReader, total: int, width: int, codes: list[PrefixCode]) -> np.ndarray:
+    """Codes of any lengths: all bits of a stretch are looked up at once, then symbols are followed from place to place."""
+    start = r.position()
+    base = start // 8 * 8
+    raw = np.frombuffer(r.data, np.uint8, offset=start // 8)
+    end, at, filled = 8 * len(raw), start % 8, 0
+    tables = [_table(c) for c in codes]
+    marked = [(symbols, (own + TOKEN * (k == 0) * (symbols > 255)).astype(np.uint8), wide) for k, (symbols, own, wide) in enumerate(tables)]
+    out, literal, copies, found = np.zeros(total, np.uint32), np.ones(total, bool), [], []
     while filled < total:
-        m = min(most, total - filled, (len(bits) - at) // stride)
-        if m == 0:  # the last symbol may be shorter than a literal
-            bits, m = np.append(bits, np.zeros(stride, np.uint8)), 1
-            if at > len(bits) - stride:
-                raise ValueError("media ends early")
-        rows, channels, a = bits[at : at + m * stride].reshape(m, stride), [], 0
-        for n, table in zip(widths, tables, strict=True):
-            channels.append(table[np.packbits(rows[:, a : a + n], axis=1)[:, 0] >> (8 - n)] if n else np.full(m, table[0]))
-            a += n
-        green, red, blue, alpha = channels
-        far_off = np.flatnonzero(green >= 256)
-        stop = int(far_off[0]) if len(far_off) else m
-        out[filled : filled + stop] = alpha[:stop] << np.uint32(24) | red[:stop] << np.uint32(16) | green[:stop] << np.uint32(8) | blue[:stop]
-        filled += stop
-        at += stop * stride
-        most = 2 * most
-        if len(far_off):
-            at += widths[0]
-            length = prefixed(int(green[stop]) - 256)
-            code = 0
-            for _ in range(far.width):
-                code = code << 1 | number(1)
-            back = prefixed(far.symbols[code])
+        low = at
+        bits = np.unpackbits(raw[low // 8 : (low + STRETCH) // 8 + 40], bitorder="little")[low % 8 :]
+        size = min(STRETCH, len(bits))
+        bits = np.append(bits, np.zeros(256, np.uint8)).astype(np.uint16)
+        two = bits[:-1] << 1 | bits[1:]
+        four = two[:-2] << 2 | two[2:]
+        eight = four[:-4] << 4 | four[4:]
+        window = eight[: size + 128] << 7 | eight[8 : size + 136] >> 1  # the next 15 bits
+        # the length of each code's symbol at each bit; tokens of green are marked
+        green, red, blue, alpha, far = (own[window >> 15 - wide].tobytes() if wide else bytes(own[:1]) * len(window) for (_, own, wide) in marked)
+        alpha = alpha if tables[3][2] else b""
+        places, here = [], 0
+        append = places.append
+
+        def prefixed(symbol: int, at: int) -> tuple[int, int]:
+            """A length or distance, whose further bits stand here, and the place after them."""
+            if symbol < 4:
+                return symbol + 1, at
+            more = symbol - 2 >> 1
+            return ((2 + (symbol & 1)) << more) + sum(b << i for i, b in enumerate(bits[at : at + more].tolist())) + 1, at + more
+
+        while here < size and filled < total:
+            n = green[here]
+            if n < TOKEN:
+                append(here)
+                here += n
+                here += red[here]
+                here += blue[here]
+                if alpha:
+                    here += alpha[here]
+                filled += 1
+                continue
+            symbol = int(tables[0][0][window[here] >> 15 - tables[0][2]])
+            here += n - TOKEN
+            length, here = prefixed(symbol - 256, here)
+            symbol = int(tables[4][0][window[here] >> 15 - tables[4][2]])
+            back, here = prefixed(symbol, here + far[here])
             if back > 120:
                 back -= 120
             else:
@@ -264,9 +302,21 @@ def _strides(r: BitReader, total: int, width: int, codes: list[PrefixCode], widt
                 back = max(1, dx + dy * width)
             if back > filled or filled + length > total:
                 raise ValueError("back-reference leaves the image")
-            out[filled : filled + length] = np.resize(out[filled - back : filled], length) if back < length else out[filled - back : filled - back + length]
+            copies.append((filled, back, length))
+            literal[filled : filled + length] = False
             filled += length
-            most = 256
+        at = low + here
+        if at > end or (filled < total and at >= end):
+            raise ValueError("media ends early")
+        here, pixel = np.array(places, np.int64), np.uint32(0)
+        for (symbols, own, wide), shift in zip(tables[:4], (8, 16, 0, 24), strict=True):
+            ahead = window[here] >> 15 - wide
+            pixel = pixel | symbols[ahead].astype(np.uint32) << np.uint32(shift)
+            here = here + own[ahead]
+        found.append(pixel)
+    out[literal] = np.concatenate(found) if found else 0
+    for place, back, length in copies:
+        out[place : place + length] = np.resize(out[place - back : place], length) if back < length else out[place - back : place - back + length]
     r.go(base + at)
     return out
 
@@ -414,22 +464,84 @@ def _write_simple(w: BitWriter, symbols: list[int]) -> None:
         w.write(s, 8)
 
 
-def _write_one_length(w: BitWriter, symbols: list[int], n: int) -> None:
-    """A code of 2**n symbols, all n bits long."""
-    if n <= 1:
-        return _write_simple(w, symbols)
-    lengths = [0, 0, 1, *[1 if LENGTH_ORDER[i] == n else 0 for i in range(3, LENGTH_ORDER.index(n) + 1)]]
-    lengths += [0] * (4 - len(lengths))
-    w.write(0, 1)
-    w.write(len(lengths) - 4, 4)
-    for x in lengths:
-        w.write(x, 3)
-    w.write(1, 1)
-    wide = max(symbols) - 1 > 255
-    w.write(4 if wide else 3, 3)  # the number of lengths in 10 or 8 bits
-    w.write(max(symbols) + 1 - 2, 10 if wide else 8)
-    w.write(sum(1 << s for s in symbols), max(symbols) + 1)
-    return None
+def _huffman(counts: np.ndarray, most: int) -> np.ndarray:
+    """Code lengths of at most so many bits; rare symbols count for more where the code would be too long."""
+    used, least, out = np.flatnonzero(counts), 1, np.zeros(len(counts), np.int64)
+    n = len(used)
+    if n < 2:
+        out[used] = 1
+        return out
+    while True:
+        raised = np.maximum(counts[used], least)
+        order = np.argsort(raised, kind="stable")
+        weights, above, leaf, node = raised[order].tolist(), [0] * (2 * n - 1), 0, n
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (node == k or weights[leaf] <= weights[node]):
+                    i, leaf = leaf, leaf + 1
+                else:
+                    i, node = node, node + 1
+                total += weights[i]
+                above[i] = k
+            weights.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth[:n]) <= most:
+            out[used[order]] = depth[:n]
+            return out
+        least *= 2
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """The canonical codes, their first bits the highest of 16."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    size, out = 1 << 16 - lengths[used], np.zeros(len(lengths), np.uint16)
+    out[used] = np.cumsum(size) - size
+    return out
+
+
+def _write_code(w: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the code of symbols that occur so often; each symbol's code and its length."""
+    used = np.flatnonzero(counts)
+    lengths = _huffman(counts, 15)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        _write_simple(w, used.tolist() or [0])
+    else:
+        cuts = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist()]
+        said, plain = [], [(x, 0, 0) for x in range(16)]  # symbol, number of further bits, their value
+        for x, a, b in zip(lengths[cuts].tolist(), cuts, [*cuts[1:], len(lengths)], strict=True):
+            n = b - a
+            if x:
+                said.append(plain[x])
+                n -= 1
+            while n >= 3:
+                m = min(n, 6 if x else 138)
+                said.append((16, 2, m - 3) if x else (17, 3, m - 3) if m < 11 else (18, 7, m - 11))
+                n -= m
+            if n:
+                said += [plain[x]] * n
+        kinds = _huffman(np.bincount([k for k, _, _ in said], minlength=19), 7)
+        order = kinds[list(LENGTH_ORDER)].tolist()
+        while len(order) > 4 and not order[-1]:
+            order.pop()
+        w.write(0, 1)
+        w.write(len(order) - 4, 4)
+        for x in order:
+            w.write(x, 3)
+        w.write(0, 1)  # lengths of all symbols
+        codes = {int(k): (int(f"{c:016b}"[::-1], 2), int(kinds[k])) for k, c in enumerate(_codes(kinds).tolist()) if kinds[k]} if (kinds > 0).sum() > 1 else {}
+        bits = size = 0
+        for k, more, value in said:
+            code, n = codes.get(k, (0, 0))
+            bits |= (code | value << n) << size
+            size += n + more
+        w.write(bits, size)
+    if len(used) < 2:
+        lengths[:] = 0  # a single symbol takes no bits
+    return _codes(lengths), lengths
 
 
 def riff(data: bytes) -> bytes:
@@ -456,17 +568,6 @@ def shape(payload_bytes: int) -> tuple[int, int]:
     return 64 * wide, -(-rows // wide)
 
 
-def _one_length(w: BitWriter, used: np.ndarray, size: int, least: int = 0) -> tuple[int, np.ndarray]:
-    """Writes a one-length code that holds the used symbols; its length and each symbol's place in it."""
-    n = max(least, (len(used) - 1).bit_length())
-    rest = np.setdiff1d(np.arange(size), used)
-    symbols = np.sort(np.concatenate([used, rest[: (1 << n) - len(used)]]))
-    _write_one_length(w, symbols.tolist(), n)
-    place = np.zeros(size, np.int64)
-    place[symbols] = np.arange(len(symbols))
-    return n, place
-
-
 def _prefix(v: int) -> tuple[int, int, int]:
     """Symbol, number of further bits and their value, of a length or distance."""
     x = v - 1
@@ -522,42 +623,50 @@ def _write_image(w: BitWriter, px: np.ndarray, main: bool, copies: list[tuple[in
         literal[place : place + length] = False
     kept = px[literal]
     tokens = [(place, _prefix(min(4096, length - k)), _prefix(distance + 120)) for place, distance, length in copies for k in range(0, length, 4096)]
-    greens = np.unique(np.concatenate([kept >> 8 & 255, np.array([256 + t[0] for _, t, _ in tokens], px.dtype)])).astype(np.int64)
-    if len(greens) > 256:
-        return []
-    codes = [_one_length(w, greens, 280, 2 if tokens else 0)] + [_one_length(w, np.unique(kept >> shift & 255).astype(np.int64), 256) for shift in (16, 0, 24)]
-    if tokens:
-        codes.append(_one_length(w, np.unique([d[0] for _, _, d in tokens]).astype(np.int64), 40))
-    else:
-        _write_simple(w, [0])
-
-    def spread(place: np.ndarray, n: int) -> np.ndarray:
-        return np.unpackbits(place.astype(np.uint8)[:, None], axis=1)[:, 8 - n :]
-
-    rows = np.concatenate([spread(place[(kept >> shift & 255).astype(np.int64)], n) for (n, place), shift in zip(codes, (8, 16, 0, 24), strict=False)], axis=1)
+    channels = [(kept >> np.uint32(shift) & np.uint32(255)).astype(np.int64) for shift in (8, 16, 0, 24)]
+    symbols = [np.append(channels[0], [256 + t[0] for _, t, _ in tokens]).astype(np.int64), *channels[1:], np.array([d[0] for _, _, d in tokens], np.int64)]
+    codes = [_write_code(w, np.bincount(x, minlength=n)) for x, n in zip(symbols, (280, 256, 256, 256, 40), strict=True)]
+
+    def spread(code: np.ndarray) -> np.ndarray:
+        return np.unpackbits(code.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
+
+    code, sizes = np.zeros(len(kept), np.uint64), np.zeros(len(kept), np.uint64)
+    for (own, n), x in zip(codes, channels, strict=False):
+        if n.any():
+            code |= own.astype(np.uint64)[x] << np.uint64(48) >> sizes
+            sizes += n.astype(np.uint64)[x]
+    most = int(sizes.max(initial=0))
+    rows = np.unpackbits(code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, : most + 7 >> 3], axis=1)
+    rows = rows[np.arange(rows.shape[1]) < sizes[:, None]]
     if not tokens:
-        return [rows.ravel()]
+        return [rows]
+    ends = np.append(0, np.cumsum(sizes.astype(np.int64)))
     out, used, filled = [], 0, 0
     for place, length, distance in tokens:
         gap = max(0, place - filled)
-        out.append(rows[used : used + gap].ravel())
+        out.append(rows[ends[used] : ends[used + gap]])
         used += gap
-        for (n, places), symbol, (_, more, value) in ((codes[0], 256 + length[0], length), (codes[4], distance[0], distance)):
-            out.append(spread(places[[symbol]], n).ravel())
+        for (code, n), symbol, (_, more, value) in ((codes[0], 256 + length[0], length), (codes[4], distance[0], distance)):
+            out.append(spread(code[[symbol]])[0, : n[symbol]])
             out.append(np.array([value >> i & 1 for i in range(more)], np.uint8))
-        filled = place if gap else filled
         filled = max(filled, place) + (length[2] + ((2 + (length[0] & 1)) << length[1]) + 1 if length[0] >= 4 else length[0] + 1)
-    out.append(rows[used:].ravel())
+    out.append(rows[ends[used] :])
     return out
 
 
+def _entropy(px: np.ndarray) -> float:
+    """Bits of red and blue at their channels' entropy."""
+    counts = [np.bincount(px >> np.uint32(shift) & np.uint32(255)) for shift in (16, 0)]
+    return -sum(float((c[c > 0] * np.log2(c[c > 0] / len(px))).sum()) for c in counts)
+
+
 def _finish(w: BitWriter, bits: list[np.ndarray]) -> np.ndarray:
     head = np.frombuffer((w.bits).to_bytes((w.n + 7) // 8, "little"), np.uint8)
     return np.concatenate([np.unpackbits(head, bitorder="little")[: w.n], *bits])
 
 
 def encode(samples: np.ndarray, width: int, height: int) -> bytes:
-    """8-bit samples, three to a pixel, filled up by zeros, as lossless WebP with one-length codes."""
+    """8-bit samples, three to a pixel, filled up by zeros, as lossless WebP."""
     total = width * height
     if len(samples) < 3 * total:
         samples = np.concatenate([samples, np.zeros(3 * total - len(samples), np.uint8)])
@@ -578,13 +687,12 @@ def encode(samples: np.ndarray, width: int, height: int) -> bytes:
         rest.write(0, 1)  # no further transform
         bits = np.concatenate([bits, _finish(rest, _write_image(rest, packed, True, []))])
     else:
-        w.write(0, 1)  # no transform
-        mark = w.bits, w.n
-        found = _write_image(w, px, True, repeats(px))
-        if not found:  # more symbols than a one-length code holds
-            w.bits, w.n = mark
-            found = _write_image(w, px, True, [])
-        bits = _finish(w, found)
+        less = _green(px, -1)
+        if _entropy(less) < _entropy(px):
+            w.write(1 | 2 << 1, 3)  # a transform, subtract green
+            px = less
+        w.write(0, 1)  # no further transform
+        bits = _finish(w, _write_image(w, px, True, repeats(px)))
     return riff(np.packbits(bits, bitorder="little").tobytes())
 
 

@@ -361,6 +361,37 @@ def test_webp_distance_map():
     assert len(webp.NEAR) == 120 and webp.NEAR[:8] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2)] and webp.NEAR[-1] == (8, 7)
 
 
+def test_webp_stores_codes_of_several_lengths():
+    rnd = random.Random(6)
+    p = "".join(rnd.choices("abcdefghijklmnop", [60, *[1] * 15], k=192 * 400)).encode()
+    m = webp.encode(np.frombuffer(p, np.uint8), *webp.shape(len(p)))
+    assert webp.samples_of(webp.decode(m))[: len(p)].tobytes() == p
+    assert len(m) < 0.3 * len(p)  # four bits a sample by codes of one length
+
+
+def test_webp_code_lengths_are_limited_and_complete():
+    counts = [1, 1]
+    while len(counts) < 30:
+        counts.append(counts[-1] + counts[-2])
+    for most in (7, 15):
+        lengths = webp._huffman(np.array(counts), most)
+        assert lengths.max() <= most and (1 << 20 >> lengths).sum() == 1 << 20
+
+
+@pytest.mark.parametrize("kind", ["grey", "words", "bytes", "copies"])
+def test_webp_round_trips_of_large_images(kind):
+    rng = np.random.default_rng(3)
+    n = 192 * 700
+    grey = np.repeat(rng.integers(0, 256, n // 3).astype(np.uint8), 3)
+    words = rng.choice(np.frombuffer(b"etaoin shrdlu cmfwyp", np.uint8), n)
+    p = {"grey": grey, "words": words, "bytes": rng.integers(0, 256, n).astype(np.uint8), "copies": np.tile(words[: n // 5], 5)}[kind]
+    m = webp.encode(p, *webp.shape(len(p)))
+    assert (webp.samples_of(webp.decode(m))[: len(p)] == p).all()
+    assert len(m) < n * {"grey": 0.36, "words": 0.65, "bytes": 1.01, "copies": 0.2}[kind]
+    with pytest.raises(ValueError):
+        webp.decode(m[: len(m) // 2])
+
+
 def test_webp_round_trips(spark):
     for t in ["", None, "a" * 700, "".join(map(chr, range(1, 900))), LONG, "é" * 96]:
         n, p = webp.payload_of(t)
