@@ -27,6 +27,10 @@ Beside the removal, a text's shared stretches are given: maximal runs of phrases
 pairs occur elsewhere, where they hold ``PASSAGE`` bytes or more. They show passages that are repeated but
 shorter than ``length``, of which nothing is removed; they are exact to a phrase (about ``PHRASE`` bytes).
 
+Passages of over ``WORDS`` words that another text has, too, are given exactly: ``n_passage`` counts the bytes in runs of
+``WORDS`` + 1 words (with the white space between them, byte for byte) that occur in another text. They go through the same
+three steps: a run inside a reach that two texts have is sure, others are compared where all their pairs of phrases repeat.
+
 Defined results: null text counts as empty; texts shorter than ``length`` lose nothing; repeated rows
 repeat each other; null ids stay; an empty table gives an empty result; other columns pass by.
 """
@@ -35,7 +39,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,13 +54,17 @@ LENGTH = 400
 TRIGGER = 16
 PHRASE = 48  # the mean distance of triggers
 PASSAGE = 256
+WORDS = 50
 BLOCK_BYTES = 3 << 20
 PIECE_BYTES = 3 << 17  # of a block are hashed at a time
 BUCKET_HASHES = 1_500_000
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) | np.uint64(1)
-REPEATED, FIRST, WANTED = 1, 2, 4
-UNASKED, TWICE = 1, 2  # what a sender says of a hash: nobody in the block asks for it; the block has it twice
+_RUN = np.uint64(0xD6E8FEB86659FD93)  # sets the hashes of runs of words apart from those of strings
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+REPEATED, FIRST, WANTED, ACROSS = 1, 2, 4, 8
+# what a sender says of a hash: nobody in the block asks for it; the block has it twice; two texts of the block have it
+UNASKED, TWICE, TEXTS = 1, 2, 4
 
 
 @lru_cache(maxsize=4)
@@ -105,8 +113,8 @@ class Parse:
         self.low = np.maximum(self.first - TRIGGER + 1, self.text_start)
         self.low[self.first == self.text_start] = self.text_start[self.first == self.text_start]
         self.high = np.minimum(self.last - TRIGGER + 1, self.text_end - length)  # last start; below low: none
-        reach = np.minimum(self.last + 1 + length - TRIGGER, self.text_end)
-        self.reach_hash = _mix(self.hash(self.begin, reach) + (reach - self.begin).astype(np.uint64) + (self.text_end == reach).astype(np.uint64) * np.uint64(77 << 40))
+        reach = self.reach_end = np.minimum(self.last + 1 + length - TRIGGER, self.text_end)
+        self.reach_hash = _mix(self.hash(self.begin, reach) + (reach - self.begin).astype(np.uint64) + (self.text_end == reach).astype(np.uint64) * np.uint64(77 << 40) + (self.first == self.text_start).astype(np.uint64) * np.uint64(5 << 44))
         nxt = np.minimum(np.arange(m) + 1, m - 1)
         self.pair_ok = (np.arange(m) + 1 < m) & (self.text_end[nxt] == self.text_end) if m else np.zeros(0, bool)
         stop = self.last[nxt] + 1 if m else np.zeros(0, np.int64)
@@ -119,12 +127,16 @@ class Parse:
     def level_one(self) -> np.ndarray:
         return np.concatenate([self.reach_hash, self.pair_hash])
 
-    def settle(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per phrase: its strings all repeat; it represents a class; per pair: repeated."""
+    def settle(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per phrase: its strings all repeat; it represents a class; another text has its reach; per pair: repeated."""
         m = len(self.last)
         some = self.high >= self.low
         reach, pair = flags[:m], flags[m:]
-        return (reach & REPEATED > 0) & some, (reach & REPEATED > 0) & (reach & FIRST > 0) & some, pair & REPEATED > 0
+        return (reach & REPEATED > 0) & some, (reach & REPEATED > 0) & (reach & FIRST > 0), reach & ACROSS > 0, pair & REPEATED > 0
+
+    def texts(self, starts: np.ndarray) -> np.ndarray:
+        """The text of each start."""
+        return np.searchsorted(self.ends, starts, "right")
 
     def strings(self, phrases: np.ndarray, pair_repeats: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the strings of these phrases that may repeat, and the phrase of each.
@@ -134,16 +146,55 @@ class Parse:
         n = np.maximum(0, self.high[phrases] - self.low[phrases] + 1)
         own = np.repeat(phrases, n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.low[phrases], n)
-        holds = np.searchsorted(self.last, at + self.length - 1, "left")  # the phrase of the last byte
+        ok = self.may(own, at + self.length - 1, np.searchsorted(self.last, at + self.length - 1, "left"), pair_repeats, wanted)
+        return at[ok], own[ok]
+
+    def may(self, own: np.ndarray, end: np.ndarray, holds: np.ndarray, pair_repeats: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Whether strings may repeat, of their phrases, their last bytes and these bytes' phrases."""
         # a phrase that a trigger ends with the string is whole, too
-        whole_end = np.where((self.last[holds] == at + self.length - 1) & self.natural[holds], holds + 1, holds)
+        whole_end = np.where((self.last[holds] == end) & self.natural[holds], holds + 1, holds)
         inside = whole_end - own - 1
         bad = np.concatenate([[0], np.cumsum(~pair_repeats)])
         few = inside <= 1
         ok = few | (bad[np.maximum(whole_end - 1, 0)] - bad[np.minimum(own + 1, len(self.last))] == 0)
         if wanted is not None:
             ok &= few | wanted[np.minimum(own + 1, len(self.last) - 1)]
-        return at[ok], own[ok]
+        return ok
+
+    @cached_property
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of WORDS + 1 words, the phrase of each and that of its last byte."""
+        none = np.zeros(0, np.int64)
+        if self.n == 0:
+            return none, none, none, none
+        space = _SPACE[self.data]
+        before, after = np.append(True, space[:-1]), np.append(space[1:], True)
+        edges = self.ends[self.ends > 0]
+        before[edges[edges < self.n]] = True
+        after[edges - 1] = True
+        start, stop = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        start, stop = start[: max(0, len(start) - WORDS)], stop[WORDS:]
+        phrase = np.repeat(np.arange(len(self.last)), np.diff(self.last, prepend=-1))
+        own, holds = phrase[np.minimum(start + TRIGGER - 1, stop - 1)], phrase[stop - 1]
+        ok = self.text_end[own] >= stop  # in one text
+        ok &= start >= self.text_start[own]
+        return start[ok], stop[ok], own[ok], holds[ok]
+
+    def ask_runs(self, across: np.ndarray, pair_repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per run of words: a reach that another text has holds it and the bytes beside it; else: it may repeat."""
+        start, stop, own, holds = self.runs
+        sure = across[own] & (start > self.begin[own]) & ((stop < self.reach_end[own]) | (stop == self.text_end[own]))
+        return sure, ~sure & self.may(own, stop - 1, holds, pair_repeats)
+
+    def run_hash(self, which: np.ndarray) -> np.ndarray:
+        start, stop, _, _ = self.runs
+        return self.hash(start[which], stop[which]) ^ _RUN
+
+    def in_runs(self, which: np.ndarray) -> np.ndarray:
+        """Per text: bytes in these runs of words."""
+        start, stop, own, _ = (x[which] for x in self.runs)
+        fresh = np.maximum(start, np.append(0, stop[:-1])) if len(start) else start  # starts and stops ascend
+        return np.bincount(self.texts(self.last[own]), stop - fresh, len(self.ends)).astype(np.int64)
 
     def shared(self, pairs: np.ndarray) -> np.ndarray:
         """Per text: bytes in shared stretches."""
@@ -214,7 +265,8 @@ def blocks(docs: DataFrame) -> DataFrame:
 def exchange(sent: DataFrame) -> DataFrame:
     """(bucket, block, hashes, kinds) to one row a block: block, flags: a list of (bucket, flags).
 
-    REPEATED: the hash was sent twice at least; FIRST: this is its first sender; WANTED: some sender asks for it.
+    REPEATED: the hash was sent twice at least; FIRST: this is its first sender; WANTED: some sender asks for it;
+    ACROSS: two texts have it.
     """
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,10 +278,11 @@ def exchange(sent: DataFrame) -> DataFrame:
         s, k = h[order], kind[order]
         starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         size = np.diff(np.append(starts, len(s)))
-        repeated = (size > 1) | (np.bitwise_or.reduceat(k, starts) & TWICE > 0)
+        said = np.bitwise_or.reduceat(k, starts)
+        repeated, across = (size > 1) | (said & TWICE > 0), (size > 1) | (said & TEXTS > 0)
         wanted = np.bitwise_and.reduceat(k, starts) & UNASKED == 0
         flags = np.empty(len(h), np.uint8)
-        flags[order] = np.repeat(repeated * REPEATED + wanted * WANTED, size)
+        flags[order] = np.repeat((repeated * REPEATED + wanted * WANTED + across * ACROSS).astype(np.uint8), size)
         flags[order[starts]] |= FIRST
         cuts = np.cumsum([len(p) for p in parts])
         pdf = pdf[["block", "bucket"]].copy()
@@ -249,10 +302,13 @@ def _distinct(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.n
     return order, starts, s, np.searchsorted((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1)), np.cumsum(lead) - 1
 
 
-def _send(block: str, h: np.ndarray, kinds: np.ndarray | None, buckets: int):
+def _send(block: str, h: np.ndarray, kinds: np.ndarray | None, buckets: int, texts: np.ndarray | None = None):
     order, starts, distinct, cuts, _ = _distinct(h, buckets)
     said = np.diff(np.append(starts, len(h))) > 1
     said = said * np.uint8(TWICE) | (np.full(len(starts), UNASKED, np.uint8) if kinds is None else np.bitwise_and.reduceat(kinds[order], starts) if len(starts) else np.zeros(0, np.uint8))
+    if texts is not None and len(starts):
+        own = texts[order]
+        said |= (np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts)) * np.uint8(TEXTS)
     used = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
     hashes = [_pack(distinct[cuts[k] : cuts[k + 1]]) for k in used]
     parts = [said[cuts[k] : cuts[k + 1]] for k in used]
@@ -275,7 +331,7 @@ _SENT = "bucket long, block string, hashes binary, kinds binary"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text) rows to doc_id, n_bytes, n_removed, n_spans, kept (binary), n_shared."""
+    """(doc_id, text) rows to doc_id, n_bytes, n_removed, n_spans, kept (binary), n_shared, n_passage."""
     small_batches(docs.sparkSession)
     table = materialise(blocks(docs), "texts")
     buckets = max(1, -(-(table.agg(F.sum("n_hashes")).first()[0] or 0) // BUCKET_HASHES))
@@ -292,30 +348,41 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         """The flags of each piece's hashes."""
         return np.split(_receive(np.concatenate(h), got, buckets), np.cumsum([len(x) for x in h])[:-1])
 
+    def numbered(of: list[np.ndarray], own: list[Parse]) -> np.ndarray:
+        """The texts' numbers in the block, of those in each piece."""
+        before = np.cumsum([0] + [len(p.ends) for p in own])
+        return np.concatenate([x + n for x, n in zip(of, before[:-1], strict=True)])
+
     def one(batches):
         for r in rows(batches):
-            yield _send(r["block"], np.concatenate([p.level_one() for p in parses(r)]), None, buckets)
+            h, of, n = [], [], 0
+            for p in parses(r):
+                h.append(p.level_one())
+                of.append(np.tile(p.texts(p.last) + n, 2).astype(np.int32))
+                n += len(p.ends)
+            yield _send(r["block"], np.concatenate(h), None, buckets, np.concatenate(of))
 
     first = materialise(exchange(table.select("block", "ends", "data").mapInArrow(one, _SENT)), "flags").withColumnRenamed("flags", "one")
 
     def settled(r: dict) -> list[tuple]:
-        """Each piece, what its flags of level one say, and the pairs that it asks for or stands for."""
+        """Each piece, what its flags of level one say, the pairs that it asks for or stands for, its runs of words."""
         own, out = list(parses(r)), []
         for p, flags in zip(own, received([p.level_one() for p in own], r["one"]), strict=True):
-            all_repeat, stands, pairs = p.settle(flags)
+            all_repeat, stands, across, pairs = p.settle(flags)
             left = np.flatnonzero(~all_repeat & (p.high >= p.low))
             ask_at, ask_own = p.strings(left, pairs)
-            asked = np.unique(ask_own)
+            sure, ask_run = p.ask_runs(across, pairs)
+            asked = np.unique(np.concatenate([ask_own, p.runs[2][ask_run]]))
             asked = asked[asked + 1 < len(p.last)] + 1  # the first pair inside starts with the next phrase
             stand = np.flatnonzero(stands)
             stand = stand[stand + 1 < len(p.last)] + 1
-            out.append((p, all_repeat, stands, pairs, ask_at, asked, stand))
+            out.append((p, all_repeat, stands, pairs, ask_at, asked, stand, sure, ask_run))
         return out
 
     def two(batches):
         for r in rows(batches):
             h, kinds = [], []
-            for p, _, _, _, _, asked, stand in settled(r):
+            for p, _, _, _, _, asked, stand, _, _ in settled(r):
                 h += [p.pair_hash[asked], p.pair_hash[stand]]
                 kinds += [np.zeros(len(asked), np.uint8), np.full(len(stand), UNASKED, np.uint8)]
             yield _send(r["block"], np.concatenate(h), np.concatenate(kinds), buckets)
@@ -323,21 +390,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     known = table.join(first, "block", "left")
     second = materialise(exchange(known.select("block", "ends", "data", "one").mapInArrow(two, _SENT)), "flags").withColumnRenamed("flags", "two")
 
-    def level_three(found: list[tuple], got: list[dict] | None) -> list[np.ndarray]:
-        """Of each piece the hashes of the strings that it asks for, then of those that its classes stand for."""
-        out = []
-        sent = [np.concatenate([p.pair_hash[asked], p.pair_hash[stand]]) for p, _, _, _, _, asked, stand in found]
-        for (p, _, stands, _, ask_at, asked, stand), flags in zip(found, received(sent, got), strict=True):
-            wanted = np.zeros(len(p.last), bool)
+    def level_three(found: list[tuple], got: list[dict] | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of each piece the hashes of the strings and runs of words that it asks for, then of those that its classes stand for; their texts."""
+        out, of = [], []
+        sent = [np.concatenate([p.pair_hash[asked], p.pair_hash[stand]]) for p, _, _, _, _, asked, stand, _, _ in found]
+        for (p, _, stands, _, ask_at, asked, stand, sure, ask_run), flags in zip(found, received(sent, got), strict=True):
+            every, wanted = np.ones(len(p.last), bool), np.zeros(len(p.last), bool)
             wanted[stand[flags[len(asked) :] & WANTED > 0]] = True
-            at, _ = p.strings(np.flatnonzero(stands), np.ones(len(p.last), bool), wanted)
-            starts = np.concatenate([ask_at, at])
-            out.append(p.hash(starts, starts + p.length))
-        return out
+            at, _ = p.strings(np.flatnonzero(stands), every, wanted)
+            start, stop, own, holds = p.runs
+            ask_run, stand_run = np.flatnonzero(ask_run), np.flatnonzero(sure & stands[own])
+            stand_run = stand_run[p.may(own[stand_run], stop[stand_run] - 1, holds[stand_run], every, wanted)]
+            out.append(np.concatenate([p.hash(ask_at, ask_at + p.length), p.run_hash(ask_run), p.hash(at, at + p.length), p.run_hash(stand_run)]))
+            of.append(p.texts(np.concatenate([ask_at, start[ask_run], at, start[stand_run]])).astype(np.int32))
+        return out, of
 
     def three(batches):
         for r in rows(batches):
-            yield _send(r["block"], np.concatenate(level_three(settled(r), r["two"])), None, buckets)
+            found = settled(r)
+            h, of = level_three(found, r["two"])
+            yield _send(r["block"], np.concatenate(h), None, buckets, numbered(of, [x[0] for x in found]))
 
     known = known.join(second, "block", "left")
     third = materialise(exchange(known.select("block", "ends", "data", "one", "two").mapInArrow(three, _SENT)), "flags").withColumnRenamed("flags", "three")
@@ -345,21 +417,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def last(batches):
         for r in rows(batches):
             found, done = settled(r), 0
-            for (p, all_repeat, _, pairs, ask_at, _, _), own in zip(found, received(level_three(found, r["two"]), r["three"]), strict=True):
+            for (p, all_repeat, _, pairs, ask_at, _, _, passage, ask_run), own in zip(found, received(level_three(found, r["two"])[0], r["three"]), strict=True):
                 sure = np.flatnonzero(all_repeat)
                 n = p.high[sure] - p.low[sure] + 1
                 whole = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(p.low[sure], n)
                 out = list(p.pieces(np.concatenate([whole, ask_at[own[: len(ask_at)] & REPEATED > 0]])))
-                shared, ids = p.shared(pairs), r["ids"][done : done + len(p.ends)]
+                passage[ask_run] = own[len(ask_at) : len(ask_at) + ask_run.sum()] & ACROSS > 0
+                shared, passages, ids = p.shared(pairs), p.in_runs(passage), r["ids"][done : done + len(p.ends)]
                 done += len(p.ends)
                 for a in range(0, len(out), 500):
                     size, kept, removed, spans = zip(*out[a : a + 500], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 500], pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(shared[a : a + 500], pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 500], pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(shared[a : a + 500], pa.int64()), pa.array(passages[a : a + 500], pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared", "n_passage"])
 
     known = known.join(third, "block", "left")
-    return known.mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long")
+    return known.mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long, n_passage long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = remove_repeats(documents(spark, sf_dir))
-    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "n_shared")
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "n_shared", "n_passage")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -194,6 +195,34 @@ def test_shared_stretches(spark):
     assert [got[i].n_shared for i in range(2, 7)] == [0] * 5
 
 
+@pytest.mark.parametrize("piece", [1500, 3 << 17])
+def test_passages_of_over_50_words_by_brute_force(spark, piece, monkeypatch):
+    monkeypatch.setattr(passage_dedup, "PIECE_BYTES", piece)
+    monkeypatch.setattr(passage_dedup, "BLOCK_BYTES", 20_000)
+    rnd = random.Random(13)
+    words = lambda n, longest=7: "".join("".join(rnd.choices("abcdefghij", k=rnd.randint(1, longest))) + rnd.choice([" ", " ", "\n", " \t"]) for _ in range(n))
+    planted = [words(n, longest) for n, longest in ((49, 7), (50, 7), (51, 7), (51, 3), (52, 9), (60, 7), (90, 2), (120, 7), (51, 40))]
+    texts = [words(rnd.randint(0, 80)) + rnd.choice(planted) + words(rnd.randint(0, 80)) for _ in range(60)]
+    twice = words(75)
+    texts += [twice + words(9) + twice, twice[3:] + words(5), planted[7], planted[7].strip(), "x" + planted[7], texts[0], texts[1] + texts[0], words(400), "a " * 300, "é " * 51, "é " * 90, None, ""]
+    inner = words(130)
+    texts.append(inner + words(20) + inner)  # repeats, but in no other text
+    raw, size, holders = [(t or "").encode() for t in texts], passage_dedup.WORDS + 1, defaultdict(set)
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raw]
+    for i, (b, at) in enumerate(zip(raw, places, strict=True)):
+        for k in range(len(at) - size + 1):
+            holders[b[at[k][0] : at[k + size - 1][1]]].add(i)
+    got = {r.doc_id: r for r in passage_dedup.remove_repeats(frame(spark, texts)).collect()}
+    for i, (b, at) in enumerate(zip(raw, places, strict=True)):
+        own = np.zeros(len(b), bool)
+        for k in range(len(at) - size + 1):
+            a, z = at[k][0], at[k + size - 1][1]
+            if len(holders[b[a:z]]) > 1:
+                own[a:z] = True
+        assert got[i].n_passage == own.sum(), i
+    assert got[len(texts) - 1].n_passage == 0 < got[len(texts) - 1].n_removed
+
+
 # --- 2 line dedup --------------------------------------------------------------------------------------------------------
 
 
