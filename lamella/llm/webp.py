@@ -3,17 +3,18 @@
 ``decode`` reads prefix codes (simple and normal), meta prefix groups, back-references with the
 two-dimensional distance map, the colour cache, and inverts the predictor, cross-colour, subtract-green
 and colour-indexing transforms. Images of one group without cache are read by array operations: what a code
-would give at every bit of a stretch is looked up at once, then the symbols' places are followed from one to the next.
-Images with groups or a cache are read symbol by symbol.
+would give at every bit of a stretch is looked up at once, and from it the places one, two, four and eight symbols on; these are
+followed. Images with groups or a cache are read symbol by symbol.
 
-``encode`` stores samples (three to a pixel, red, green, blue) with prefix codes of several lengths (Huffman, 15 bits at most),
+``encode`` stores samples (three to a pixel, red, green, blue, or one to a pixel, as grey) with prefix codes of several lengths (Huffman, 15 bits at most),
 whose lengths are written run-length coded. Stretches of ``RUN`` pixels or more that occur earlier in the image become
 back-references; green is subtracted where that lowers the channels' entropy; images of up to 16 colours are stored through the
 colour-indexing transform, several pixels bundled in one. The colour cache, groups, predictors and cross-colour are read but
 not written.
 
 The operator keeps text as media: a text's UTF-8 bytes, padded by byte 32 to a positive multiple of
-``UNIT``. Defined results: null text counts as empty (one unit of padding); equal texts give equal media
+``UNIT``, a grey picture of one byte a pixel (of three, where such a picture would be too large for the format). With green subtracted,
+a grey picture needs one code, and repeats of bytes are found at any offset. Defined results: null text counts as empty (one unit of padding); equal texts give equal media
 and features; repeated rows and null ids stay, one result row each; other columns pass by. ``encode`` and ``decode``
 raise ValueError for a payload beyond 16384 x 16384 pixels and for bytes that are not valid media; such a row of the
 operator has null media, or null digests and feature.
@@ -36,7 +37,6 @@ UNIT = 192
 RUN = 24  # pixels of the shortest back-reference
 FEW = 16  # colours up to which a palette is stored
 MOST = 1 << 14
-TOKEN = 128  # added to a length in green's code where its symbol is no literal
 STRETCH = 1 << 17  # bits that are looked up at once
 # Fixed values of the format: the order of code length codes, the hash of the colour cache.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -107,10 +107,15 @@ class PrefixCode:
 def _table(code: PrefixCode) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbol and length by the next bits, first bit highest, and the number of these bits."""
     if code.only is not None:
-        return np.array([code.only]), np.zeros(1, np.int32), 0
+        return np.array([code.only]), np.zeros(1, np.int64), 0
     wide = int(code.lengths[-1])
     times = 1 << wide - code.lengths
-    return np.repeat(np.array(code.symbols), times), np.repeat(code.lengths.astype(np.int32), times), wide
+    return np.repeat(np.array(code.symbols), times), np.repeat(code.lengths, times), wide
+
+
+@lru_cache(maxsize=1024)
+def _simple(one: int, two: int) -> PrefixCode:
+    return PrefixCode({one: 1, two: 1})
 
 
 @lru_cache
@@ -122,10 +127,8 @@ def _turned(wide: int) -> list[int]:
 def _read_code(r: BitReader, size: int) -> PrefixCode:
     if r.read(1):
         two = r.read(1)
-        lengths = {r.read(8 if r.read(1) else 1): 1}
-        if two:
-            lengths[r.read(8)] = 1
-        return PrefixCode(lengths)
+        symbol = r.read(8 if r.read(1) else 1)
+        return _simple(symbol, r.read(8) if two else symbol)
     of = {LENGTH_ORDER[i]: r.read(3) for i in range(4 + r.read(4))}
     code = PrefixCode(of)
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
@@ -248,53 +251,86 @@ def _fixed_stride(r: BitReader, total: int, codes: list[PrefixCode], widths: lis
     return out
 
 
+def _reversed(bits: int) -> np.ndarray:
+    """The numbers of so many bits, their bits in reverse order."""
+    out = np.zeros(1, np.uint32)
+    for _ in range(bits):
+        out = np.concatenate([out << np.uint32(1), out << np.uint32(1) | np.uint32(1)])
+    return out
+
+
+_REVERSED_8, _REVERSED_16 = _reversed(8), _reversed(16)
+_SHIFTS = np.arange(9, 1, -1)
+
+
 def _followed(r: BitReader, total: int, width: int, codes: list[PrefixCode]) -> np.ndarray:
-    """Codes of any lengths: all bits of a stretch are looked up at once, then symbols are followed from place to place."""
+    """Codes of any lengths: all bits of a stretch are looked up at once, then symbols are followed from place to place, eight a step where no back-reference lies."""
     start = r.position()
     base = start // 8 * 8
     raw = np.frombuffer(r.data, np.uint8, offset=start // 8)
     end, at, filled = 8 * len(raw), start % 8, 0
     tables = [_table(c) for c in codes]
-    marked = [(symbols, (own + TOKEN * (k == 0) * (symbols > 255)).astype(np.uint8), wide) for k, (symbols, own, wide) in enumerate(tables)]
-    out, literal, copies, found = np.zeros(total, np.uint32), np.ones(total, bool), [], []
+    out, copies, found = np.empty(total, np.uint32), [], []
+    moves = np.where(tables[0][0] < 256, tables[0][1], 0)  # the length of a literal's green
+    with_tokens = max(codes[0].symbols) > 255
+
+    def prefixed(symbol: int, at: int) -> tuple[int, int]:
+        """A length or distance, whose further bits stand here, and the place after them."""
+        if symbol < 4:
+            return symbol + 1, at
+        more = symbol - 2 >> 1
+        ahead = int.from_bytes(raw[at // 8 : at // 8 + 5].tobytes(), "little") >> at % 8
+        return ((2 + (symbol & 1)) << more) + (ahead & (1 << more) - 1) + 1, at + more
+
     while filled < total:
-        low = at
-        bits = np.unpackbits(raw[low // 8 : (low + STRETCH) // 8 + 40], bitorder="little")[low % 8 :]
-        size = min(STRETCH, len(bits))
-        bits = np.append(bits, np.zeros(256, np.uint8)).astype(np.uint16)
-        two = bits[:-1] << 1 | bits[1:]
-        four = two[:-2] << 2 | two[2:]
-        eight = four[:-4] << 4 | four[4:]
-        window = eight[: size + 128] << 7 | eight[8 : size + 136] >> 1  # the next 15 bits
-        # the length of each code's symbol at each bit; tokens of green are marked
-        green, red, blue, alpha, far = (own[window >> 15 - wide].tobytes() if wide else bytes(own[:1]) * len(window) for (_, own, wide) in marked)
-        alpha = alpha if tables[3][2] else b""
-        places, here = [], 0
-        append = places.append
-
-        def prefixed(symbol: int, at: int) -> tuple[int, int]:
-            """A length or distance, whose further bits stand here, and the place after them."""
-            if symbol < 4:
-                return symbol + 1, at
-            more = symbol - 2 >> 1
-            return ((2 + (symbol & 1)) << more) + sum(b << i for i, b in enumerate(bits[at : at + more].tolist())) + 1, at + more
-
-        while here < size and filled < total:
-            n = green[here]
-            if n < TOKEN:
-                append(here)
-                here += n
-                here += red[here]
-                here += blue[here]
-                if alpha:
-                    here += alpha[here]
-                filled += 1
-                continue
-            symbol = int(tables[0][0][window[here] >> 15 - tables[0][2]])
-            here += n - TOKEN
-            length, here = prefixed(symbol - 256, here)
-            symbol = int(tables[4][0][window[here] >> 15 - tables[4][2]])
-            back, here = prefixed(symbol, here + far[here])
+        low = at // 8 * 8
+        size = min(STRETCH, end - low)
+        mirrored = np.zeros((size >> 3) + 18, np.int64)
+        some = raw[low // 8 : low // 8 + len(mirrored)]
+        mirrored[: len(some)] = _REVERSED_8[some]
+        three = mirrored[:-2] << 16 | mirrored[1:-1] << 8 | mirrored[2:]
+        window = (three[:, None] >> _SHIFTS & 0x7FFF).ravel()  # the next 15 bits at each bit
+        next_ = np.arange(len(window))
+        stop = next_[:size] + moves[window[:size] >> 15 - tables[0][2]]
+        tokens = stop == next_[:size] if with_tokens else None
+        for _, own, wide in tables[1:4]:
+            if wide:
+                stop += own[window[stop] >> 15 - wide]
+        if tokens is not None:  # they and the stretch's end stay
+            stop[tokens] = np.flatnonzero(tokens)
+        next_[:size] = stop
+        two = next_[next_]
+        four = two[two]
+        one, eight = memoryview(next_), memoryview(four[four])
+        steps, singles, p = [], [], at - low
+        step, single = steps.append, singles.append
+        while p < size and filled < total:
+            left = total - filled - 8
+            while left >= 0:
+                q = eight[p]
+                if one[q] == q:
+                    break
+                step(p)
+                p = q
+                left -= 8
+            left += 8
+            while left:
+                q = one[p]
+                if q == p:
+                    break
+                single(p)
+                p = q
+                left -= 1
+            filled = total - left
+            if not left or p >= size:
+                break
+            green, own, wide = tables[0]
+            ahead = window[p] >> 15 - wide
+            length, p = prefixed(int(green[ahead]) - 256, low + p + int(own[ahead]))
+            far, own, wide = tables[4]
+            ahead = window[p - low] >> 15 - wide
+            back, p = prefixed(int(far[ahead]), p + int(own[ahead]))
+            p -= low
             if back > 120:
                 back -= 120
             else:
@@ -303,20 +339,30 @@ def _followed(r: BitReader, total: int, width: int, codes: list[PrefixCode]) ->
             if back > filled or filled + length > total:
                 raise ValueError("back-reference leaves the image")
             copies.append((filled, back, length))
-            literal[filled : filled + length] = False
             filled += length
-        at = low + here
+        at = low + p
         if at > end or (filled < total and at >= end):
             raise ValueError("media ends early")
-        here, pixel = np.array(places, np.int64), np.uint32(0)
+        here = np.array(steps, np.int64)[:, None]
+        for then in (next_, two, four):
+            here = np.concatenate([here, then[here]], axis=1)
+        here = np.sort(np.append(here.ravel(), np.array(singles, np.int64)))
+        pixel = np.zeros(len(here), np.uint32)
         for (symbols, own, wide), shift in zip(tables[:4], (8, 16, 0, 24), strict=True):
-            ahead = window[here] >> 15 - wide
-            pixel = pixel | symbols[ahead].astype(np.uint32) << np.uint32(shift)
-            here = here + own[ahead]
+            if wide:
+                ahead = window[here] >> 15 - wide
+                pixel |= symbols[ahead].astype(np.uint32) << np.uint32(shift)
+                here = here + own[ahead]
+            else:
+                pixel |= np.uint32(int(symbols[0]) << shift)
         found.append(pixel)
-    out[literal] = np.concatenate(found) if found else 0
+    literals, used, done = np.concatenate(found) if len(found) > 1 else found[0], 0, 0
     for place, back, length in copies:
+        out[done:place] = literals[used : used + place - done]
+        used += place - done
         out[place : place + length] = np.resize(out[place - back : place], length) if back < length else out[place - back : place - back + length]
+        done = place + length
+    out[done:] = literals[used:]
     r.go(base + at)
     return out
 
@@ -385,9 +431,10 @@ def _cross(image: np.ndarray, width: int, factors: np.ndarray, bits: int, sign:
 
 
 def _green(image: np.ndarray, sign: int) -> np.ndarray:
-    g = (image >> 8 & 255).astype(np.int64)
-    red, blue = (image >> 16 & 255) + sign * g & 255, (image & 255) + sign * g & 255
-    return image & np.uint32(0xFF00FF00) | red.astype(np.uint32) << np.uint32(16) | blue.astype(np.uint32)
+    g = (image >> np.uint32(8) & np.uint32(255)) * np.uint32(0x10001)
+    if sign < 0:
+        return image & np.uint32(0xFF00FF00) | (image | np.uint32(0xFF00FF00)) - g & np.uint32(0xFF00FF)
+    return image & np.uint32(0xFF00FF00) | (image & np.uint32(0xFF00FF)) + g & np.uint32(0xFF00FF)
 
 
 def _bundle(colours: int) -> int:
@@ -495,11 +542,11 @@ def _huffman(counts: np.ndarray, most: int) -> np.ndarray:
 
 
 def _codes(lengths: np.ndarray) -> np.ndarray:
-    """The canonical codes, their first bits the highest of 16."""
+    """The canonical codes, their first bits the lowest."""
     used = np.flatnonzero(lengths)
     used = used[np.argsort(lengths[used], kind="stable")]
-    size, out = 1 << 16 - lengths[used], np.zeros(len(lengths), np.uint16)
-    out[used] = np.cumsum(size) - size
+    size, out = 1 << 16 - lengths[used], np.zeros(len(lengths), np.uint64)
+    out[used] = _REVERSED_16[np.cumsum(size) - size]
     return out
 
 
@@ -532,7 +579,7 @@ def _write_code(w: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for x in order:
             w.write(x, 3)
         w.write(0, 1)  # lengths of all symbols
-        codes = {int(k): (int(f"{c:016b}"[::-1], 2), int(kinds[k])) for k, c in enumerate(_codes(kinds).tolist()) if kinds[k]} if (kinds > 0).sum() > 1 else {}
+        codes = {k: (c, n) for k, (c, n) in enumerate(zip(_codes(kinds).tolist(), kinds.tolist(), strict=True)) if n} if np.count_nonzero(kinds) > 1 else {}
         bits = size = 0
         for k, more, value in said:
             code, n = codes.get(k, (0, 0))
@@ -578,6 +625,12 @@ def _prefix(v: int) -> tuple[int, int, int]:
 
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+
+
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.append(np.uint64(1), np.cumprod(np.full(size - 1, x, np.uint64))) for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)))
 
 
 def repeats(px: np.ndarray) -> list[tuple[int, int, int]]:
@@ -585,73 +638,79 @@ def repeats(px: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(px) - RUN + 1
     if n <= RUN:
         return []
-    up = np.cumprod(np.full(len(px), _MULTIPLIER, np.uint64))
-    down = np.cumprod(np.full(n, pow(_MULTIPLIER, -1, 1 << 64), np.uint64))
-    sums = np.append(np.uint64(0), np.cumsum((px.astype(np.uint64) + np.uint64(1)) * up))
-    h = (sums[RUN:] - sums[:-RUN]) * down
-    order = np.argsort(h, kind="stable")
-    lead = np.append(True, h[order][1:] != h[order][:-1])
-    if lead.all():
+    up, down = _powers(1 << max(15, (len(px) - 1).bit_length()))
+    sums = np.zeros(len(px) + 1, np.uint64)
+    np.cumsum((px.astype(np.uint64) + np.uint64(1)) * up[: len(px)], out=sums[1:])
+    h = (sums[RUN:] - sums[:-RUN]) * down[:n] * _SPREAD  # a first pixel's difference reaches the high bits, too
+    low = np.uint64(n.bit_length())  # these bits of a hash give way to its place; stretches are compared below
+    h = np.sort(h >> low << low | np.arange(n, dtype=np.uint64))
+    value = h >> low
+    same = value[1:] == value[:-1]
+    if not same.any():
         return []
+    order = (h & (np.uint64(1) << low) - np.uint64(1)).astype(np.int64)
+    lead = np.flatnonzero(np.append(True, ~same))
     first = np.empty(n, np.int64)
-    first[order] = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+    first[order] = np.repeat(order[lead], np.diff(np.append(lead, n)))
     at = np.flatnonzero(first < np.arange(n))
-    out, done = [], 0
-    while True:
-        k = np.searchsorted(at, done)
-        if k == len(at):
-            return out
-        place = int(at[k])
-        source, length, step = int(first[place]), 0, 64
-        while place + length < len(px):
-            a, b = px[place + length : place + length + step], px[source + length : source + length + step]
-            odd = np.flatnonzero(a != b[: len(a)])
-            length += int(odd[0]) if len(odd) else len(a)
-            if len(odd):
-                break
-            step *= 2
-        if length >= RUN:
-            out.append((place, place - source, length))
-        done = place + max(length, 1) if length >= RUN else place + 1
+    back = at - first[at]
+    cuts = np.flatnonzero((at[1:] != at[:-1] + 1) | (back[1:] != back[:-1])) + 1  # between them, one stretch is followed
+    out, done, data, each = [], 0, px.tobytes(), px.itemsize
+    for a, b, d in zip(at[np.append(0, cuts)].tolist(), at[np.append(cuts, len(at)) - 1].tolist(), back[np.append(0, cuts)].tolist(), strict=True):
+        a, b = max(a, done), b + RUN
+        if b - a >= RUN and data[a * each : b * each] == data[(a - d) * each : (b - d) * each]:
+            step = 1  # the stretch may go on where its next part occurs still earlier, too
+            while step:
+                if b + step <= len(px) and data[b * each : (b + step) * each] == data[(b - d) * each : (b - d + step) * each]:
+                    b, step = b + step, 2 * step
+                else:
+                    step >>= 1
+            out.append((a, d, b - a))
+            done = b
+    return out
+
 
+def _channels(px: np.ndarray) -> list[np.ndarray]:
+    """Green, red, blue and alpha of ARGB numbers."""
+    return [(px >> np.uint32(shift) & np.uint32(255)).astype(np.int64) for shift in (8, 16, 0, 24)]
 
-def _write_image(w: BitWriter, px: np.ndarray, main: bool, copies: list[tuple[int, int, int]]) -> list[np.ndarray]:
-    """Writes an image's header and codes; gives its pixels as arrays of bits."""
+
+def _write_image(w: BitWriter, channels: list[np.ndarray | int], main: bool, copies: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Writes an image's header and codes; gives its pixels as values of so many bits. A channel of one value is a number."""
     w.write(0, 2 if main else 1)  # no cache, one group
-    literal = np.ones(len(px), bool)
-    for place, _, length in copies:
-        literal[place : place + length] = False
-    kept = px[literal]
+    if copies:
+        literal = np.ones(len(channels[0]), bool)
+        for place, _, length in copies:
+            literal[place : place + length] = False
+        channels = [x if isinstance(x, int) else x[literal] for x in channels]
     tokens = [(place, _prefix(min(4096, length - k)), _prefix(distance + 120)) for place, distance, length in copies for k in range(0, length, 4096)]
-    channels = [(kept >> np.uint32(shift) & np.uint32(255)).astype(np.int64) for shift in (8, 16, 0, 24)]
-    symbols = [np.append(channels[0], [256 + t[0] for _, t, _ in tokens]).astype(np.int64), *channels[1:], np.array([d[0] for _, _, d in tokens], np.int64)]
-    codes = [_write_code(w, np.bincount(x, minlength=n)) for x, n in zip(symbols, (280, 256, 256, 256, 40), strict=True)]
-
-    def spread(code: np.ndarray) -> np.ndarray:
-        return np.unpackbits(code.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
-
-    code, sizes = np.zeros(len(kept), np.uint64), np.zeros(len(kept), np.uint64)
-    for (own, n), x in zip(codes, channels, strict=False):
-        if n.any():
-            code |= own.astype(np.uint64)[x] << np.uint64(48) >> sizes
-            sizes += n.astype(np.uint64)[x]
-    most = int(sizes.max(initial=0))
-    rows = np.unpackbits(code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, : most + 7 >> 3], axis=1)
-    rows = rows[np.arange(rows.shape[1]) < sizes[:, None]]
-    if not tokens:
-        return [rows]
-    ends = np.append(0, np.cumsum(sizes.astype(np.int64)))
-    out, used, filled = [], 0, 0
-    for place, length, distance in tokens:
-        gap = max(0, place - filled)
-        out.append(rows[ends[used] : ends[used + gap]])
-        used += gap
-        for (code, n), symbol, (_, more, value) in ((codes[0], 256 + length[0], length), (codes[4], distance[0], distance)):
-            out.append(spread(code[[symbol]])[0, : n[symbol]])
-            out.append(np.array([value >> i & 1 for i in range(more)], np.uint8))
-        filled = max(filled, place) + (length[2] + ((2 + (length[0] & 1)) << length[1]) + 1 if length[0] >= 4 else length[0] + 1)
-    out.append(rows[ends[used] :])
-    return out
+    values, sizes, codes = [], [], []
+    for k, (x, n) in enumerate(zip(channels, (280, 256, 256, 256), strict=True)):
+        if isinstance(x, int):
+            _write_simple(w, [x])
+            continue
+        counts = np.bincount(x, minlength=n)
+        if k == 0:
+            np.add.at(counts, [256 + t[0] for _, t, _ in tokens], 1)
+        codes.append(_write_code(w, counts))
+        code, own = codes[-1]
+        if own.any():
+            values.append(code[x])
+            sizes.append(own[x])
+    far = _write_code(w, np.bincount([d[0] for _, _, d in tokens], minlength=40))
+    value = np.stack(values, 1).ravel() if len(values) > 1 else values[0] if values else np.zeros(0, np.uint64)
+    size = np.stack(sizes, 1).ravel() if len(values) > 1 else sizes[0] if values else np.zeros(0, np.int64)
+    if tokens:
+        before, more_values, more_sizes, filled, used = [], [], [], 0, 0
+        for place, length, distance in tokens:
+            used += max(0, place - filled)
+            before += [used * len(values)] * 4
+            for (code, own), symbol, (_, more, rest) in ((codes[0], 256 + length[0], length), (far, distance[0], distance)):
+                more_values += [int(code[symbol]), rest]
+                more_sizes += [int(own[symbol]), more]
+            filled = max(filled, place) + (length[2] + ((2 + (length[0] & 1)) << length[1]) + 1 if length[0] >= 4 else length[0] + 1)
+        value, size = np.insert(value, before, np.array(more_values, np.uint64)), np.insert(size, before, more_sizes)
+    return value, size
 
 
 def _entropy(px: np.ndarray) -> float:
@@ -660,40 +719,77 @@ def _entropy(px: np.ndarray) -> float:
     return -sum(float((c[c > 0] * np.log2(c[c > 0] / len(px))).sum()) for c in counts)
 
 
-def _finish(w: BitWriter, bits: list[np.ndarray]) -> np.ndarray:
-    head = np.frombuffer((w.bits).to_bytes((w.n + 7) // 8, "little"), np.uint8)
-    return np.concatenate([np.unpackbits(head, bitorder="little")[: w.n], *bits])
+def _finish(w: BitWriter, *values: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What was written, then values of so many bits."""
+    head = np.frombuffer(w.bits.to_bytes((w.n + 31) // 32 * 4, "little"), "<u4").astype(np.uint64)
+    size = np.full(len(head), 32)
+    size[w.n // 32 :] = w.n % 32
+    return np.concatenate([head, *(v for v, _ in values)]), np.concatenate([size, *(n for _, n in values)])
+
+
+def _packed(value: np.ndarray, size: np.ndarray) -> bytes:
+    """Values of so many bits, 32 at most, in turn, lowest bits first."""
+    ends = np.cumsum(size)
+    at, total = ends - size, int(ends[-1])
+    word = at >> 5
+    moved = value << (at & 31).astype(np.uint64)
+    starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    out = np.zeros((total >> 5) + 2, np.uint64)
+    out[word[starts]] = np.add.reduceat(moved & np.uint64(0xFFFFFFFF), starts)  # bits of different values never meet
+    out[word[starts] + 1] += np.add.reduceat(moved >> np.uint64(32), starts)
+    return out.astype("<u4").tobytes()[: total + 7 >> 3]
 
 
 def encode(samples: np.ndarray, width: int, height: int) -> bytes:
-    """8-bit samples, three to a pixel, filled up by zeros, as lossless WebP."""
+    """8-bit samples, three to a pixel or, where they are no more than the pixels, one to a grey pixel, filled up by zeros, as lossless WebP."""
     total = width * height
-    if len(samples) < 3 * total:
-        samples = np.concatenate([samples, np.zeros(3 * total - len(samples), np.uint8)])
-    rgb = samples.reshape(total, 3)
-    px = np.uint32(0xFF000000) | rgb[:, 0].astype(np.uint32) << np.uint32(16) | rgb[:, 1].astype(np.uint32) << np.uint32(8) | rgb[:, 2]
+    grey = len(samples) <= total
+    wanted = total if grey else 3 * total
+    if len(samples) < wanted:
+        samples = np.concatenate([samples, np.zeros(wanted - len(samples), np.uint8)])
     w = _header(width, height, False)
-    colours = np.unique(px[:: max(1, total // 64)])
-    table = np.unique(px) if len(colours) <= FEW else colours
+    if grey:
+        shades = np.flatnonzero(np.bincount(samples, minlength=256)).astype(np.uint32)
+        table = np.uint32(0xFF000000) | shades * np.uint32(0x10101)
+    else:
+        rgb = samples.reshape(total, 3)
+        px = np.uint32(0xFF000000) | rgb[:, 0].astype(np.uint32) << np.uint32(16) | rgb[:, 1].astype(np.uint32) << np.uint32(8) | rgb[:, 2]
+        colours = np.unique(px[:: max(1, total // 64)])
+        table = np.unique(px) if len(colours) <= FEW else colours
     if len(table) <= FEW:
         w.write(1 | 3 << 1 | len(table) - 1 << 3, 11)  # a transform, colour indexing, its size
-        bits = _finish(w, _write_image(w, _palette_deltas(table, -1), False, []))
+        first = _finish(w, _write_image(w, _channels(_palette_deltas(table, -1)), False, []))
         per = _bundle(len(table))
         index = np.zeros((height, _up(width, per) << per), np.uint32)
-        index[:, :width] = np.searchsorted(table, px).reshape(height, width)
+        index[:, :width] = (np.searchsorted(shades, samples) if grey else np.searchsorted(table, px)).reshape(height, width)
         each = 8 >> per
-        packed = (index.reshape(height, -1, 1 << per) << (np.arange(1 << per, dtype=np.uint32) * np.uint32(each))).sum(2, dtype=np.uint32).ravel() << np.uint32(8)
+        packed = (index.reshape(height, -1, 1 << per) << (np.arange(1 << per, dtype=np.uint32) * np.uint32(each))).sum(2, dtype=np.int64).ravel()
         rest = BitWriter()
         rest.write(0, 1)  # no further transform
-        bits = np.concatenate([bits, _finish(rest, _write_image(rest, packed, True, []))])
+        image = _write_image(rest, [packed, 0, 0, 255], True, repeats(packed))
+        value, size = (np.concatenate(x) for x in zip(first, _finish(rest, image), strict=True))
     else:
-        less = _green(px, -1)
-        if _entropy(less) < _entropy(px):
+        less = None if grey else _green(px, -1)
+        if grey or _entropy(less) < _entropy(px):
             w.write(1 | 2 << 1, 3)  # a transform, subtract green
             px = less
         w.write(0, 1)  # no further transform
-        bits = _finish(w, _write_image(w, px, True, repeats(px)))
-    return riff(np.packbits(bits, bitorder="little").tobytes())
+        image = _write_image(w, [samples, 0, 0, 255], True, repeats(samples)) if grey else _write_image(w, _channels(px), True, repeats(px))
+        value, size = _finish(w, image)
+    return riff(_packed(value, size))
+
+
+def stored(payload: np.ndarray) -> bytes:
+    """A payload of a multiple of UNIT bytes as a grey picture, or as one of three bytes a pixel where it is too large for that."""
+    rows = len(payload) // UNIT
+    wide = -(-rows // MOST)
+    return encode(payload, *((UNIT * wide, -(-rows // wide)) if UNIT * wide <= MOST else shape(len(payload))))
+
+
+def read_back(media: bytes, size: int) -> np.ndarray:
+    """The payload of so many bytes that ``stored`` has stored."""
+    image = decode(media).ravel()
+    return ((image >> np.uint32(8)).astype(np.uint8) if image.size >= size else samples_of(image))[:size]
 
 
 def samples_of(image: np.ndarray) -> np.ndarray:
@@ -703,8 +799,8 @@ def samples_of(image: np.ndarray) -> np.ndarray:
 
 
 def feature(payload: np.ndarray) -> str:
-    """Mean of each channel and an 8 x 8 average hash over the samples in order."""
-    means = payload.reshape(-1, 3).mean(0)
+    """Means of every third sample from the first, second and third, and an 8 x 8 average hash over the samples in order."""
+    means = [payload[k::3].sum(dtype=np.int64) * 3 / len(payload) for k in range(3)]
     cuts = np.arange(64) * len(payload) // 64
     sums = np.add.reduceat(payload, cuts, dtype=np.int64) / np.diff(np.append(cuts, len(payload)))
     return ";".join(f"{m:.3f}" for m in means) + ";" + np.packbits(sums > sums.mean()).tobytes().hex()
@@ -726,7 +822,7 @@ def store(docs: DataFrame) -> DataFrame:
                 n.append(own)
                 sizes.append(len(payload))
                 try:
-                    media.append(encode(np.frombuffer(payload, np.uint8), *shape(len(payload))))
+                    media.append(stored(np.frombuffer(payload, np.uint8)))
                 except ValueError:
                     media.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "payload_bytes", "media"])
@@ -734,7 +830,7 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, media binary")
 
 
-def load(stored: DataFrame) -> DataFrame:
+def load(kept: DataFrame) -> DataFrame:
     """Stored rows to digests and features of what the media hold."""
 
     def run(batches):
@@ -742,7 +838,7 @@ def load(stored: DataFrame) -> DataFrame:
             out = []
             for size, media in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 try:
-                    payload = samples_of(decode(media or b""))[:size]
+                    payload = read_back(media or b"", size)
                 except ValueError:
                     out.append((None, None, None if media is None else len(media), None if media is None else hashlib.sha256(media).hexdigest(), None))
                     continue
@@ -751,7 +847,7 @@ def load(stored: DataFrame) -> DataFrame:
             sha, tail, length, own, feat = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sha, pa.string()), pa.array(tail, pa.int64()), pa.array(length, pa.int64()), pa.array(own, pa.string()), pa.array(feat, pa.string())], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return kept.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,6 +410,40 @@ def test_webp_round_trips(spark):
     assert webp.load(webp.store(empty(spark))).count() == 0
 
 
+def test_webp_texts_are_grey_pictures_of_one_code(spark, monkeypatch):
+    rnd = random.Random(8)
+    part = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=1000))
+    texts = [part + "?" + part + "!" + part, "\n" + "Erberte " * 300 + part, "EAT TEA " * 7 + "TEA EAT! " * 400, "é" + part + "ж" * 700, part]
+    for r in webp.store(frame(spark, texts)).collect():
+        _, p = webp.payload_of(texts[r.doc_id])
+        image = webp.decode(bytes(r.media))
+        assert image.shape[1] == webp.UNIT and image.astype("<u4").tobytes() == b"".join(bytes([x, x, x, 255]) for x in p)
+        assert r.doc_id > 2 or len(r.media) < 1000  # repeats are found wherever they stand, in palettes, too
+    rows = {r.doc_id: r for r in webp.load(webp.store(frame(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].payload_sha256 == hashlib.sha256(webp.payload_of(t)[1]).hexdigest()
+    codes, own = [], webp._huffman
+    monkeypatch.setattr(webp, "_huffman", lambda *a: codes.append(1) or own(*a))
+    webp.stored(np.frombuffer(webp.payload_of(part)[1], np.uint8))
+    assert len(codes) <= 3  # bytes, their lengths, no distances; three channels took seven
+
+
+@pytest.mark.parametrize("few", [2, 3, 40])
+def test_webp_repeats_are_repeats(few):
+    rng = np.random.default_rng(few)
+    for n in (10, 47, 48, 500, 5000, 40_000):
+        px = rng.integers(0, few, n).astype(np.uint8)
+        for _ in range(n // 200):
+            a, b, k = rng.integers(0, n - 100, 3)
+            px[a : a + k % 100] = px[b : b + k % 100]
+        done = 0
+        for place, back, length in webp.repeats(px):
+            assert done <= place and 0 < back <= place and length >= webp.RUN and (px[place : place + length] == px[place - back : place - back + length]).all()
+            done = place + length
+        m = webp.encode(px, 100, -(-n // 100))
+        assert (webp.read_back(m, n) == px).all()
+
+
 # --- 6 SimHash -----------------------------------------------------------------------------------------------------------
 
 
