@@ -23,6 +23,7 @@ operator has null media, or null digests and feature.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from functools import lru_cache
 
@@ -291,7 +292,7 @@ def _followed(r: BitReader, total: int, width: int, codes: list[PrefixCode]) ->
         three = mirrored[:-2] << 16 | mirrored[1:-1] << 8 | mirrored[2:]
         window = (three[:, None] >> _SHIFTS & 0x7FFF).ravel()  # the next 15 bits at each bit
         next_ = np.arange(len(window))
-        stop = next_[:size] + moves[window[:size] >> 15 - tables[0][2]]
+        stop = next_[:size] + moves.take(window[:size] >> 15 - tables[0][2], mode="wrap")
         tokens = stop == next_[:size] if with_tokens else None
         for _, own, wide in tables[1:4]:
             if wide:
@@ -299,21 +300,21 @@ def _followed(r: BitReader, total: int, width: int, codes: list[PrefixCode]) ->
         if tokens is not None:  # they and the stretch's end stay
             stop[tokens] = np.flatnonzero(tokens)
         next_[:size] = stop
-        two = next_[next_]
-        four = two[two]
-        one, eight = memoryview(next_), memoryview(four[four])
+        two = next_.take(next_, mode="wrap")  # no place lies outside, and so goes unchecked
+        four = two.take(two, mode="wrap")
+        one, eight = memoryview(next_), memoryview(four.take(four, mode="wrap"))
         steps, singles, p = [], [], at - low
         step, single = steps.append, singles.append
         while p < size and filled < total:
-            left = total - filled - 8
-            while left >= 0:
-                q = eight[p]
-                if one[q] == q:
+            left = total - filled
+            q = eight[p]
+            while left >= 8:
+                then = eight[q]
+                if then == q:  # a place that stays
                     break
                 step(p)
-                p = q
+                p, q = q, then
                 left -= 8
-            left += 8
             while left:
                 q = one[p]
                 if q == p:
@@ -513,7 +514,7 @@ def _write_simple(w: BitWriter, symbols: list[int]) -> None:
 
 def _huffman(counts: np.ndarray, most: int) -> np.ndarray:
     """Code lengths of at most so many bits; rare symbols count for more where the code would be too long."""
-    used, least, out = np.flatnonzero(counts), 1, np.zeros(len(counts), np.int64)
+    used, least, out = counts.nonzero()[0], 1, np.zeros(len(counts), np.int64)
     n = len(used)
     if n < 2:
         out[used] = 1
@@ -522,16 +523,21 @@ def _huffman(counts: np.ndarray, most: int) -> np.ndarray:
         raised = np.maximum(counts[used], least)
         order = np.argsort(raised, kind="stable")
         weights, above, leaf, node = raised[order].tolist(), [0] * (2 * n - 1), 0, n
+        weights[n:] = [math.inf] * n  # of nodes not made yet, and past the leaves' end
+        leaves = [*weights[:n], math.inf]
         for k in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (node == k or weights[leaf] <= weights[node]):
-                    i, leaf = leaf, leaf + 1
-                else:
-                    i, node = node, node + 1
-                total += weights[i]
-                above[i] = k
-            weights.append(total)
+            if leaves[leaf] <= weights[node]:
+                one, leaf = leaves[leaf], leaf + 1
+                above[leaf - 1] = k
+            else:
+                one, node = weights[node], node + 1
+                above[node - 1] = k
+            if leaves[leaf] <= weights[node]:
+                weights[k], leaf = one + leaves[leaf], leaf + 1
+                above[leaf - 1] = k
+            else:
+                weights[k], node = one + weights[node], node + 1
+                above[node - 1] = k
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[above[k]] + 1
@@ -543,8 +549,8 @@ def _huffman(counts: np.ndarray, most: int) -> np.ndarray:
 
 def _codes(lengths: np.ndarray) -> np.ndarray:
     """The canonical codes, their first bits the lowest."""
-    used = np.flatnonzero(lengths)
-    used = used[np.argsort(lengths[used], kind="stable")]
+    used = lengths.nonzero()[0]
+    used = used[lengths[used].argsort(kind="stable")]
     size, out = 1 << 16 - lengths[used], np.zeros(len(lengths), np.uint64)
     out[used] = _REVERSED_16[np.cumsum(size) - size]
     return out
@@ -552,12 +558,12 @@ def _codes(lengths: np.ndarray) -> np.ndarray:
 
 def _write_code(w: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes the code of symbols that occur so often; each symbol's code and its length."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     lengths = _huffman(counts, 15)
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         _write_simple(w, used.tolist() or [0])
     else:
-        cuts = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist()]
+        cuts = [0, *((lengths[1:] != lengths[:-1]).nonzero()[0] + 1).tolist()]
         said, plain = [], [(x, 0, 0) for x in range(16)]  # symbol, number of further bits, their value
         for x, a, b in zip(lengths[cuts].tolist(), cuts, [*cuts[1:], len(lengths)], strict=True):
             n = b - a
@@ -630,7 +636,8 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 @lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.append(np.uint64(1), np.cumprod(np.full(size - 1, x, np.uint64))) for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)))
+    up, down = (np.append(np.uint64(1), np.cumprod(np.full(size - 1, x, np.uint64))) for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)))
+    return up, down * _SPREAD  # so that a first pixel's difference reaches a hash's high bits, too
 
 
 def repeats(px: np.ndarray) -> list[tuple[int, int, int]]:
@@ -641,19 +648,19 @@ def repeats(px: np.ndarray) -> list[tuple[int, int, int]]:
     up, down = _powers(1 << max(15, (len(px) - 1).bit_length()))
     sums = np.zeros(len(px) + 1, np.uint64)
     np.cumsum((px.astype(np.uint64) + np.uint64(1)) * up[: len(px)], out=sums[1:])
-    h = (sums[RUN:] - sums[:-RUN]) * down[:n] * _SPREAD  # a first pixel's difference reaches the high bits, too
+    h = (sums[RUN:] - sums[:-RUN]) * down[:n]
     low = np.uint64(n.bit_length())  # these bits of a hash give way to its place; stretches are compared below
     h = np.sort(h >> low << low | np.arange(n, dtype=np.uint64))
     value = h >> low
-    same = value[1:] == value[:-1]
-    if not same.any():
+    later = (value[1:] == value[:-1]).nonzero()[0] + 1
+    if not len(later):
         return []
-    order = (h & (np.uint64(1) << low) - np.uint64(1)).astype(np.int64)
-    lead = np.flatnonzero(np.append(True, ~same))
-    first = np.empty(n, np.int64)
-    first[order] = np.repeat(order[lead], np.diff(np.append(lead, n)))
-    at = np.flatnonzero(first < np.arange(n))
-    back = at - first[at]
+    lead = np.append(True, later[1:] != later[:-1] + 1).nonzero()[0]
+    first = np.repeat(later[lead] - 1, np.diff(np.append(lead, len(later))))
+    place = (np.uint64(1) << low) - np.uint64(1)
+    at, first = (h[later] & place).astype(np.int64), (h[first] & place).astype(np.int64)
+    order = np.argsort(at)
+    at, back = at[order], (at - first)[order]
     cuts = np.flatnonzero((at[1:] != at[:-1] + 1) | (back[1:] != back[:-1])) + 1  # between them, one stretch is followed
     out, done, data, each = [], 0, px.tobytes(), px.itemsize
     for a, b, d in zip(at[np.append(0, cuts)].tolist(), at[np.append(cuts, len(at)) - 1].tolist(), back[np.append(0, cuts)].tolist(), strict=True):
@@ -672,7 +679,7 @@ def repeats(px: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _channels(px: np.ndarray) -> list[np.ndarray]:
     """Green, red, blue and alpha of ARGB numbers."""
-    return [(px >> np.uint32(shift) & np.uint32(255)).astype(np.int64) for shift in (8, 16, 0, 24)]
+    return [(px >> np.uint32(shift) & np.uint32(255)) for shift in (8, 16, 0, 24)]
 
 
 def _write_image(w: BitWriter, channels: list[np.ndarray | int], main: bool, copies: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -689,6 +696,7 @@ def _write_image(w: BitWriter, channels: list[np.ndarray | int], main: bool, cop
         if isinstance(x, int):
             _write_simple(w, [x])
             continue
+        x = x.astype(np.int64)
         counts = np.bincount(x, minlength=n)
         if k == 0:
             np.add.at(counts, [256 + t[0] for _, t, _ in tokens], 1)
@@ -709,7 +717,12 @@ def _write_image(w: BitWriter, channels: list[np.ndarray | int], main: bool, cop
                 more_values += [int(code[symbol]), rest]
                 more_sizes += [int(own[symbol]), more]
             filled = max(filled, place) + (length[2] + ((2 + (length[0] & 1)) << length[1]) + 1 if length[0] >= 4 else length[0] + 1)
-        value, size = np.insert(value, before, np.array(more_values, np.uint64)), np.insert(size, before, more_sizes)
+        at = np.array(before) + np.arange(len(before))
+        both = np.empty((2, len(value) + len(at)), np.uint64)
+        pixels = np.ones(both.shape[1], bool)
+        pixels[at] = False
+        both[:, at], both[:, pixels] = (np.array(more_values, np.uint64), more_sizes), (value, size)
+        value, size = both[0], both[1].astype(np.int64)
     return value, size
 
 
